@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("op10_queries",)
+_MODULES = ("op6_queries", "op10_queries")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
