@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("op6_queries", "op10_queries")
+_MODULES = tuple(f"op{n}_queries" for n in (4, 5, 6, 7, 8, 9, 10))
 
 QUERIES: dict = {}
 ORACLES: dict = {}
