@@ -1,6 +1,6 @@
 """Vectorised splitting and hashing of words over Arrow string columns.
 
-Words are runs of bytes other than space and 0x09-0x0D. Those separators are ASCII, so cutting
+Words are runs of bytes other than space and 0x09-0x0D (or other ASCII bytes). Those separators are ASCII, so cutting
 the UTF-8 bytes gives the same words as cutting the characters. A string column is handled in
 slices of bounded bytes; a single text is never cut.
 """
@@ -33,8 +33,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 _VALUES = mix(np.arange(1, 257, dtype=U) * _STEP)
 _FOLDED = _VALUES.copy()
 _FOLDED[65:91] = _VALUES[97:123]
-_GAP = np.zeros(256, dtype=bool)
-_GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Also what else is in ASCII neither letter nor digit: words without punctuation.
+SPACE_AND_MARKS = SPACE.copy()
+SPACE_AND_MARKS[[i for i in range(128) if not chr(i).isalnum()]] = True
 
 
 @dataclass
@@ -65,7 +68,7 @@ def _slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def words(column: pa.Array, fold: bool = False, limit: int = SLICE_BYTES) -> Iterator[Words]:
+def words(column: pa.Array, fold: bool = False, limit: int = SLICE_BYTES, gaps: np.ndarray = SPACE) -> Iterator[Words]:
     """The words of every text, slice by slice; null texts have none. fold: hash A-Z as a-z."""
     column = column.cast(pa.large_string())
     if column.null_count:
@@ -76,7 +79,7 @@ def words(column: pa.Array, fold: bool = False, limit: int = SLICE_BYTES) -> Ite
     for a, b in _slices(offsets, limit):
         lo, hi = int(offsets[a]), int(offsets[b])
         data, cuts = whole[lo:hi], offsets[a : b + 1] - lo
-        solid = ~_GAP[data]
+        solid = ~gaps[data]
         edge = np.empty(len(data) + 1, dtype=bool)  # a text begins here
         edge[:] = False
         edge[cuts] = True
