@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = tuple(f"op{n}_queries" for n in (1, 3, 4, 5, 6, 7, 8, 9, 10))
+_MODULES = tuple(f"op{n}_queries" for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10))
 
 QUERIES: dict = {}
 ORACLES: dict = {}
