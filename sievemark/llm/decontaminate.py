@@ -248,3 +248,19 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least_score: float
         part = docs.mapInArrow(_find(shared, least_score, least_overlap), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.where("false").selectExpr("doc_id", "doc_id as item_id", "0D as score", "0D as question_overlap", "0D as answer_overlap", "0L as first_word", "0L as n_words")
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """documents without the rows that hold a test item, with all columns; nothing is shuffled."""
+    out = documents
+    for index in _indexes(benchmark, shard_items):
+        find = _find(documents.sparkSession.sparkContext.broadcast(index), least_score, least_overlap)
+
+        def clean(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch["text"]], ["doc_id", "text"])
+                hit = {x for b in find(iter([rows])) for x in b["doc_id"].to_pylist()}
+                yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
+
+        out = out.mapInArrow(clean, documents.schema)
+    return out

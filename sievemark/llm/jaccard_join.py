@@ -58,7 +58,7 @@ def shingle_sets(k: int):
                 keys.append(own)
                 counts[d] = len(own)
                 names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-            meta = pa.RecordBatch.from_arrays([batch["doc_id"].slice(w.at, w.texts), pa.array(counts), pa.array(names, pa.binary())], ["doc_id", "n", "name"])
+            meta = pa.RecordBatch.from_arrays([batch["doc_id"].slice(w.at, w.texts), batch["th"].slice(w.at, w.texts), pa.array(counts), pa.array(names, pa.binary())], ["doc_id", "th", "n", "name"])
             yield np.concatenate(keys) if keys else np.zeros(0, U), counts, meta
 
     return extract
@@ -127,33 +127,48 @@ def _order(nodes: DataFrame) -> DataFrame:
     )
 
 
-def similar_components(documents: DataFrame, shingle: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of documents(doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
-
-    documents should come from files: their rows are numbered where they are read.
-    """
+def _labelled(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, th, n, label) per row: the hash of the text, the size of its set, and its component (null for an empty set)."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard-join")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = repeated_keys(docs, shingle_sets(shingle), _with_shared(percent), "doc_id long, n long, name binary, shared array<long>", task_count(spark, documents, 4 << 20))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    sets = repeated_keys(docs, shingle_sets(shingle), _with_shared(percent), "doc_id long, th long, n long, name binary, shared array<long>", task_count(spark, documents, 4 << 20))
     sets = scratch.table(sets, "sets")
     nodes = sets.where("shared is not null").groupBy("name").agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
     nodes = scratch.table(nodes.select(F.xxhash64("name").alias("node"), "name", "n", "shared"), "nodes")
     ordered = _order(nodes).where(100 * F.size("tokens") >= percent * F.col("n"))
     central = F.aggregate("counts", F.lit(0.0), lambda s, c: s + c) / F.col("n")
-    ordered = ordered.withColumn("central", central)
-    ordered = scratch.table(ordered.select("node", "n", "tokens", "counts", "central").mapInArrow(prefixes(percent), "node long, n long, tokens array<long>, central double, need int, prefix array<long>"), "ordered")
+    ordered = ordered.withColumn("central", central).select("node", "n", "tokens", "counts", "central")
+    ordered = scratch.table(ordered.mapInArrow(prefixes(percent), "node long, n long, tokens array<long>, central double, need int, prefix array<long>"), "ordered")
     label = _labels(scratch, ordered, percent)
-    scratch_label = nodes.select("node", "name").join(label, "node", "left").select("name", F.coalesce("label", "node").alias("label"))
-    named = sets.select("doc_id", "n", "name").alias("s").join(scratch_label.hint("shuffle_merge").alias("l"), "name", "left")
+    by_name = nodes.select("node", "name").join(label.hint("shuffle_merge"), "node").select("name", "label")
+    named = sets.select("doc_id", "th", "n", "name").join(by_name.hint("shuffle_merge"), "name", "left")
     # Equal sets share a component even where nothing else links.
-    named = named.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", F.xxhash64("name"))).alias("label"))
-    named = scratch.table(named, "labelled")
+    return scratch.table(named.select("doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("label", F.xxhash64("name"))).alias("label")), "labelled")
+
+
+def similar_components(documents: DataFrame, shingle: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per row of documents(doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    documents should come from files: their rows are numbered where they are read.
+    """
+    named = _labelled(documents, shingle, percent)
     smallest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = named.join(smallest.hint("shuffle_merge"), "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(documents: DataFrame, shingle: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Of each component the row with the smallest doc_id (nulls last), with all columns. Rows with empty sets all stay."""
+    named = _labelled(documents, shingle, percent)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    first = named.where("label is not null").groupBy("label").agg(F.min(rank).alias("r")).select(F.col("r.doc_id").alias("id"), F.col("r.th").alias("th"))
+    copies = documents.withColumn("th", F.xxhash64("text")).alias("d")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.id")) & (F.col("d.th") == F.col("f.th"))
+    kept = copies.join(first.hint("shuffle_merge").alias("f"), same, "left_semi").dropDuplicates(["doc_id", "th"]).drop("th")
+    return kept.unionByName(documents.where(~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")))
+
+
 def _labels(scratch: Scratch, nodes: DataFrame, percent: int) -> DataFrame:
     """(node, label): components of the linked nodes."""
     lists = nodes.select("node", "n", "central", F.explode("prefix").alias("token"))

@@ -108,3 +108,14 @@ def scan(documents: DataFrame) -> DataFrame:
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("found", lambda s: s["rank"] < len(BASE))
     return by_row.select("doc_id", *(f"n_{k}" for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
+def without_secrets(documents: DataFrame) -> DataFrame:
+    """documents without the rows in which a span is reported, with all columns."""
+    text = F.coalesce("text", F.lit(""))
+    # Only texts with a match of some pattern can have a span; the rest need no join.
+    suspect = F.rlike(text, F.lit("|".join(f"(?:{p})" for p in PATTERNS.values())))
+    held = documents.where(suspect)
+    found = spans(held.select(F.xxhash64("text").alias("doc_id"), "text")).where("kind is not null").select(F.col("doc_id").alias("th")).distinct()
+    cleared = held.withColumn("th", F.xxhash64("text")).join(found.hint("shuffle_merge"), "th", "left_anti").select(documents.columns)
+    return documents.where(~suspect).unionByName(cleared)
