@@ -35,6 +35,18 @@ def _ipc(table: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def by_block(metas: list[pa.RecordBatch], row: int, slots: int) -> Iterator[tuple]:
+    """What is kept of the rows numbered row, row + 1 ..., cut where blocks end."""
+    for m in metas:
+        done = 0
+        while done < m.num_rows:
+            block = row >> BLOCK_BITS
+            n = min(m.num_rows - done, ((block + 1) << BLOCK_BITS) - row)
+            yield (slots + block, block, ROWS, planes(np.arange(row, row + n)), b"", _ipc(m.slice(done, n)))
+            done += n
+            row += n
+
+
 def _chunk(keys: list, counts: list, metas: list, base: int, slots: int, width: np.uint64) -> Iterator[tuple]:
     """Rows for the wire from the rows numbered base, base + 1 ..."""
     k, n = np.concatenate(keys), np.concatenate(counts)
@@ -48,10 +60,7 @@ def _chunk(keys: list, counts: list, metas: list, base: int, slots: int, width:
     at = np.flatnonzero(head)
     size = np.diff(np.append(at, len(k)))
     shared = np.repeat(size > 1, size)
-    row = 0
-    for m in metas:
-        yield (slots + ((base + row) >> BLOCK_BITS), (base + row) >> BLOCK_BITS, ROWS, planes(np.arange(base + row, base + row + m.num_rows)), b"", _ipc(m))
-        row += m.num_rows
+    yield from by_block(metas, base, slots)
     yield from _answers(owner[shared], k[shared], slots)
     who = np.where(size > 1, _KNOWN, owner[at])
     one = k[at]

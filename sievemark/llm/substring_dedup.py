@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.repeats import _WIRE, _WIRE_DDL, ANSWER, BLOCK_BITS, CHUNK_KEYS, ENTRY, ROWS, _batches, _ipc, repeated_keys
+from sievemark.llm.repeats import _WIRE, _WIRE_DDL, ANSWER, BLOCK_BITS, CHUNK_KEYS, ENTRY, ROWS, _batches, by_block, repeated_keys
 from sievemark.llm.scratch import Scratch, task_count
 from sievemark.llm.wordhash import U, planes, runs, unplanes, words
 
@@ -153,11 +153,7 @@ class _Chunk:
         self.rows += w.texts
 
     def wire(self) -> Iterator[tuple]:
-        row = self.base
-        for m in self.meta:
-            block = row >> BLOCK_BITS
-            yield (self.slots + block, block, ROWS, planes(np.arange(row, row + m.num_rows)), b"", _ipc(m))
-            row += m.num_rows
+        yield from by_block(self.meta, self.base, self.slots)
         if not self.held:
             return
         text, at, anchor, who, doc = np.concatenate(self.words), np.concatenate(self.at), np.concatenate(self.anchor), np.concatenate(self.row), np.concatenate(self.doc)
