@@ -10,8 +10,10 @@ What keeps the work in bounds, none of which loses a link:
   only if enough of its shingles are in other documents, and with those alone.
 - Equal sets are one node. Copies are never compared.
 - Of a posting list, first the pairs with its most central node (pivot) are verified; components
-  follow. Only nodes of different components are paired then, so a group of thousands of near
-  copies costs its size, not its square.
+  follow, and a list whose other nodes are of one component is done.
+- Nodes that the open lists connect are clusters. A cluster is cut into parts, and two parts meet in one
+  task, which counts shared shingles by an index in memory and emits one link from a node to a
+  component. No pairs are emitted, and pairs within the largest component are not looked at.
 
 Cases: null or empty text has an empty set and links with nothing; fewer words than the shingle
 length make one shingle; rows with one doc_id are one document where that matters: each row is
@@ -37,8 +39,8 @@ from sievemark.llm.wordhash import U, runs, words
 WORDS, PERCENT = 5, 80
 #: Cost of verifying a candidate against that of reading a posting, and the longest l.
 VERIFY_COST, MOST_SHARED = 16.0, 16
-#: Times that posting lists of several components get a further pivot before the rest is paired.
-PIVOT_ROUNDS = 3
+#: A cluster has parts of the first number of nodes, up to the second number of parts, then parts of the third number.
+PART_NODES = (128, 16, 4096)
 
 
 def shingle_sets(k: int):
@@ -171,54 +173,62 @@ def one_of_each(documents: DataFrame, shingle: int = WORDS, percent: int = PERCE
 
 def _labels(scratch: Scratch, nodes: DataFrame, percent: int) -> DataFrame:
     """(node, label): components of the linked nodes."""
-    lists = nodes.select("node", "n", "central", F.explode("prefix").alias("token"))
-    lists = scratch.table(lists.select("token", "node", F.struct("central", "node").alias("rank")), "postings")
-    links, label, tried = None, None, None
-    for _ in range(PIVOT_ROUNDS):
-        open_lists = lists if label is None else _mixed(lists, label, tried)
-        pivot = open_lists.groupBy("token").agg(F.max("rank").getField("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-        pairs = lists.join(pivot.hint("shuffle_merge"), "token").where("node <> pivot")
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        found = scratch.table(_verified(pairs, nodes, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        label = components(scratch, links)
-    if label is None:
-        return nodes.select("node", F.col("node").alias("label")).where(F.lit(False))
-    rest = _across(lists, label, tried, nodes, percent)
-    rest = scratch.table(_verified(rest, nodes, percent), "links")
-    return components(scratch, links.unionByName(rest))
-
-
-def _tagged(lists: DataFrame, label: DataFrame) -> DataFrame:
-    return lists.join(label.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
-def _mixed(lists: DataFrame, label: DataFrame, tried: DataFrame) -> DataFrame:
-    """Postings outside the largest component of each list that has several."""
-    tagged = _tagged(lists, label)
-    size = tagged.groupBy("token", "label").agg(F.count("*").alias("size"))
-    main = size.groupBy("token").agg(F.max(F.struct("size", "label")).getField("label").alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    return tagged.join(main.hint("shuffle_merge"), "token").where("label <> main").drop("label", "main", "labels")
-
-
-def _across(lists: DataFrame, label: DataFrame, tried: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list that are in different components, not verified yet and of fitting sizes."""
-    tagged = _tagged(lists, label).join(nodes.select("node", "n").hint("shuffle_merge"), "node")
-    groups = tagged.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = groups.groupBy("token").agg(F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    groups = groups.join(several.hint("shuffle_merge"), "token")
-    g, h = groups.alias("g"), groups.alias("h")
-    near = (F.col("g.label") < F.col("h.label")) & (100 * F.col("g.high") >= percent * F.col("h.low")) & (100 * F.col("h.high") >= percent * F.col("g.low"))
-    met = g.join(h.hint("shuffle_merge"), "token").where(near).select("token", F.col("g.label").alias("p"), F.col("h.label").alias("q"))
-    left = tagged.select("token", F.col("label").alias("p"), F.col("node").alias("x"), F.col("n").alias("xn"))
-    right = tagged.select("token", F.col("label").alias("q"), F.col("node").alias("y"), F.col("n").alias("yn"))
-    fits = (100 * F.col("xn") >= percent * F.col("yn")) & (100 * F.col("yn") >= percent * F.col("xn"))
-    pairs = met.join(left.hint("shuffle_merge"), ["token", "p"]).join(right.hint("shuffle_merge"), ["token", "q"]).where(fits)
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    lists = nodes.select("node", F.struct("central", "node").alias("rank"), F.explode("prefix").alias("token"))
+    lists = scratch.table(lists, "postings")
+    pivot = lists.groupBy("token").agg(F.max("rank").getField("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    rest = scratch.table(lists.select("token", "node").join(pivot.hint("shuffle_merge"), "token").where("node <> pivot"), "rest")
+    pairs = rest.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    links = scratch.table(_verified(pairs, nodes, percent), "links")
+    label = components(scratch, links)
+    # Lists whose other nodes are of one component are done: a pivot has met all of its list.
+    tagged = rest.where("size > 2").join(label.hint("shuffle_merge"), "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
+    open_lists = tagged.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("first")).where("low <> high").select("token", "first")
+    left = scratch.table(tagged.join(open_lists.hint("shuffle_merge"), "token"), "left")
+    more = scratch.table(_within(_clusters(scratch, left), nodes, percent), "links")
+    return components(scratch, links.unionByName(more))
+
+
+def _clusters(scratch: Scratch, left: DataFrame) -> DataFrame:
+    """(node, label, cluster, size): nodes that open lists connect. Nodes of two clusters share no open list."""
+    edges = left.where("node <> first").selectExpr("first as a", "node as b").distinct()
+    cluster = components(scratch, edges).withColumnRenamed("label", "cluster")
+    size = cluster.groupBy("cluster").agg(F.count("*").alias("size"))
+    named = left.select("node", "label").distinct().join(cluster.hint("shuffle_merge"), "node")
+    return named.join(size.hint("shuffle_merge"), "cluster")
+
+
+def _within(clusters: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of a cluster. A cluster is cut into parts, and two parts at a time are one task's group."""
+    least, wanted, most = PART_NODES
+    parts = F.greatest(F.ceil(F.col("size") / most), F.least(F.lit(wanted), F.ceil(F.col("size") / least))).cast("int")
+    dealt = clusters.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("node", "label", "cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    full = dealt.join(nodes.select("node", "n", "tokens").hint("shuffle_merge"), "node")
+    return full.groupBy("cluster", "i", "j").applyInArrow(_links_of(percent), "a long, b long").distinct()
+
+
+def _links_of(percent: int):
+    def links(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, label, n = (table[c].to_numpy() for c in ("node", "label", "n"))
+        tokens = table["tokens"].combine_chunks()
+        flat, cuts = tokens.values.to_numpy(), tokens.offsets.to_numpy()
+        owner = np.repeat(np.arange(len(node)), np.diff(cuts))
+        _, number = np.unique(flat[cuts[0] : cuts[-1]], return_inverse=True)
+        cuts = cuts - cuts[0]
+        order = np.argsort(number, kind="stable")
+        owner = owner[order]
+        first = np.searchsorted(number[order], np.arange(number.max() + 2 if len(number) else 1))
+        names, inverse, size = np.unique(label, return_inverse=True, return_counts=True)
+        a, b = [], []
+        for q in np.flatnonzero(inverse != size.argmax()).tolist():  # pairs within the largest component need no look
+            own = number[cuts[q] : cuts[q + 1]]
+            met = np.bincount(np.concatenate([owner[first[t] : first[t + 1]] for t in own.tolist()]), minlength=len(node)) if len(own) else np.zeros(len(node), np.int64)
+            linked = np.flatnonzero((100 * met >= percent * (n + n[q] - met)) & (inverse != inverse[q]))
+            for x in linked[np.unique(inverse[linked], return_index=True)[1]].tolist():  # one link to each component is enough
+                a.append(min(int(node[q]), int(node[x])))
+                b.append(max(int(node[q]), int(node[x])))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return links
