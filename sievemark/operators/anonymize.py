@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions import lists as L
 from sievemark.functions.spans import splice, surest_wins
-from sievemark.functions.text import ipv4, luhn, regex_spans, ssn
+from sievemark.functions.text import ipv4, let, luhn, regex_spans, ssn
 
 TTL_SECONDS = 3600
 
@@ -24,14 +24,17 @@ def entities(text: Column) -> Column:
 
 def numbered(spans: Column) -> Column:
     """Spans with `placeholder` [TYPE_n]; n counts a type's spans from 1."""
-    kinds = F.transform(spans, lambda s: s["entity_type"])
-    return F.transform(spans, lambda s, i: s.withField("placeholder", F.concat(F.lit("["), s["entity_type"], F.lit("_"), F.size(F.filter(F.slice(kinds, F.lit(1), i + 1), lambda k: k == s["entity_type"])).cast("string"), F.lit("]"))))
+
+    def made(spans: Column) -> Column:
+        return F.transform(spans, lambda s, i: s.withField("placeholder", F.concat(F.lit("["), s["entity_type"], F.lit("_"), F.size(F.filter(F.slice(spans, F.lit(1), i + 1), lambda k: k["entity_type"] == s["entity_type"])).cast("string"), F.lit("]"))))
+
+    return let(spans, made)
 
 
 def anonymize(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Adds `anonymized` and `mappings` (spans with placeholders); each row is a session of its own."""
     found = df.withColumn("mappings", numbered(entities(F.col(text))))
-    return found.withColumn("anonymized", splice(F.col(text), F.col("mappings"), lambda s, i: F.element_at(F.transform(F.col("mappings"), lambda m: m["placeholder"]), i + 1)))
+    return found.withColumn("anonymized", splice(F.col(text), F.col("mappings"), lambda s, i: s["placeholder"]))
 
 
 def placeholders(spans: DataFrame, key: str) -> DataFrame:

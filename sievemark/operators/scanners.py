@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions import lists as L
 from sievemark.functions.spans import first_wins, splice, surest_wins
-from sievemark.functions.text import SPANS, any_of, ascii_bounds, count_class, entropy, factor, graded, has_any, hits, ipv4, luhn, pairs, regex_spans, result, scored_hits, strings, total, words
+from sievemark.functions.text import SPANS, any_of, ascii_bounds, count_class, entropy, factor, graded, has_any, hits, ipv4, let, luhn, pairs, regex_spans, result, scored_hits, strings, total, words
 
 EDGE = r"[\p{L}\p{N}]"
 
@@ -35,11 +35,13 @@ def ban_substrings(text: Column, substrings: list[str], case_sensitive: bool = F
         pattern = f"(?<!{EDGE}){pattern}(?!{EDGE})"
     if not case_sensitive:
         pattern = f"(?iu){pattern}"
-    found = regex_spans(text, pattern, "banned_substring")
-    valid = F.size(found) == 0
-    masked = splice(text, found, lambda s, i: F.repeat(F.lit("*"), s["end"] - s["start"])) if redact else text
-    meta = {"matches_count": F.size(found), "patterns_matched": F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda s: F.lower(s["text"])))), ",")}
-    return result("BanSubstrings", text, valid, F.when(valid, 0.0).otherwise(1.0), masked, found, factor("banned_content", "Banned substrings", F.lit("high"), F.lit(1.0)), meta)
+    def made(found: Column) -> Column:
+        valid = F.size(found) == 0
+        masked = splice(text, found, lambda s, i: F.repeat(F.lit("*"), s["end"] - s["start"])) if redact else text
+        meta = {"matches_count": F.size(found), "patterns_matched": F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda s: F.lower(s["text"])))), ",")}
+        return result("BanSubstrings", text, valid, F.when(valid, 0.0).otherwise(1.0), masked, found, factor("banned_content", "Banned substrings", F.lit("high"), F.lit(1.0)), meta)
+
+    return let(regex_spans(text, pattern, "banned_substring"), made)
 
 
 def ban_competitors(text: Column, names: list[str], redact: bool = True, whole_words: bool = True) -> Column:
@@ -47,10 +49,12 @@ def ban_competitors(text: Column, names: list[str], redact: bool = True, whole_w
         raise ValueError("no competitors")
     pattern = f"(?:{any_of(names)})"
     pattern = f"(?iu)(?<!{EDGE}){pattern}(?!{EDGE})" if whole_words else f"(?iu){pattern}"
-    found = regex_spans(text, pattern, "competitor_mention")
-    valid = F.size(found) == 0
-    masked = F.regexp_replace(text, pattern, "[COMPETITOR]") if redact else text
-    return result("BanCompetitors", text, valid, F.when(valid, 0.0).otherwise(1.0), masked, found, factor("competitor_mention", "Competitors", F.lit("high"), F.lit(1.0)), {"matches_count": F.size(found)})
+    def made(found: Column) -> Column:
+        valid = F.size(found) == 0
+        masked = F.regexp_replace(text, pattern, "[COMPETITOR]") if redact else text
+        return result("BanCompetitors", text, valid, F.when(valid, 0.0).otherwise(1.0), masked, found, factor("competitor_mention", "Competitors", F.lit("high"), F.lit(1.0)), {"matches_count": F.size(found)})
+
+    return let(regex_spans(text, pattern, "competitor_mention"), made)
 
 
 def code_spans(text: Column) -> Column:
@@ -62,14 +66,16 @@ def code_spans(text: Column) -> Column:
 
 
 def ban_code(text: Column, threshold: float = 0.5, redact: bool = False) -> Column:
-    found = code_spans(text)
-    covered = total(F.transform(found, lambda s: (s["end"] - s["start"]).cast("double")))
-    density = F.coalesce(F.try_divide(covered, F.octet_length(text)), F.lit(0.0))
-    sure = F.coalesce(F.try_divide(total(F.transform(found, lambda s: s["confidence"])), F.size(found)), F.lit(0.0))
-    risk = F.when(F.size(found) == 0, 0.0).otherwise(F.least(F.lit(1.0), density * 0.6 + sure * 0.4))
-    masked = splice(text, found, lambda s, i: F.lit("[REDACTED CODE]")) if redact else text
-    valid = risk < threshold
-    return result("BanCode", text, valid, F.when(valid, 0.0).otherwise(risk), F.when(valid, text).otherwise(masked), found, factor("code_detected", "Code", graded(risk, (0.8, "high"), (0.5, "medium")), risk), {"blocks": F.size(found)})
+    def made(found: Column) -> Column:
+        covered = total(F.transform(found, lambda s: (s["end"] - s["start"]).cast("double")))
+        density = F.coalesce(F.try_divide(covered, F.octet_length(text)), F.lit(0.0))
+        sure = F.coalesce(F.try_divide(total(F.transform(found, lambda s: s["confidence"])), F.size(found)), F.lit(0.0))
+        risk = F.when(F.size(found) == 0, 0.0).otherwise(F.least(F.lit(1.0), density * 0.6 + sure * 0.4))
+        masked = splice(text, found, lambda s, i: F.lit("[REDACTED CODE]")) if redact else text
+        valid = risk < threshold
+        return result("BanCode", text, valid, F.when(valid, 0.0).otherwise(risk), F.when(valid, text).otherwise(masked), found, factor("code_detected", "Code", graded(risk, (0.8, "high"), (0.5, "medium")), risk), {"blocks": F.size(found)})
+
+    return let(code_spans(text), made)
 
 
 def token_limit(text: Column, limit: int = 4096) -> Column:
@@ -87,32 +93,36 @@ CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]"
 
 
 def invisible_text(text: Column, threshold: float = 0.1, remove: bool = True) -> Column:
-    found = F.concat(regex_spans(text, ZERO_WIDTH, "zero_width", 1.0), regex_spans(text, CONTROL, "control", 0.9), regex_spans(text, DIRECTION, "direction", 0.7))
-    n = F.size(found)
-    sure = F.coalesce(F.try_divide(total(F.transform(found, lambda s: s["confidence"])), n), F.lit(0.0))
-    risk = F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.try_divide(n, F.octet_length(text)), F.lit(0.0)) * 0.7 + sure * 0.3))
-    names = F.create_map(*(F.lit(x) for kv in {**L.ZERO_WIDTH, **L.DIRECTIONS}.items() for x in kv))
-    named = F.transform(found, lambda s: s.withField("text", F.concat(F.lit("["), F.coalesce(F.element_at(names, s["text"]), F.concat(F.lit("U+"), F.lpad(F.hex(F.unhex(F.hex(F.encode(s["text"], "UTF-16BE")))), 4, "0"))), F.lit("]"))))
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ZERO_WIDTH, ""), CONTROL, ""), DIRECTION, "") if remove else text
-    valid = risk < threshold
-    return result("InvisibleText", text, valid, risk, clean, named, factor("invisible_text", "Invisible characters", graded(risk, (0.7, "high"), (0.4, "medium")), risk), {"count": n})
+    def made(found: Column) -> Column:
+        n = F.size(found)
+        sure = F.coalesce(F.try_divide(total(F.transform(found, lambda s: s["confidence"])), n), F.lit(0.0))
+        risk = F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.try_divide(n, F.octet_length(text)), F.lit(0.0)) * 0.7 + sure * 0.3))
+        names = F.create_map(*(F.lit(x) for kv in {**L.ZERO_WIDTH, **L.DIRECTIONS}.items() for x in kv))
+        named = F.transform(found, lambda s: s.withField("text", F.concat(F.lit("["), F.coalesce(F.element_at(names, s["text"]), F.concat(F.lit("U+"), F.lpad(F.hex(F.unhex(F.hex(F.encode(s["text"], "UTF-16BE")))), 4, "0"))), F.lit("]"))))
+        clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ZERO_WIDTH, ""), CONTROL, ""), DIRECTION, "") if remove else text
+        valid = risk < threshold
+        return result("InvisibleText", text, valid, risk, clean, named, factor("invisible_text", "Invisible characters", graded(risk, (0.7, "high"), (0.4, "medium")), risk), {"count": n})
+
+    return let(F.concat(regex_spans(text, ZERO_WIDTH, "zero_width", 1.0), regex_spans(text, CONTROL, "control", 0.9), regex_spans(text, DIRECTION, "direction", 0.7)), made)
 
 
 def regex_scan(text: Column, patterns: list[tuple[str, str, float]], redact: bool = False) -> Column:
     """patterns: (name, pattern, risk)."""
     if not patterns:
         raise ValueError("no patterns")
-    found = F.concat(*(regex_spans(text, p, name, risk) for name, p, risk in patterns))
-    risk = F.coalesce(F.array_max(F.transform(found, lambda s: s["confidence"])), F.lit(0.0))
-    valid = F.size(found) == 0
-    masked = splice(text, first_wins(found), lambda s, i: F.repeat(F.lit("*"), s["end"] - s["start"])) if redact else text
-    return result("Regex", text, valid, risk, masked, found, factor("regex_match", "Patterns", graded(risk, (0.7, "high"), other="medium"), risk), {"matches": F.size(found)})
+    def made(found: Column) -> Column:
+        risk = F.coalesce(F.array_max(F.transform(found, lambda s: s["confidence"])), F.lit(0.0))
+        valid = F.size(found) == 0
+        masked = splice(text, first_wins(found), lambda s, i: F.repeat(F.lit("*"), s["end"] - s["start"])) if redact else text
+        return result("Regex", text, valid, risk, masked, found, factor("regex_match", "Patterns", graded(risk, (0.7, "high"), other="medium"), risk), {"matches": F.size(found)})
+
+    return let(F.concat(*(regex_spans(text, p, name, risk) for name, p, risk in patterns)), made)
 
 
 def gibberish_parts(text: Column) -> dict[str, Column]:
     """Scores (entropy, repetition, vowels, keyboard, words) of a text, each 0 to 1."""
     lowered, size = F.lower(text), F.octet_length(text)
-    alpha = F.regexp_replace(lowered, r"[^\p{L}]", "")
+    alpha = F.regexp_replace(lowered, r"[^\p{L}]+", "")
     even = F.least(F.lit(1.0), entropy(alpha, F.length(alpha)) / 4.7)
     runs = F.regexp_extract_all(text, F.lit(r"(?s)(.)\1{2,}"), F.lit(0))
     repeated = total(F.transform(runs, lambda r: (F.length(r) - 2) * (F.length(r) - 1) / 2 * 0.2))
@@ -133,7 +143,10 @@ GIBBERISH_WEIGHTS = {"entropy": 2.0, "repetition": 1.5, "vowels": 1.5, "keyboard
 
 
 def gibberish(text: Column, threshold: float = 0.7) -> Column:
-    parts = gibberish_parts(text)
+    return let(F.struct(*(v.alias(k) for k, v in gibberish_parts(text).items())), lambda p: _gibberish(text, {k: p[k] for k in GIBBERISH_WEIGHTS}, threshold))
+
+
+def _gibberish(text: Column, parts: dict[str, Column], threshold: float) -> Column:
     score = sum((parts[k] * w for k, w in GIBBERISH_WEIGHTS.items()), F.lit(0.0)) / sum(GIBBERISH_WEIGHTS.values())
     score = F.when(F.octet_length(text) < 10, 0.0).otherwise(score)
     valid = score < threshold
@@ -179,9 +192,11 @@ def secret_spans(text: Column, least_entropy: float = 3.0) -> Column:
 
 
 def secrets(text: Column, least_entropy: float = 3.0) -> Column:
-    found = secret_spans(text, least_entropy)
-    valid = F.size(found) == 0
-    return result("Secrets", text, valid, F.when(valid, 0.0).otherwise(1.0), splice(text, found, lambda s, i: F.lit("[REDACTED]")), found, factor("secret", "Secrets", F.lit("critical"), F.lit(1.0)), {"types": F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda s: s["entity_type"]))), ",")})
+    def made(found: Column) -> Column:
+        valid = F.size(found) == 0
+        return result("Secrets", text, valid, F.when(valid, 0.0).otherwise(1.0), splice(text, found, lambda s, i: F.lit("[REDACTED]")), found, factor("secret", "Secrets", F.lit("critical"), F.lit(1.0)), {"types": F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda s: s["entity_type"]))), ",")})
+
+    return let(secret_spans(text, least_entropy), made)
 
 
 def injection_hits(text: Column) -> Column:
@@ -195,10 +210,12 @@ def injection_hits(text: Column) -> Column:
 
 
 def prompt_injection(text: Column, threshold: float = 0.7) -> Column:
-    found = injection_hits(text)
-    score = F.least(F.lit(1.0), F.coalesce(F.try_divide(total(F.transform(found, lambda x: x["c"])), F.size(found)), F.lit(0.0)))
-    valid = score < threshold
-    return result("PromptInjection", text, valid, score, None, _phrase_spans(found, text, "prompt_injection"), factor("prompt_injection", "Injection", graded(score, (0.9, "critical"), (0.7, "high"), other="medium"), score), {"indicators": F.size(found)})
+    def made(found: Column) -> Column:
+        score = F.least(F.lit(1.0), F.coalesce(F.try_divide(total(F.transform(found, lambda x: x["c"])), F.size(found)), F.lit(0.0)))
+        valid = score < threshold
+        return result("PromptInjection", text, valid, score, None, _phrase_spans(found, text, "prompt_injection"), factor("prompt_injection", "Injection", graded(score, (0.9, "critical"), (0.7, "high"), other="medium"), score), {"indicators": F.size(found)})
+
+    return let(injection_hits(text), made)
 
 
 def toxicity_parts(text: Column, severe: bool = False) -> dict[str, Column]:
@@ -257,10 +274,12 @@ def refusal_hits(text: Column, sensitivity: str = "medium") -> Column:
 
 
 def no_refusal(text: Column, threshold: float = 0.7, sensitivity: str = "medium") -> Column:
-    found = refusal_hits(text, sensitivity)
-    score = peak(found)
-    valid = score < threshold
-    return result("NoRefusal", text, valid, score, None, _phrase_spans(found, text, "refusal"), factor("refusal", "Refusal", graded(score, (0.9, "high"), (0.7, "medium")), score), {"matches": F.size(found)})
+    def made(found: Column) -> Column:
+        score = peak(found)
+        valid = score < threshold
+        return result("NoRefusal", text, valid, score, None, _phrase_spans(found, text, "refusal"), factor("refusal", "Refusal", graded(score, (0.9, "high"), (0.7, "medium")), score), {"matches": F.size(found)})
+
+    return let(refusal_hits(text, sensitivity), made)
 
 
 def keywords(text: Column) -> Column:
@@ -298,13 +317,15 @@ def pii_spans(text: Column, types: list[str] | None = None) -> Column:
 
 
 def sensitive(text: Column, types: list[str] | None = None, redact: bool = False) -> Column:
-    found = pii_spans(text, types)
-    none = F.size(found) == 0
-    if redact:
-        return result("Sensitive", text, F.lit(True), F.when(none, 0.0).otherwise(0.9), splice(text, first_wins(found), lambda s, i: F.lit("[REDACTED]")), found, None, {"count": F.size(found)})
-    grave = F.exists(found, lambda s: s["entity_type"].isin("credit_card", "ssn"))
-    level = F.when(grave | (F.size(found) > 3), "high").when(F.size(found) > 1, "medium").otherwise("low")
-    return result("Sensitive", text, none, F.when(none, 0.0).otherwise(0.9), None, found, factor("sensitive_data", "PII", level, F.lit(0.9)), {"count": F.size(found)})
+    def made(found: Column) -> Column:
+        none = F.size(found) == 0
+        if redact:
+            return result("Sensitive", text, F.lit(True), F.when(none, 0.0).otherwise(0.9), splice(text, first_wins(found), lambda s, i: F.lit("[REDACTED]")), found, None, {"count": F.size(found)})
+        grave = F.exists(found, lambda s: s["entity_type"].isin("credit_card", "ssn"))
+        level = F.when(grave | (F.size(found) > 3), "high").when(F.size(found) > 1, "medium").otherwise("low")
+        return result("Sensitive", text, none, F.when(none, 0.0).otherwise(0.9), None, found, factor("sensitive_data", "PII", level, F.lit(0.9)), {"count": F.size(found)})
+
+    return let(pii_spans(text, types), made)
 
 
 def topic_scores(text: Column, topics: dict[str, list[str]] | None = None) -> dict[str, Column]:
@@ -326,11 +347,13 @@ def bias_hits(text: Column, types: tuple[str, ...] = ("gender", "racial", "age",
 
 
 def bias(text: Column, types: tuple[str, ...] = ("gender", "racial", "age", "religious"), threshold: float = 0.6) -> Column:
-    found = bias_hits(text, types)
-    score = peak(found)
-    valid = score < threshold
-    spans = F.transform(found, lambda x: F.struct(F.concat(x["type"], F.lit("_bias")).alias("entity_type"), x["p"].alias("text"), F.lit(0).alias("start"), F.octet_length(text).alias("end"), x["c"].alias("confidence")))
-    return result("Bias", text, valid, score, None, spans, factor("bias", "Bias", graded(score, (0.85, "high"), (0.7, "medium")), score), {"matches": F.size(found)})
+    def made(found: Column) -> Column:
+        score = peak(found)
+        valid = score < threshold
+        spans = F.transform(found, lambda x: F.struct(F.concat(x["type"], F.lit("_bias")).alias("entity_type"), x["p"].alias("text"), F.lit(0).alias("start"), F.octet_length(text).alias("end"), x["c"].alias("confidence")))
+        return result("Bias", text, valid, score, None, spans, factor("bias", "Bias", graded(score, (0.85, "high"), (0.7, "medium")), score), {"matches": F.size(found)})
+
+    return let(bias_hits(text, types), made)
 
 
 def url_risk(url: Column, blocked: tuple[str, ...] = ()) -> Column:
@@ -360,10 +383,12 @@ def url_threats(text: Column, threshold: float = 0.6, blocked: tuple[str, ...] =
 
 
 def malicious_urls(text: Column, threshold: float = 0.6, blocked: tuple[str, ...] = ()) -> Column:
-    found = url_threats(text, threshold, blocked)
-    score = F.coalesce(F.array_max(F.transform(found, lambda s: s["confidence"])), F.lit(0.0))
-    valid = F.size(found) == 0
-    return result("MaliciousURLs", text, valid, score, None, found, factor("malicious_url", "URLs", graded(score, (0.85, "high"), (0.7, "medium")), score), {"urls": F.size(found)})
+    def made(found: Column) -> Column:
+        score = F.coalesce(F.array_max(F.transform(found, lambda s: s["confidence"])), F.lit(0.0))
+        valid = F.size(found) == 0
+        return result("MaliciousURLs", text, valid, score, None, found, factor("malicious_url", "URLs", graded(score, (0.85, "high"), (0.7, "medium")), score), {"urls": F.size(found)})
+
+    return let(url_threats(text, threshold, blocked), made)
 
 
 def reading_seconds(text: Column, wpm: float = 200.0) -> Column:
@@ -373,11 +398,13 @@ def reading_seconds(text: Column, wpm: float = 200.0) -> Column:
 def reading_time(text: Column, least: int = 5, most: int = 300, wpm: float = 200.0) -> Column:
     if most <= least or wpm <= 0:
         raise ValueError("most must exceed least and wpm be positive")
-    seconds = reading_seconds(text, wpm)
-    short, long = seconds < least, seconds > most
-    risk = F.when(short, 0.7).when(long, 0.8).otherwise(0.0)
-    marks = F.greatest(F.regexp_count(text, F.lit("[.!?]")), F.lit(1))
-    return result("ReadingTime", text, ~(short | long), risk, None, None, factor("reading_time", "Reading time", F.when(short, "low").otherwise("medium"), risk), {"seconds": seconds, "sentences": marks, "characters": F.length(F.regexp_replace(text, r"\s", ""))})
+    def made(seconds: Column) -> Column:
+        short, long = seconds < least, seconds > most
+        risk = F.when(short, 0.7).when(long, 0.8).otherwise(0.0)
+        marks = F.greatest(F.regexp_count(text, F.lit("[.!?]")), F.lit(1))
+        return result("ReadingTime", text, ~(short | long), risk, None, None, factor("reading_time", "Reading time", F.when(short, "low").otherwise("medium"), risk), {"seconds": seconds, "sentences": marks, "characters": F.length(F.regexp_replace(text, r"\s", ""))})
+
+    return let(reading_seconds(text, wpm), made)
 
 
 def factuality_score(text: Column) -> Column:
@@ -388,10 +415,12 @@ def factuality_score(text: Column) -> Column:
 
 
 def factuality(text: Column, threshold: float = 0.5) -> Column:
-    score = factuality_score(text)
-    valid = score >= threshold
-    level = F.when(score < 0.3, "high").when(score < 0.5, "medium").otherwise("low")
-    return result("Factuality", text, valid, 1 - score, None, None, factor("low_confidence", "Hedging", level, 1 - score), {"score": F.round(score, 6)})
+    def made(score: Column) -> Column:
+        valid = score >= threshold
+        level = F.when(score < 0.3, "high").when(score < 0.5, "medium").otherwise("low")
+        return result("Factuality", text, valid, 1 - score, None, None, factor("low_confidence", "Hedging", level, 1 - score), {"score": F.round(score, 6)})
+
+    return let(factuality_score(text), made)
 
 
 def url_hosts(text: Column, most: int = 10) -> Column:
@@ -400,11 +429,13 @@ def url_hosts(text: Column, most: int = 10) -> Column:
 
 
 def url_reachability(text: Column, most: int = 10) -> Column:
-    found = url_hosts(text, most)
-    bad = F.size(F.filter(found, lambda u: ~u["well_formed"]))
-    risk = F.coalesce(F.try_divide(bad, F.size(found)), F.lit(0.0))
-    level = F.when(risk >= 1, "high").when(risk > 0.5, "medium").otherwise("low")
-    return result("URLReachability", text, bad == 0, risk, None, None, factor("unreachable_url", "URLs", level, risk), {"urls": F.size(found), "unreachable": bad})
+    def made(found: Column) -> Column:
+        bad = F.size(F.filter(found, lambda u: ~u["well_formed"]))
+        risk = F.coalesce(F.try_divide(bad, F.size(found)), F.lit(0.0))
+        level = F.when(risk >= 1, "high").when(risk > 0.5, "medium").otherwise("low")
+        return result("URLReachability", text, bad == 0, risk, None, None, factor("unreachable_url", "URLs", level, risk), {"urls": F.size(found), "unreachable": bad})
+
+    return let(url_hosts(text, most), made)
 
 
 def regex_output(text: Column, patterns: list[tuple[str, str]], deny: bool = True) -> Column:

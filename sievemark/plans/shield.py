@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.functions import lists as L
-from sievemark.functions.text import FACTORS, SPANS, strings
+from sievemark.functions.text import FACTORS, SPANS, let, strings
 from sievemark.operators import scanners as S
 
 Scanner = Callable[[Column], Column]
@@ -79,11 +79,11 @@ class Shield:
             raise ValueError("a shield needs a scanner")
         found = F.array(*(s(text) for s in self.scanners.values()))
         # Only a sequential run can stop early.
-        return until_risk(found, self.short_circuit) if self.sequential and self.short_circuit is not None else found
+        return let(found, lambda r: until_risk(r, self.short_circuit)) if self.sequential and self.short_circuit is not None else found
 
     def scan(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Adds `results` and `verdict`."""
-        return df.withColumn("results", self.results(F.col(text))).withColumn("verdict", combine(F.col("results"), F.col(text)))
+        return df.withColumn("results", self.results(F.col(text))).withColumn("verdict", let(F.col("results"), lambda r: combine(r, F.col(text))))
 
 
 def sanitize_chain(text: Column, *sanitizers: Scanner) -> Column:
