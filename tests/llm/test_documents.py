@@ -1,0 +1,220 @@
+"""Operators on documents against plain versions, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from sievemark.llm import decontaminate, jaccard_join, language_id, matroska, mixing, secret_scan, substring_dedup, token_counts
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _texts(rng: random.Random) -> list[str | None]:
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    draw = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passage, base = draw(20), draw(40).split()
+    out: list[str | None] = [None, "", " \n\t ", "one", "one two three", "ONE two three", "x" * 5000, draw(3000)]
+    out += [draw(rng.randint(5, 60)) for _ in range(15)]
+    out += [f"{draw(9)} {passage}\n{draw(7)}" for _ in range(8)]
+    out += [draw(20) + " " + passage + " " + passage]
+    for _ in range(40):  # a chain of near copies
+        near = list(base)
+        for _ in range(rng.randint(0, 2)):
+            near[rng.randrange(len(near))] = rng.choice(vocabulary)
+        out.append(" ".join(near).upper() if rng.random() < 0.2 else " ".join(near))
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(11)
+    texts = _texts(rng)
+    ids = list(range(100, 100 + len(texts)))
+    rng.shuffle(ids)
+    out = list(zip(ids, texts, strict=True))
+    return out + [out[-1], out[4], (None, texts[-1]), (None, None)]
+
+
+def _df(spark, rows, tmp_path):
+    """From files, with columns whose names operators use inside."""
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("th", "id", "keys", "n", "label", "row", "token", "bin")})
+    df.repartition(3).write.mode("overwrite").parquet(str(tmp_path / "docs"))
+    return spark.read.parquet(str(tmp_path / "docs"))
+
+
+LAST = 1 << 62
+
+
+def test_substring_dedup(spark, rows, tmp_path):
+    got = sorted(tuple(r) for r in substring_dedup.substring_dedup(_df(spark, rows, tmp_path)).select(F.coalesce("doc_id", F.lit(LAST)), "n_words", "n_removed", "kept_sha256").collect())
+    least: dict = {}
+    cut = [(i if i is not None else LAST, WORD.findall(t or "")) for i, t in rows]
+    for i, w in cut:
+        for k in range(len(w) - 12):
+            least[tuple(w[k : k + 13])] = min(least.get(tuple(w[k : k + 13]), LAST), i)
+    want = []
+    for i, w in cut:
+        gone = set()
+        for k in range(len(w) - 12):
+            if least[tuple(w[k : k + 13])] < i:
+                gone |= set(range(k, k + 13))
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    assert got == sorted(want) and sum(x[2] for x in want) > 100
+
+
+def test_subtrees_of_any_size():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    suffixes = rng.integers(0, 2, (500, 13)).astype(np.uint32)
+    suffixes[100:300] = suffixes[0]
+    docs = rng.integers(0, 40, 500)
+    whole = substring_dedup.repeats(suffixes, docs, 10_000)
+    assert (substring_dedup.repeats(suffixes, docs, 7) == whole).all() and whole.any()
+    found = list(substring_dedup.pieces(suffixes, 7))
+    assert sorted(np.concatenate(found).tolist()) == list(range(500))
+
+
+def _components(rows):
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    label = list(range(len(rows)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and 100 * both >= 80 * len(sets[a] | sets[b]):
+                label[root(a)] = root(b)
+    groups: dict = {}
+    for i in range(len(rows)):
+        groups.setdefault(root(i), []).append(i)
+    return sets, [groups[root(i)] for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("parts", [(128, 16, 4096), (4, 3, 5)])
+def test_jaccard_components(spark, rows, tmp_path, monkeypatch, parts):
+    monkeypatch.setattr(jaccard_join, "PART_NODES", parts)
+    key = lambda x: LAST if x is None else x
+    got = sorted((key(r[0]), r[1], key(r[2])) for r in jaccard_join.similar_components(_df(spark, rows, tmp_path)).collect())
+    sets, groups = _components(rows)
+    want = sorted((key(i), len(s), min(key(rows[j][0]) for j in g)) for (i, _), s, g in zip(rows, sets, groups, strict=True))
+    assert got == want and len({c for _, _, c in want}) < len(want) - 20
+
+
+def test_one_of_each(spark, rows, tmp_path):
+    got = sorted((LAST if r["doc_id"] is None else r["doc_id"]) for r in jaccard_join.one_of_each(_df(spark, rows, tmp_path)).collect())
+    sets, groups = _components(rows)
+    key = lambda i: LAST if rows[i][0] is None else rows[i][0]
+    want = [key(i) for i in range(len(rows)) if not sets[i]] + [min(map(key, g)) for g in {tuple(g) for i, g in enumerate(groups) if sets[i]}]
+    assert got == sorted(want)
+
+
+def test_token_counts(spark, rows, tmp_path):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    more = rows + [(900, "<s> </s> ▁▁ é漢字😀\x00 \r\n\t  tail  "), (901, "ab" * 30_000)]
+    got = sorted((LAST if r[0] is None else r[0], *r[1:]) for r in token_counts.count_tokens(_df(spark, more, tmp_path), path, 50).collect())
+    count = lambda t: len(model.encode(t or ""))
+    assert got == sorted((LAST if i is None else i, len((t or "").encode()), count(t), count(t) > 50) for i, t in more)
+
+
+def test_media(spark, rows, tmp_path):
+    got = matroska.media_columns(_df(spark, rows, tmp_path)).collect()
+    assert len(got) == len(rows)
+    texts: dict = {}
+    for i, t in rows:
+        texts.setdefault(i, set()).add((t or "").encode())
+    for r in got:
+        payload = matroska.payload(r["media"], matroska.read(r["media"]))
+        assert payload[: r["n_bytes"]] in texts[r["doc_id"]] and len(payload) == r["payload_bytes"] and len(payload) % 64 == 0 and len(payload) >= 64
+        assert hashlib.sha256(payload).hexdigest() == r["payload_sha256"] and hashlib.sha256(bytes(r["media"])).hexdigest() == r["media_sha256"]
+
+
+def test_language(spark, tmp_path):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("the house of the dog", "en"), ("das haus der katze", "de")] * 5)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["the dog", "die Katze", "hundehaus", None, "", "123 !?", "ẞ"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string").drop("score")
+    got = [(r["lang_pred"], r["score"]) for r in language_id.predict(df, model).orderBy("doc_id").collect()]
+    assert [x for x, _ in got[:6]] == ["en", "de", "de", "und", "und", "und"] and got[6][0] in ("de", "en")
+    assert all(0 <= s <= 1 for _, s in got)
+    none = language_id.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert none.predict("text") == ("und", 0.0)
+
+
+def test_decontamination(spark, rows, tmp_path):
+    rng = random.Random(4)
+    words = [f"w{rng.randint(0, 3000)}" for _ in range(40_000)]
+    items = [(k, " ".join(words[k * 40 : k * 40 + rng.randint(12, 40)]) + ". The answer is " + " ".join(words[k * 40 : k * 40 + 4]) + str(k)) for k in range(120)]
+    docs = [(i, " ".join(words[i * 200 : i * 200 + 150])) for i in range(20, 180)]
+    planted = {(1000 + k, k) for k in range(0, 120, 7)}
+    docs += [(d, f"{' '.join(rng.choice(words) for _ in range(rng.randint(0, 400)))} {items[k][1].upper()} and more") for d, k in planted]
+    docs += [(None, items[3][1]), (5, None), (6, "")]
+    benchmark = spark.createDataFrame([*items, (500, None), (501, "")], "item_id long, text string")
+    for shard in (20_000, 30):
+        found = decontaminate.contaminated(_df(spark, docs, tmp_path), benchmark, shard_items=shard).collect()
+        pairs = {(r["doc_id"], r["item_id"]) for r in found}
+        assert planted | {(None, 3)} <= pairs and all(i in dict(items) for _, i in pairs)
+        clean = decontaminate.without_contaminated(_df(spark, docs, tmp_path), benchmark, shard_items=shard)
+        assert clean.count() == len(docs) - len({d for d, _ in pairs})
+    # Bounds never lose an item: every passage's exact scores against the search.
+    index = decontaminate.Index.build([i for i, _ in items], [t for _, t in items])
+    import numpy as np
+
+    for _, t in items[:30]:
+        terms = np.unique(np.searchsorted(index.vocabulary, decontaminate._terms([t])[0]))
+        exact: dict = {}
+        for x in terms:
+            for k in range(index.first[x], index.first[x + 1]):
+                exact[int(index.item[k])] = exact.get(int(index.item[k]), 0) + index.impact[k]
+        who, block = index.bounds(np.zeros(len(terms), np.int64), terms, 0.3)
+        assert {i for i, s in index.search(terms, block, 0.3).items()} == {i for i, s in exact.items() if s >= 0.3 - 1e-9}
+
+
+def test_secrets(spark, rows, tmp_path):
+    texts = ["token=token: abcdef", "user = bob@x password='hunter2hunter2' https://api.x.com/v1 é 😀 Ab3dEf6hIj9kLmN0", "login: bob " + "x " * 200 + " Ab3dEf6hIj9kLmN0 10.0.0.1", "😀 token: é token: 12345 token:1234567", "AKIA" + "ABCDEFGHIJKLMNOP2 " + "ab12" * 8]
+    got = [r["spans"] for r in secret_scan.scan(_df(spark, list(enumerate(texts)), tmp_path)).orderBy("doc_id").collect()]
+    assert got == ["", "ident:0:12,assign:13:37,endpoint:39:59,weak:64:80", "", "assign:24:37", "access:0:21,hex:22:54"]
+    whole = secret_scan.scan(_df(spark, rows, tmp_path))
+    assert whole.count() == len(rows) and whole.where("spans <> ''").isEmpty()
+    kept = secret_scan.without_secrets(_df(spark, [*enumerate(texts), (9, None), (9, None)], tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 9, 9]
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_mixing(spark, broadcast, tmp_path):
+    rng = random.Random(8)
+    docs = [(i, "t" * rng.randint(1, 300), rng.choice(["a", "b", None]), rng.choice(["en", "de"]), rng.choice(["s1", "s2", "s3"])) for i in range(300)] + [(7, None, "a", "en", "s1"), (None, "tt", "a", "en", "s1")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, domain string, lang string, source string")
+    weights = {"domain": {"a": 0.9, "b": 0.1}, "lang": {"en": 3.0, "de": 1.0}}
+    total = sum(-(-len(t or "") // 4) for _, t, *_ in docs)
+    out = mixing.mix(df, 1.5, weights, epochs=2, broadcast_leaves=broadcast).collect()
+    spent = sum(r["n_tokens"] for r in out)
+    a = sum(-(-len(t or "") // 4) for _, t, d, *_ in docs if d == "a")
+    b = sum(-(-len(t or "") // 4) for _, t, d, *_ in docs if d == "b")
+    # Domain a can't spend 90 %: all of its epochs go, and b gets the shortage; a null domain has no weight.
+    assert {r["domain"] for r in out} == {"a", "b"} and max(r["epoch"] for r in out) == 1
+    assert sum(r["n_tokens"] for r in out if r["domain"] == "a") == 2 * a
+    assert min(1.5 * total, 2 * a + 2 * b) - 6 * 300 <= spent <= 1.5 * total
+    assert mixing.mix(df, 0.0, weights).isEmpty() and mixing.mix(df.where("false"), 0.5, weights).isEmpty()
+
+
+def test_empty_tables(spark, tmp_path):
+    none = _df(spark, [], tmp_path)
+    assert substring_dedup.substring_dedup(none).isEmpty() and jaccard_join.similar_components(none).isEmpty()
+    assert secret_scan.scan(none).isEmpty() and matroska.media_columns(none).isEmpty()
+    assert decontaminate.contaminated(none, spark.createDataFrame([], "item_id long, text string")).isEmpty()
