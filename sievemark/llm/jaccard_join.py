@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sievemark.llm.components import components
 from sievemark.llm.repeats import repeated_keys
-from sievemark.llm.scratch import Scratch, task_count
+from sievemark.llm.scratch import Scratch, aside, task_count
 from sievemark.llm.wordhash import U, runs, words
 
 WORDS, PERCENT = 5, 80
@@ -165,10 +165,11 @@ def one_of_each(documents: DataFrame, shingle: int = WORDS, percent: int = PERCE
     named = _labelled(documents, shingle, percent)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
     first = named.where("label is not null").groupBy("label").agg(F.min(rank).alias("r")).select(F.col("r.doc_id").alias("id"), F.col("r.th").alias("th"))
-    copies = documents.withColumn("th", F.xxhash64("text")).alias("d")
+    moved, back = aside(documents, "th", "id")
+    copies = moved.withColumn("th", F.xxhash64("text")).alias("d")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.id")) & (F.col("d.th") == F.col("f.th"))
     kept = copies.join(first.hint("shuffle_merge").alias("f"), same, "left_semi").dropDuplicates(["doc_id", "th"]).drop("th")
-    return kept.unionByName(documents.where(~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")))
+    return kept.withColumnsRenamed(back).unionByName(documents.where(~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")))
 
 
 def _labels(scratch: Scratch, nodes: DataFrame, percent: int) -> DataFrame:

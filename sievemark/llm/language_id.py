@@ -10,7 +10,8 @@ max_rows / all labelled rows. The model is bounded too: the most frequent words
 
 Cases: null text and text without a letter give `und` and score 0, as does every text when nothing was
 learned; equal sums go to the first language by name; rows with null lang or doc_id teach nothing, a null doc_id is
-not held out; repeated rows count each time; other columns are ignored.
+not held out; repeated rows count each time; other columns pass through (lang_pred and score
+are replaced).
 """
 
 from __future__ import annotations
@@ -145,6 +146,7 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WO
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """documents with lang_pred and score added; only `text` is read for them."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # at most max_words + max_grams rows
+    documents = documents.drop("lang_pred", "score")
     names = documents.columns
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

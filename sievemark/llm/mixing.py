@@ -12,7 +12,7 @@ a leaf of a third of all rows never meets in one task. The leaf table is broadca
 
 Cases: nulls in the tree's columns are a child of their own; null text has no tokens and is taken with
 its leaf's first epoch if there is budget left; null doc_id has a place in the order too; equal hashes go by doc_id; repeated rows are rows of
-their own; other columns pass through; no rows or no budget give no rows; siblings of zero weight get
+their own; other columns pass through (n_tokens and epoch are replaced); no rows or no budget give no rows; siblings of zero weight get
 nothing.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemark.llm.scratch import Scratch
+from sievemark.llm.scratch import Scratch, aside
 
 TREE = ("domain", "lang", "source")
 NONE = "(none)"
@@ -74,7 +74,9 @@ def mix(documents: DataFrame, share: float, weights: dict[str, dict[str, float]]
     """Rows of documents(doc_id, domain, lang, source, …) as often as they are taken, with `epoch` and `n_tokens`. share: of all tokens, the budget."""
     scratch = Scratch(documents.sparkSession, "mixing")
     names = [f"tree_{c}" for c in TREE]
-    rows = documents.withColumn("n_tokens", tokens() if cost is None else cost)
+    documents = documents.drop("n_tokens", "epoch")
+    moved, back = aside(documents, "order", "bin", "whole", "rest", "taken", "end_bin", "end_before", "in_bin", "upto", *names)
+    rows = moved.withColumn("n_tokens", tokens() if cost is None else cost)
     rows = rows.withColumns({n: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for n, c in zip(names, TREE, strict=True)})
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
     leaves = scratch.table(leaves.select(*(F.col(n).alias(c) for n, c in zip(names, TREE, strict=True)), "tokens"), "leaves")
@@ -96,4 +98,4 @@ def mix(documents: DataFrame, share: float, weights: dict[str, dict[str, float]]
     others = met.where("end_bin is null or bin <> end_bin").withColumn("taken", (F.col("rest") > 0) & (F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin"))))
     times = F.col("whole") + F.col("taken").cast("long")
     taken = others.unionByName(last).where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))))
-    return taken.select(*documents.columns, "n_tokens", "epoch")
+    return taken.select(*moved.columns, "n_tokens", "epoch").withColumnsRenamed(back)

@@ -51,3 +51,9 @@ def scan_bytes(df: DataFrame) -> int:
 def task_count(spark: SparkSession, df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """As many tasks as shuffles have here, or more where the input is large."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, scan_bytes(df) // bytes_each))
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns that clash with names renamed, and how to rename them back."""
+    back = {f"aside_{i}_{c}": c for i, c in enumerate(df.columns) if c.lower() in names}
+    return df.withColumnsRenamed({c: n for n, c in back.items()}), back

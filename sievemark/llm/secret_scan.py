@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievemark.llm.scratch import aside
+
 SCOPE = 256
 
 
@@ -115,7 +117,8 @@ def without_secrets(documents: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     # Only texts with a match of some pattern can have a span; the rest need no join.
     suspect = F.rlike(text, F.lit("|".join(f"(?:{p})" for p in PATTERNS.values())))
-    held = documents.where(suspect)
+    moved, back = aside(documents, "th")
+    held = moved.where(suspect)
     found = spans(held.select(F.xxhash64("text").alias("doc_id"), "text")).where("kind is not null").select(F.col("doc_id").alias("th")).distinct()
-    cleared = held.withColumn("th", F.xxhash64("text")).join(found.hint("shuffle_merge"), "th", "left_anti").select(documents.columns)
+    cleared = held.withColumn("th", F.xxhash64("text")).join(found.hint("shuffle_merge"), "th", "left_anti").withColumnsRenamed(back).select(documents.columns)
     return documents.where(~suspect).unionByName(cleared)
