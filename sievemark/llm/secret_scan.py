@@ -120,5 +120,5 @@ def without_secrets(documents: DataFrame) -> DataFrame:
     moved, back = aside(documents, "th")
     held = moved.where(suspect)
     found = spans(held.select(F.xxhash64("text").alias("doc_id"), "text")).where("kind is not null").select(F.col("doc_id").alias("th")).distinct()
-    cleared = held.withColumn("th", F.xxhash64("text")).join(found.hint("shuffle_merge"), "th", "left_anti").withColumnsRenamed(back).select(documents.columns)
+    cleared = held.withColumn("th", F.xxhash64("text")).join(found.hint("shuffle_merge"), "th", "left_anti").drop("th").withColumnsRenamed(back).select(documents.columns)
     return documents.where(~suspect).unionByName(cleared)
