@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from sievemark.llm.wordhash import U, pack_sorted, planes, unpack_sorted, unplanes
 
 #: Keys that a map task settles at once; a block has 2 to the power of BLOCK_BITS rows.
-CHUNK_KEYS, BLOCK_BITS = 2_000_000, 11
+CHUNK_KEYS, BLOCK_BITS = 1_000_000, 11
 _KNOWN = np.int64(-1)
 _WIRE = pa.schema([("slot", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("meta", pa.binary())])
 _WIRE_DDL = "slot long, block long, kind int, a binary, b binary, meta binary"

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sievemark.llm.repeats import _WIRE, _WIRE_DDL, ANSWER, BLOCK_BITS, CHUNK_KEYS, ENTRY, ROWS, _batches, by_block, repeated_keys
 from sievemark.llm.scratch import Scratch, task_count
-from sievemark.llm.wordhash import U, planes, runs, unplanes, words
+from sievemark.llm.wordhash import U, mix, planes, runs, unplanes, words
 
 DEPTH, RUN = 13, 6
 SUBTREE_SUFFIXES = 400_000
@@ -102,7 +102,7 @@ def repeats(suffixes: np.ndarray, docs: np.ndarray, limit: int = SUBTREE_SUFFIXE
 def _minimizers(depth: int, run: int):
     def extract(batch: pa.RecordBatch):
         for w in words(batch["text"]):
-            least = _least(runs(w.hash, run), depth - run + 1)
+            least = mix(_least(runs(w.hash, run), depth - run + 1))  # least values are small: spread them again
             at, n = _starts(w.first, depth)
             keys, counts = [], np.zeros(w.texts, dtype=np.int64)
             ends = np.cumsum(n)
@@ -134,7 +134,7 @@ class _Chunk:
     def add(self, w, batch: pa.RecordBatch, keys: pa.Array, run: int) -> None:
         short = (w.hash & _LOW).astype(np.uint32)
         gram = runs(w.hash, run)
-        least = _least(gram, self.depth - run + 1)
+        least = mix(_least(gram, self.depth - run + 1))
         at, n = _starts(w.first, self.depth)
         ends = np.cumsum(n)
         ids = batch["id"].slice(w.at, w.texts).to_numpy(zero_copy_only=False)
