@@ -4,8 +4,8 @@ Method: the test items are a BM25 inverted index, searched by block-max WAND; ev
 a query. An item's score is divided by its score against itself, so a passage with all its
 words scores 1, and all items of `least_score` or more are retrieved, however many. Bounds come per
 block of items: what frequent terms can give at most in the block, and for other terms their block
-maxima. They are summed for a batch of passages at once; only passages and blocks whose bound
-reaches the threshold are scored, term by term from the rarest, ending where the rest can't reach it.
+maxima; in blocks where frequent terms alone can reach the threshold, theirs are block maxima too. They are
+summed for a batch of passages at once; only passages and blocks whose bound reaches the threshold are scored, term by term from the rarest, ending where the rest can't reach it.
 A retrieved item is then verified: enough of the n-grams of its question and of its answer must be in the
 document near the passage.
 
@@ -36,6 +36,8 @@ K1, B = 1.2, 0.75
 SHARD_ITEMS, SHARD_BYTES, BLOCK_ITEMS = 20_000, 16 << 20, 8
 #: Terms in more than this share of a shard's items are bounded together.
 FREQUENT = 0.1
+#: Block maxima that are summed at once, in whole passages.
+BOUNDS = 1 << 21
 _ANSWER = re.compile(r"(?is)\A(.*?\S)\s*(?:\banswer\s*:|\ba\s*:|\?\s+)\s*(\S.*)\Z")
 _SENTENCE = re.compile(r"(?s)\A(.*[.!?])\s+(\S.*)\Z")
 
@@ -108,7 +110,7 @@ class Index:
         top = np.maximum.reduceat(impact, first) if len(first) else impact
         number = np.repeat(np.arange(len(vocabulary)), np.diff(ends))
         rare = ~many[number]
-        key = number[rare] * (1 << 32) + item[rare] // BLOCK_ITEMS
+        key = number * (1 << 32) + item // BLOCK_ITEMS
         keys, at = np.unique(key, return_index=True)
         blocks = -(-len(texts) // BLOCK_ITEMS)
         own = np.bincount(item[~rare], impact[~rare], minlength=blocks * BLOCK_ITEMS)
@@ -116,27 +118,38 @@ class Index:
         questions, answers = _terms([q for q, _ in parts]), _terms([a for _, a in parts])
         return Index(
             ids, vocabulary, ends, item, impact, top, many,
-            np.searchsorted(keys, np.arange(len(vocabulary) + 1) * (1 << 32)), keys % (1 << 32), np.maximum.reduceat(impact[rare], at) if len(at) else np.zeros(0),
+            np.searchsorted(keys, np.arange(len(vocabulary) + 1) * (1 << 32)), keys % (1 << 32), np.maximum.reduceat(impact, at) if len(at) else np.zeros(0),
             own.reshape(-1, BLOCK_ITEMS).max(axis=1) if blocks else own, max((len(t) for t in terms), default=0),
             [_grams(q, gram) for q in questions], [_grams(a, gram) for a in answers], [(min(gram, len(q)), min(gram, len(a))) for q, a in zip(questions, answers, strict=True)],
         )
 
     def bounds(self, passage: np.ndarray, term: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(passage, block) whose bound reaches least, from distinct (passage, term) in order."""
-        keep = ~self.frequent[term]
-        passage, term = passage[keep], term[keep]
-        n = self.block_first[term + 1] - self.block_first[term]
-        at = np.repeat(self.block_first[term], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        key = np.repeat(passage, n) * len(self.base) + self.block[at]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        if not len(key):
-            return key, key
-        cut = np.flatnonzero(np.diff(key, prepend=-1))
-        total = np.add.reduceat(self.block_top[at][order], cut)
-        key = key[cut]
-        reached = total + self.base[key % len(self.base)] >= least - 1e-9
-        return key[reached] // len(self.base), key[reached] % len(self.base)
+        heavy = self.base >= least - 1e-9  # frequent terms count one by one here, and in other blocks as base
+        keep = heavy[self.block] | ~np.repeat(self.frequent, np.diff(self.block_first))
+        first = np.concatenate([[0], np.cumsum(keep)])[self.block_first]
+        block, top, base = self.block[keep], self.block_top[keep], np.where(heavy, 0.0, self.base)
+        n = first[term + 1] - first[term]
+        some = n > 0
+        passage, term, n = passage[some], term[some], n[some]
+        if not len(passage):
+            return passage, passage
+        starts = np.flatnonzero(np.diff(passage, prepend=-1))
+        part = (np.cumsum(n) - n)[starts] // BOUNDS
+        cuts = [*starts[np.flatnonzero(np.diff(part, prepend=-1))].tolist(), len(passage)]
+        found = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            m = n[lo:hi]
+            at = np.repeat(first[term[lo:hi]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            key = np.repeat(passage[lo:hi], m) * len(base) + block[at]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            cut = np.flatnonzero(np.diff(key, prepend=-1))
+            total = np.add.reduceat(top[at][order], cut)
+            key = key[cut]
+            found.append(key[total + base[key % len(base)] >= least - 1e-9])
+        key = np.concatenate(found)
+        return key // len(base), key % len(base)
 
     def search(self, terms: np.ndarray, blocks: np.ndarray, least: float) -> dict[int, float]:
         """Items in these blocks whose score reaches least; terms are distinct."""
@@ -188,7 +201,7 @@ def _find(shared, least_score: float, least_overlap: float):
                 best: dict[tuple[int, int], tuple] = {}
                 for p in np.unique(who).tolist():
                     lo, hi = np.searchsorted(passage, [p, p + 1])
-                    found = index.search(term[lo:hi], block[who == p], least_score)
+                    found = index.search(term[lo:hi], block[slice(*np.searchsorted(who, [p, p + 1]))], least_score)
                     if not found:
                         continue
                     d = int(np.searchsorted(base, p, side="right")) - 1

@@ -185,6 +185,41 @@ def test_decontamination(spark, rows, tmp_path):
         assert {i for i, s in index.search(terms, block, 0.3).items()} == {i for i, s in exact.items() if s >= 0.3 - 1e-9}
 
 
+def test_decontamination_of_frequent_words(spark, tmp_path, monkeypatch):
+    rng = random.Random(21)
+    draw = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    own = [f"own{k}" for k in range(900)]
+    repeated = draw(own[:60], 14) + ". The answer is " + draw(own[:60], 4)
+    few = [f"few{k}" for k in range(10)]
+    fixed = [(20 + k, draw(few, 12) + ". " + draw(few, 4)) for k in range(10)]
+    benchmarks = [
+        [(k, repeated if k < 4 else draw(own, 20)) for k in range(10)],  # an item four times among ten
+        [(k, repeated if k % 7 == 0 else draw(own, 20)) for k in range(70)],  # on over 10 % of the rows of a larger one
+        fixed,  # ten distinct words in all
+    ]
+    for cap in (1 << 21, 1):
+        monkeypatch.setattr(decontaminate, "BOUNDS", cap, raising=False)
+        for items in benchmarks:
+            docs = [(100 + k, f"{draw(['x', 'y', 'z'], 300)} {t} {draw(['x', 'y'], 50)}") for k, t in items]
+            found = decontaminate.contaminated(_df(spark, docs, tmp_path), spark.createDataFrame(items, "item_id long, text string")).collect()
+            pairs = {(r["doc_id"], r["item_id"]) for r in found}
+            assert {(100 + k, j) for k, t in items for j, u in items if t == u} <= pairs
+            assert decontaminate.without_contaminated(_df(spark, docs, tmp_path), spark.createDataFrame(items, "item_id long, text string")).isEmpty()
+    # All passages' exact scores against the search, where all terms are frequent.
+    import numpy as np
+
+    index = decontaminate.Index.build([i for i, _ in fixed], [t for _, t in fixed])
+    assert index.frequent.any()
+    for least in (0.3, 0.6, 0.9):
+        for size in range(1, len(index.vocabulary) + 1):
+            terms = np.sort(np.array(rng.sample(range(len(index.vocabulary)), size)))
+            exact = np.zeros(len(fixed))
+            for x in terms:
+                np.add.at(exact, index.item[index.first[x] : index.first[x + 1]], index.impact[index.first[x] : index.first[x + 1]])
+            _, block = index.bounds(np.zeros(size, np.int64), terms, least)
+            assert set(index.search(terms, block, least)) == set(np.flatnonzero(exact >= least - 1e-9).tolist())
+
+
 def test_secrets(spark, rows, tmp_path):
     texts = ["token=token: abcdef", "user = bob@x password='hunter2hunter2' https://api.x.com/v1 é 😀 Ab3dEf6hIj9kLmN0", "login: bob " + "x " * 200 + " Ab3dEf6hIj9kLmN0 10.0.0.1", "😀 token: é token: 12345 token:1234567", "AKIA" + "ABCDEFGHIJKLMNOP2 " + "ab12" * 8]
     got = [r["spans"] for r in secret_scan.scan(_df(spark, list(enumerate(texts)), tmp_path)).orderBy("doc_id").collect()]
