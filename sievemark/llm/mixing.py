@@ -2,8 +2,8 @@
 
 Method: hierarchical budgeting over a domain-language-source tree. The budget goes down by weight. What a child
 can't supply (its tokens times the epochs allowed) is shared among its siblings by weight; only what all siblings
-together lack reaches the parent's siblings, because a parent never gets more than its subtree has. A
-leaf takes whole epochs, then the prefix of a seeded order of its documents that fits.
+together lack reaches the parent's siblings, because a parent never gets more than its subtree has, where
+leaves below a child of zero weight have nothing. A leaf takes whole epochs, then the prefix of a seeded order of its documents that fits.
 
 Leaf sums are tables, and shares are window sums over siblings. The prefix is found by bins of the seeded hash:
 bin sums tell the bin in which a leaf's budget ends, and only that bin's rows are sorted, so
@@ -61,9 +61,13 @@ def shared_out(children: DataFrame, parent: list[str]) -> DataFrame:
 def budgets(leaves: DataFrame, budget: float, weights: dict[str, dict[str, float]], epochs: int) -> DataFrame:
     """leaves(domain, lang, source, tokens) with their budgets."""
     out = None
+    weighty = F.lit(True)
+    for column in TREE:
+        weighty &= _weight(F.col(column), weights.get(column)) > 0
+    usable = leaves.where(weighty & (F.col("tokens") > 0))
     for depth, column in enumerate(TREE):
         own, parent = list(TREE[: depth + 1]), list(TREE[:depth])
-        sums = leaves.groupBy(*own).agg((F.sum("tokens") * epochs).cast("double").alias("supply"))
+        sums = usable.groupBy(*own).agg((F.sum("tokens") * epochs).cast("double").alias("supply"))
         level = sums.withColumn("budget", F.lit(float(budget))).withColumn("root", F.lit(0)) if out is None else sums.join(out.drop("supply"), parent)
         level = level.withColumn("weight", _weight(F.col(column), weights.get(column))).withColumn("name", F.col(column))
         out = shared_out(level, parent or ["root"]).select(*own, "budget", "supply")

@@ -248,6 +248,25 @@ def test_mixing(spark, broadcast, tmp_path):
     assert mixing.mix(df, 0.0, weights).isEmpty() and mixing.mix(df.where("false"), 0.5, weights).isEmpty()
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_mixing_with_zero_weights_inside_a_domain(spark, broadcast):
+    # Most of the heavy domain is of null or unlisted languages; the third domain has nothing else.
+    sizes = [("a", None, 400), ("a", "xx", 200), ("a", "en", 20), ("a", "de", 10), ("b", "en", 300), ("b", "de", 300), ("c", None, 500)]
+    docs = [(1000 * k + i, "t" * 40, domain, lang, f"s{i % 2}") for k, (domain, lang, n) in enumerate(sizes) for i in range(n)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, domain string, lang string, source string")
+    weights = {"domain": {"a": 0.6, "b": 0.1, "c": 0.3}, "lang": {"en": 0.5, "de": 0.5}}
+    total = 10 * len(docs)
+    out = mixing.mix(df, 0.5, weights, epochs=2, broadcast_leaves=broadcast).collect()
+    spent = lambda *of: sum(r["n_tokens"] for r in out if (r["domain"], r["lang"]) in of)
+    assert {(r["domain"], r["lang"]) for r in out} == {("a", "en"), ("a", "de"), ("b", "en"), ("b", "de")}
+    # All that a can supply goes; b takes what a and c can't, by the weights of its languages.
+    assert (spent(("a", "en")), spent(("a", "de"))) == (2 * 200, 2 * 100)
+    assert 0.5 * total - 10 * 4 <= spent(*{(r["domain"], r["lang"]) for r in out}) <= 0.5 * total
+    assert abs(spent(("b", "en")) - spent(("b", "de"))) <= 10 * 2
+    # More budget than the weighted leaves have: all of them go, in all epochs.
+    assert sum(r["n_tokens"] for r in mixing.mix(df, 1.5, weights, epochs=2, broadcast_leaves=broadcast).collect()) == 2 * 10 * 630
+
+
 def test_empty_tables(spark, tmp_path):
     none = _df(spark, [], tmp_path)
     assert substring_dedup.substring_dedup(none).isEmpty() and jaccard_join.similar_components(none).isEmpty()
