@@ -5,8 +5,10 @@ other word scores by its character n-grams, the longest of which some are known,
 frequency; shorter ones are asked only if no longer one is known. A text's language has
 the largest sum over its words, and `score` is that language's posterior.
 
-Training counts words of labelled rows in Spark. The sample is bounded: rows whose id hash falls under
-max_rows / all labelled rows. The model is bounded too: the most frequent words and n-grams.
+Training counts words of labelled rows in Spark. The sample is bounded for each language: its rows whose id hash
+falls under max_rows / its labelled rows, so a language of fewer rows has all of them read. The model is bounded
+too: each language brings its most frequent words and n-grams, an equal number or as many as it has, and
+what small languages leave is shared among the others.
 
 Cases: null text and text without a letter give `und` and score 0, as does every text when nothing was
 learned; equal sums go to the first language by name; rows with null lang or doc_id teach nothing, a null doc_id is
@@ -27,7 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievemark.llm.scratch import Scratch
+
 UND = "und"
+#: Rows of a language, and words and n-grams of the model.
 MAX_ROWS, MAX_WORDS, MAX_GRAMS = 4_000, 60_000, 60_000
 LONGEST = 5
 #: Added to counts, and words that a worker remembers before it starts afresh.
@@ -119,18 +124,31 @@ def _count(longest: int):
     return count
 
 
+def _quotas(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """Equal parts of most; what a language can't fill goes to the larger ones."""
+    out = {}
+    for k, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, (most - sum(out.values())) // (len(sizes) - k))
+    return out
+
+
 def train(labelled: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, longest: int = LONGEST) -> Model:
     """Learns from labelled(doc_id, text, lang)."""
     labelled = labelled.where("lang is not null and doc_id is not null").select("doc_id", "text", "lang")
-    total = labelled.select("lang").count()
-    share = min(1.0, max_rows / total) if total else 1.0
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sizes = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(max_rows) / F.count("*")).alias("share"))
+    sample = labelled.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))  # a row a language
     counts = sample.select("lang", "text").mapInArrow(_count(longest), "lang string, kind int, item string, n long")
     by_item = counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
-    by_item = by_item.groupBy("kind", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("total"))
+    scratch = Scratch(labelled.sparkSession, "language-id")
+    by_item = scratch.table(by_item.groupBy("kind", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")), "items")
+    held: dict[int, dict[str, int]] = {0: {}, 1: {}}
+    for r in by_item.select("kind", F.explode(F.map_keys("by")).alias("lang")).groupBy("kind", "lang").count().collect():
+        held[r["kind"]][r["lang"]] = r["count"]
     rows = []
     for kind, most in ((0, max_words), (1, max_grams)):
-        rows += by_item.where(F.col("kind") == kind).orderBy(F.desc("total"), "item").limit(most).collect()
+        for lang, quota in _quotas(held[kind], most).items():
+            rows += by_item.where((F.col("kind") == kind) & F.col("by")[lang].isNotNull()).orderBy(F.desc(F.col("by")[lang]), "item").limit(quota).collect()
+    scratch.drop(by_item)
     languages = sorted({x for r in rows for x in r["by"]})
     place = {x: i for i, x in enumerate(languages)}
     found: tuple[dict, dict] = ({}, {})

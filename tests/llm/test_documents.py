@@ -156,6 +156,19 @@ def test_language(spark, tmp_path):
     assert none.predict("text") == ("und", 0.0)
 
 
+def test_language_of_few_rows(spark):
+    rows = [(i, f"common{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} the of and", "en") for i in range(3000)] + [(5000 + i, "zug zwölf wälder", "xx") for i in range(5)] + [(9000, None, "xx"), (None, "zug", "yy"), (9001, "zug", None)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = language_id.train(labelled, max_rows=20)
+    assert few.languages == ["en", "xx"] and few.predict("zwölf")[0] == "xx" and few.predict("the")[0] == "en"
+    assert few.table.shape[0] <= 3 + 3 + 60  # about 20 rows of the large language
+    crowded = language_id.train(labelled, max_rows=10_000, max_words=40, max_grams=80)
+    assert {"zug", "zwölf", "wälder", "the", "of", "and"} <= set(crowded.words)
+    assert len(crowded.words) == 40 and len(crowded.grams) <= 80  # what the small language leaves goes to the large one
+    assert crowded.predict("zwölf")[0] == "xx"
+    assert language_id._quotas({"a": 2, "b": 100, "c": 100}, 40) == {"a": 2, "b": 19, "c": 19}
+
+
 def test_decontamination(spark, rows, tmp_path):
     rng = random.Random(4)
     words = [f"w{rng.randint(0, 3000)}" for _ in range(40_000)]
