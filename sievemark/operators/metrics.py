@@ -118,8 +118,8 @@ def in_flight(intervals: DataFrame, keys: list[str], start: str, end: str) -> Da
 
 
 def once_per_text(df: DataFrame, text: str, scan) -> DataFrame:
-    """df with `scanned`, computed once per distinct text and joined back by the text's hash and the text."""
-    keyed = df.withColumn("text_hash", F.xxhash64(text))
-    distinct = keyed.select("text_hash", text).dropDuplicates(["text_hash", text])
-    found = distinct.withColumn("scanned", scan(F.col(text)))
-    return keyed.join(found, ["text_hash", text]).drop("text_hash")
+    """df with `scanned`, computed once per distinct text and joined back by the text's hash and the text; null is a text too."""
+    keyed = df.withColumns({"text_hash": F.xxhash64(text), "absent": F.col(text).isNull(), text: F.coalesce(text, F.lit(""))})
+    keys, own = ["text_hash", "absent", text], F.when(~F.col("absent"), F.col(text))  # plain equality keeps the shuffle of the distinct texts
+    found = keyed.select(*keys).dropDuplicates(keys).withColumn("scanned", scan(own))
+    return keyed.join(found, keys).withColumn(text, own).drop("text_hash", "absent")

@@ -81,3 +81,17 @@ def test_files(spark, tmp_path):
     assert IO.prompts(spark, str(tmp_path / "p")).collect() == prompts.collect()
     IO.append_results(spark.range(2), str(tmp_path / "r"))
     assert IO.results(spark, str(tmp_path / "r"), "id long").count() == 2
+
+
+def test_scan_once_counts_null_texts(spark, tmp_path):
+    import duckdb
+
+    from sievemark.plans import registry
+
+    docs = [(1, "one text", "a"), (2, "one text", "a"), (3, None, "a"), (4, None, "a"), (5, None, "b"), (6, "", "b"), (7, "another", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["scan_once_per_text"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.execute(registry.ORACLES["scan_once_per_text"]).fetchall()
+    assert sorted(map(str, (tuple(r[c] for c in ("source", "n", "texts", "tokens")) for r in got.collect()))) == sorted(map(str, want))
