@@ -50,7 +50,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near copies", near_copies), ("benchmark leaks", benchmark_leaks), ("secrets", secrets), ("mixing", mixed)]
 
-#: SQL expresses none of the first three stages and not the hash order of the last; tests hold run() against a plain version.
+#: SQL expresses none of the first three stages and not the hash order of the last; tests run the stages one by one, but none holds run() against a plain version yet.
 ORACLE_SQL = None
 
 
