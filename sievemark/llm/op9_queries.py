@@ -21,7 +21,7 @@ def _oracle() -> str:
         f"SELECT doc_id, '{k}' AS kind, {r} AS rank, g[i] AS m, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(g[1:i - 1], lambda x: length(x))), 0) AS a FROM (SELECT doc_id, g, p, unnest(range(1, len(g) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {quoted(PATTERNS[k])}) AS g, string_split_regex(coalesce(text, ''), {quoted(PATTERNS[k])}) AS p FROM documents))"
         for r, k in enumerate(KINDS)
     )
-    near = lambda kinds: f"EXISTS (SELECT 1 FROM parts x WHERE x.doc_id = parts.doc_id AND x.kind IN ({', '.join(map(quoted, kinds))}) AND abs(x.a - parts.a) <= {SCOPE})"
+    near = lambda kinds: f"EXISTS (SELECT 1 FROM parts x WHERE x.doc_id = parts.doc_id AND x.kind IN ({', '.join(map(quoted, kinds))}) AND (x.b <= parts.a AND parts.a - x.b <= {SCOPE} OR x.a >= parts.b AND x.a - parts.b <= {SCOPE}))"
     text = lambda where: f"string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank, b) FILTER ({where})"
     return f"""
 WITH found AS (SELECT doc_id, kind, rank, a::BIGINT AS a, (a + length(m))::BIGINT AS b FROM ({each}) WHERE CASE kind WHEN 'assign' THEN {kept["assign"]} WHEN 'weak' THEN {kept["weak"]} ELSE true END),

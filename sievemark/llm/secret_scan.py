@@ -1,15 +1,15 @@
 """Secret scans with linked multipart credentials; native DataFrame functions only.
 
 Base spans are found by three patterns and always reported. Weak candidates are reported only if
-complementary parts lie in one scope (starts at most SCOPE code points apart):
+complementary parts lie in one scope: apart from the candidate (no shared character), with at most SCOPE code points between.
 - `weak` (a token of mixed case and digits) with an identifier (`access` or `ident`) in scope,
 - `ident` (an account, user or client id) with a secret (`assign`, `hex` or `weak`) in scope,
 - `endpoint` (a URL or IPv4 address) with both an identifier and a secret in scope.
 A weak candidate that overlaps a base span is part of it and not reported.
 
-Method: interval join. Starts are binned by the scope's size. Parts are summed up for their own bin and both
-neighbours (any, last start, first start), so that a candidate is joined with one row of its
-document and bin: no pairs of parts are made, however many a scope holds.
+Method: interval join. The texts are scanned once and their spans written. Ends of parts are binned by the scope's size and joined with
+the candidates that begin in the same or the next bin, starts with those that end in the same or the one before. A
+bin's positions are one array of at most SCOPE for either side, so no pairs of parts are made, however many a scope holds.
 
 Cases: null text is empty; no spans give zeros, the hash of no bytes and an empty string; spans of one
 place are in the order of KINDS; repeated rows each keep a row; other columns stay out; offsets
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievemark.llm.scratch import aside
+from sievemark.llm.scratch import Scratch, aside
 
 SCOPE = 256
 
@@ -67,10 +67,10 @@ def _matches(text: Column, kind: str) -> Column:
 
 
 def spans(documents: DataFrame) -> DataFrame:
-    """(row, doc_id, kind, rank, start, end) of all reported spans; a row without any has one row with a null kind."""
+    """(row, doc_id, kind, rank, start, end) of all reported spans of documents(doc_id, text); a row without any has one row with a null kind."""
     text = F.coalesce("text", F.lit(""))
     empty = "array<struct<kind:string,rank:int,i:int,gap:int,size:int,kept:boolean>>"
-    each = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.concat(*(_matches(text, k).cast(empty) for k in KINDS)).alias("all"))
+    each = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(*(_matches(text, k).cast(empty) for k in KINDS)).alias("all"))
     each = each.select("row", "doc_id", F.explode_outer("all").alias("m")).select("row", "doc_id", "m.*").repartition("row")
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = each.withColumn("end", F.sum(F.col("gap").cast("long") + F.col("size")).over(before))
@@ -81,30 +81,37 @@ def spans(documents: DataFrame) -> DataFrame:
     inside = F.coalesce(F.max(F.when(is_base, F.col("end"))).over(up) > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(is_base, F.col("start"))).over(down) < F.col("end"), F.lit(False))
     placed = placed.withColumn("inside", inside)
     placed = placed.withColumn("kind", F.when(is_base | ~F.col("inside"), F.col("kind"))).select("row", "doc_id", "kind", "rank", "start", "end")
-    placed = placed.withColumn("bin", F.expr(f"start div {SCOPE}"))
-    return _linked(placed)
+    return _linked(Scratch(documents.sparkSession, "secret-scan").table(placed, "spans"))
 
 
-def _linked(placed: DataFrame) -> DataFrame:
+def _near(placed: DataFrame, side: str, steps: tuple[int, int]) -> DataFrame:
+    """(row, bin, identifier, secret): the places of this side of parts that candidates of a bin can have in scope."""
     parts = placed.where(F.col("kind").isin(*IDENTIFIERS, *SECRETS))
-    parts = parts.select("row", "start", F.col("kind").isin(*IDENTIFIERS).alias("is_identifier"), F.explode(F.array(*(F.struct((F.col("bin") + d).alias("bin"), F.lit(d).alias("d")) for d in (-1, 0, 1)))).alias("t"))
-    parts = parts.select("row", "start", "is_identifier", "t.*")
-    sums = []
-    for name, wanted in (("identifier", F.col("is_identifier")), ("secret", ~F.col("is_identifier"))):
-        sums += [F.max(wanted & (F.col("d") == 0)).alias(f"{name}_here"), F.max(F.when(wanted & (F.col("d") == 1), F.col("start"))).alias(f"{name}_before"), F.min(F.when(wanted & (F.col("d") == -1), F.col("start"))).alias(f"{name}_after")]
-    around = parts.groupBy("row", "bin").agg(*sums)
-    met = placed.join(around.hint("shuffle_merge"), ["row", "bin"], "left")
+    bins = F.array(*(F.expr(f"{side} div {SCOPE}") + d for d in steps))
+    each = parts.select("row", F.explode(bins).alias("bin"), F.col(side).alias("at"), F.col("kind").isin(*IDENTIFIERS).alias("names"))
+    return each.groupBy("row", "bin").agg(F.collect_set(F.when(F.col("names"), F.col("at"))).alias("identifier"), F.collect_set(F.when(~F.col("names"), F.col("at"))).alias("secret"))
+
+
+def _linked(placed: DataFrame) -> DataFrame:
+    before, after = _near(placed, "end", (0, 1)).alias("before"), _near(placed, "start", (0, -1)).alias("after")
+    met = placed.withColumns({"at_start": F.expr(f"start div {SCOPE}"), "at_end": F.expr(f"end div {SCOPE}")}).alias("x")
+    for near, own in ((before, "at_start"), (after, "at_end")):
+        side = "before" if near is before else "after"
+        met = met.join(near.hint("shuffle_merge"), (F.col("x.row") == F.col(f"{side}.row")) & (F.col(f"x.{own}") == F.col(f"{side}.bin")), "left")
 
     def near(name: str) -> Column:
-        return F.coalesce(F.col(f"{name}_here"), F.lit(False)) | F.coalesce(F.col("start") - F.col(f"{name}_before") <= SCOPE, F.lit(False)) | F.coalesce(F.col(f"{name}_after") - F.col("start") <= SCOPE, F.lit(False))
+        back = F.exists(f"before.{name}", lambda e: (e <= F.col("x.start")) & (F.col("x.start") - e <= SCOPE))
+        ahead = F.exists(f"after.{name}", lambda s: (s >= F.col("x.end")) & (s - F.col("x.end") <= SCOPE))
+        return F.coalesce(back, F.lit(False)) | F.coalesce(ahead, F.lit(False))
 
-    stays = F.col("kind").isin(*BASE) | ((F.col("kind") == "weak") & near("identifier")) | ((F.col("kind") == "ident") & near("secret")) | ((F.col("kind") == "endpoint") & near("identifier") & near("secret"))
-    return met.select("row", "doc_id", F.when(stays, F.col("kind")).alias("kind"), "rank", "start", "end")
+    kind = F.col("x.kind")
+    stays = kind.isin(*BASE) | ((kind == "weak") & near("identifier")) | ((kind == "ident") & near("secret")) | ((kind == "endpoint") & near("identifier") & near("secret"))
+    return met.select("x.row", "x.doc_id", F.when(stays, kind).alias("kind"), "x.rank", "x.start", "x.end")
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """One row per row of documents(doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end joined by commas)."""
-    found = spans(documents)
+    found = spans(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     span = F.when(F.col("kind").isNotNull(), F.struct("start", "rank", "end", "kind"))
     by_row = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum((F.coalesce(F.col("kind"), F.lit("")) == k).cast("long")).alias(f"n_{k}") for k in BASE), F.array_sort(F.collect_list(span)).alias("found"))
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -119,6 +126,6 @@ def without_secrets(documents: DataFrame) -> DataFrame:
     suspect = F.rlike(text, F.lit("|".join(f"(?:{p})" for p in PATTERNS.values())))
     moved, back = aside(documents, "th")
     held = moved.where(suspect)
-    found = spans(held.select(F.xxhash64("text").alias("doc_id"), "text")).where("kind is not null").select(F.col("doc_id").alias("th")).distinct()
-    cleared = held.withColumn("th", F.xxhash64("text")).join(found.hint("shuffle_merge"), "th", "left_anti").drop("th").withColumnsRenamed(back).select(documents.columns)
+    found = spans(held.select(F.sha2("text", 256).alias("doc_id"), "text")).where("kind is not null").select(F.col("doc_id").alias("th")).distinct()
+    cleared = held.withColumn("th", F.sha2("text", 256)).join(found.hint("shuffle_merge"), "th", "left_anti").drop("th").withColumnsRenamed(back).select(documents.columns)
     return documents.where(~suspect).unionByName(cleared)
