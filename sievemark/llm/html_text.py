@@ -3,9 +3,14 @@
 Method: site template removal. Each page is parsed into elements; every element's subtree is hashed
 from its name, its children and its text. Spark counts, per host, on how many different pages a
 subtree is (pages of equal content count once, so copies of an article don't make it a template), and subtrees on a
-large share of a host's pages are deleted. What stays is read by meaning: the article or main
-element (else the body) without menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments.
+large share of a host's pages are deleted. On a host of fewer than LEAST_PAGES different pages that is only what is on
+every page, on FEW_PAGES at least, and outside the article: two pages that share a paragraph are no evidence of a template.
+
+What stays is read by meaning. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments go by element, role, or a whole token of class or id all of whose parts are names of furniture or of
+layout (`site-footer`, but neither `has-sidebar` nor `share-price`). An element that holds the page's main text is no furniture
+whatever it is called. The text is then that of `main`, else of the articles, unless they hold only a small part of
+what the page has left; then it is the whole page's.
 
 Of a host only subtrees above the share go on, at most 1 / share times the mean number a page has. All
 hosts' together are broadcast up to `broadcast_rows`; beyond that pages are joined by host and a
@@ -32,8 +37,12 @@ from sievemark.llm.scratch import Scratch
 from sievemark.llm.url_filters import host_of
 
 #: Pages that a template is on at least: this many, and these shares outside and inside the article.
-LEAST_PAGES, SHARE, INNER_SHARE = 10, 0.3, 0.6
+LEAST_PAGES, SHARE, INNER_SHARE, FEW_PAGES = 10, 0.3, 0.6, 3
 BROADCAST_ROWS, SALTS = 500_000, 32
+#: Shares of a page's text that main and articles have at least where they are taken for it.
+MAIN_SHARE, ARTICLE_SHARE = 0.25, 0.5
+#: Characters from which furniture by name can be the main text of a page that has neither main nor articles, and little else.
+LEAST_HELD = 250
 
 # Names of elements and of their parts.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -43,9 +52,14 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cente
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select", "datalist"}), "body": ({"head"}, {"html"})}
 P_ENDERS = BLOCKS - {"caption", "dd", "dt", "legend", "li", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body"} | {"li", "dd", "dt"}
 P_BORDERS = {"table", "td", "th", "caption", "button", "object", "template", "html"}
-DROPPED = {"head", "script", "style", "noscript", "template", "title", "nav", "footer", "aside", "form", "iframe", "svg", "math", "canvas", "object", "embed", "audio", "video", "button", "select", "textarea", "input", "menu", "dialog", "search", "datalist", "xmp", "noembed", "noframes"}
+UNSEEN = {"head", "script", "style", "noscript", "template", "title", "iframe", "svg", "math", "canvas", "object", "embed", "audio", "video", "button", "select", "textarea", "input", "datalist", "xmp", "noembed", "noframes"}
+FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "search"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "dialog", "alertdialog", "toolbar"}
-MARKED = {"ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "sponsor", "sponsored", "banner", "promo", "promotion", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "topbar", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "commentlist", "respond", "disqus", "pagination", "pager", "widget", "toolbar"}
+COMMENTS = {"comment", "comments", "commentlist", "respond", "disqus"}
+#: Parts of class and id tokens: furniture anywhere, furniture outside an article, and layout words that furniture is named with.
+NAMES = COMMENTS | {"ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "promotions", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "cookie", "cookies", "consent", "gdpr", "popup", "newsletter", "subscribe", "subscription", "signup", "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager", "teaser", "teasers"}
+OUTER_NAMES = {"header", "footer", "masthead", "topbar", "banner", "notice", "notices", "modal", "overlay", "login", "widget", "widgets", "toolbar"}
+LAYOUT = {"site", "page", "main", "global", "top", "bottom", "left", "right", "primary", "secondary", "first", "second", "upper", "lower", "inner", "outer", "post", "posts", "article", "articles", "content", "links", "link", "list", "items", "item", "box", "block", "bar", "area", "section", "wrapper", "wrap", "container", "holder", "panel", "column", "col", "row", "slot", "unit", "zone", "button", "buttons", "icons", "form", "message", "thread", "reply", "replies", "title", "fixed", "sticky", "mobile", "desktop"}
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -136,25 +150,34 @@ def _close(stack: list[Node], name: str) -> None:
             return
 
 
-def marked(node: Node, in_article: bool) -> bool:
-    """Whether an element is no part of an article by its name, role, class or id."""
-    if node.name in DROPPED or node.name == "header" and not in_article:
-        return True
-    if not node.attributes:
-        return False
-    low = node.attributes.lower()
-    if "hidden" in low or "display" in low:
-        if re.search(r"(?:^|\s)hidden(?:\s|=|$)", low) or re.search(r"display\s*:\s*none", low) or node.attribute("aria-hidden") == "true":
-            return True
-    if "role" in low and node.attribute("role").lower() in ROLES:
-        return True
-    if node.name in ("html", "body", "article", "main"):
-        names = node.attribute("class") if node.name == "article" else ""
-        return bool({x.lower() for x in _PARTS.findall(names)} & {"comment", "comments", "related"})
-    if "class" in low or "id" in low:
-        words = {x.lower() for x in _PARTS.findall(node.attribute("class") + " " + node.attribute("id"))}
-        return bool(words & MARKED) or "header" in words and not in_article and node.name in ("div", "section", "table")
-    return False
+def named(value: str, in_article: bool) -> str:
+    """The furniture that a class or id names with one of its tokens: "comments", "furniture" or nothing."""
+    for token in value.split():
+        parts = {x.lower() for x in _PARTS.findall(token)}
+        names = parts & (NAMES if in_article else NAMES | OUTER_NAMES)
+        if names and all(x in names or x in LAYOUT or x.isdigit() for x in parts):
+            return "comments" if names & COMMENTS else "furniture"
+    return ""
+
+
+def marked(node: Node, in_article: bool) -> str:
+    """What an element is, by its name, role, class or id, if it is no part of an article: "unseen", "comments" or "furniture"."""
+    if node.name in UNSEEN:
+        return "unseen"
+    if node.attributes:
+        low = node.attributes.lower()
+        if "hidden" in low or "display" in low:
+            if re.search(r"(?:^|\s)hidden(?:\s|=|$)", low) or re.search(r"display\s*:\s*none", low) or node.attribute("aria-hidden") == "true":
+                return "unseen"
+        if node.name not in ("html", "body", "main") and ("class" in low or "id" in low) and (found := named(node.attribute("class") + " " + node.attribute("id"), in_article)):
+            return found
+        if "role" in low and node.attribute("role").lower() in ROLES:
+            return "furniture"
+    return "furniture" if node.name in FURNITURE or node.name == "header" and not in_article else ""
+
+
+def is_main(node: Node) -> bool:
+    return node.name == "main" or "main" in node.attributes and node.attribute("role") == "main"
 
 
 def walk(node: Node, in_article: bool = False) -> Iterator[tuple[Node, bool]]:
@@ -185,43 +208,80 @@ def hash_subtrees(root: Node) -> list[tuple[int, bool]]:
     return out
 
 
+def _size(node: Node) -> int:
+    """Characters of the element's own pieces of text, but white space."""
+    return sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+
+
 def main_text(root: Node, templates: frozenset[int] = frozenset()) -> tuple[list[str], int]:
     """Blocks of the main text in page order, and how many subtrees were deleted as templates."""
-    deleted, mains, articles = 0, [], []
-    for node, inside in walk(root):
-        if node.mark and node.mark in templates and node.name not in ("html", "body", "main", "article"):
-            node.drop, deleted = True, deleted + 1
-        elif marked(node, inside):
-            node.drop = True
-    todo = [root]
+    deleted = 0
+    # Down the tree: what each element is, and whether it, or one around it, is furniture.
+    nodes, kind, under, parent = [], [], [], []
+    todo = [(root, -1, False, False)]
     while todo:
-        x = todo.pop()
+        x, above, inside, off = todo.pop()
+        what = "" if x is root else marked(x, inside)
+        if x.mark and x.mark in templates and x.name not in ("html", "body", "main", "article"):
+            what, deleted = "unseen", deleted + 1
+        if what == "unseen":
+            x.drop = True
+            continue
+        at = len(nodes)
+        nodes.append(x)
+        kind.append(what)
+        parent.append(above)
+        off = off or bool(what)
+        under.append(off)
+        inside = inside or x.name == "article" or is_main(x)
+        todo += [(c, at, inside, off) for c in reversed(x.children) if isinstance(c, Node)]
+    # Up the tree: text of each element, and of the articles in it; comments count nowhere.
+    own = [_size(x) for x in nodes]
+    size, told = list(own), [0] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        if kind[i] != "comments":
+            size[parent[i]] += size[i]
+            told[parent[i]] += size[i] if nodes[i].name == "article" or is_main(nodes[i]) else told[i]
+    plain = sum(n for n, off in zip(own, under, strict=True) if not off)
+    for i, x in enumerate(nodes):
+        if kind[i] in ("", "comments"):
+            x.drop = kind[i] == "comments"
+        elif told[0]:
+            x.drop = not (2 * told[i] >= told[0] and told[i] >= plain and told[i] > 0)
+        else:
+            x.drop = size[i] < max(4 * plain, 1 if x.name == "form" else LEAST_HELD) or x.name not in ("form", "div", "section", "table", "td")
+    # What is left, and the part of it in main and in articles.
+    todo, mains, articles, left = [(root, False)], [], [], 0
+    while todo:
+        x, inside = todo.pop()
         if x.drop:
             continue
-        if x.name == "main" or x.attributes and "main" in x.attributes and x.attribute("role") == "main":
+        left += _size(x)
+        if not inside and is_main(x):
             mains.append(x)
-        elif x.name == "article":
+        elif not inside and x.name == "article":
             articles.append(x)
-        else:
-            todo += [c for c in reversed(x.children) if isinstance(c, Node)]
-    inner = [a for m in mains for a in _articles(m)]
+        inside = inside or is_main(x) or x.name == "article"
+        todo += [(c, inside) for c in reversed(x.children) if isinstance(c, Node)]
+    parts = [root]
+    for found, share in ((mains, MAIN_SHARE), (articles, ARTICLE_SHARE)):
+        if found and (n := sum(map(_kept_size, found))) and n >= share * left:
+            parts = found
+            break
     blocks: list[str] = []
-    for part in inner or mains or articles or [root]:
+    for part in parts:
         _blocks(part, blocks)
     return blocks, deleted
 
 
-def _articles(main: Node) -> list[Node]:
-    out, todo = [], [main]
+def _kept_size(node: Node) -> int:
+    n, todo = 0, [node]
     while todo:
         x = todo.pop()
-        if x.drop:
-            continue
-        if x.name == "article":
-            out.append(x)
-        else:
-            todo += [c for c in reversed(x.children) if isinstance(c, Node)]
-    return out
+        if not x.drop:
+            n += _size(x)
+            todo += [c for c in x.children if isinstance(c, Node)]
+    return n
 
 
 def _blocks(root: Node, out: list[str]) -> None:
@@ -287,8 +347,9 @@ def templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE,
     each = pages.select("host", "html").mapInArrow(_page_hashes, "host string, mark long, inner boolean, content long").distinct()
     on = each.groupBy("host", "mark").agg(F.count("*").alias("pages"), F.max("inner").alias("inner"))
     total = each.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("total"))
-    wanted = F.greatest(F.lit(float(least)), F.col("total") * F.when(F.col("inner"), F.lit(inner_share)).otherwise(F.lit(share)))
-    return on.where(F.col("pages") >= least).join(total.hint("shuffle_merge"), "host").where(F.col("pages") >= wanted).select("host", "mark")
+    many = F.greatest(F.lit(float(least)), F.col("total") * F.when(F.col("inner"), F.lit(inner_share)).otherwise(F.lit(share)))
+    wanted = F.when((F.col("total") < least) & ~F.col("inner"), F.greatest(F.lit(float(FEW_PAGES)), F.col("total").cast("double"))).otherwise(many)
+    return on.where(F.col("pages") >= FEW_PAGES).join(total.hint("shuffle_merge"), "host").where(F.col("pages") >= wanted).select("host", "mark")
 
 
 def extract(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
