@@ -3,10 +3,14 @@
 Method: prefix-partitioned suffix trees. A suffix begins at a word; its first `depth` words decide.
 Suffixes that cannot repeat are left out first, without loss: the least hash of the k-word runs in
 those words goes with equal words, so a suffix whose least run is in no other document has no
-equal. The rest are dealt by that run to ranges that fit a task's memory; within a range, prefixes
+equal. The rest are dealt to ranges that fit a task's memory by a prefix that is as short as that allows: by that run, or, where
+HOT_ROWS rows have the run, by all of the suffix's words. Within a range, prefixes
 are lengthened word by word until their suffixes fit the size of one subtree. Sorted suffixes with their common prefix
-lengths are the subtree; its internal nodes at `depth` or more are the repeats, and the least document
-below such a node keeps its words.
+lengths are the subtree; its deep internal nodes (of `depth` words or more) are the repeats, and the least document
+below such a node keeps its words. Nodes that follow each other word by word make up a maximal repeat: `passages` are
+those of a document that go.
+
+Hashes only deal and sort: the words themselves travel, and suffixes are equal where all their bytes are.
 
 Equal suffixes of many documents are settled in the map tasks first: only those of the least
 document of a chunk go on, so a passage of a third of all documents reaches the shuffle once a chunk.
@@ -27,14 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.repeats import _WIRE, _WIRE_DDL, ANSWER, BLOCK_BITS, CHUNK_KEYS, ENTRY, ROWS, _batches, by_block, repeated_keys
+from sievemark.llm.repeats import _WIRE, _WIRE_DDL, ANSWER, BLOCK_BITS, CHUNK_KEYS, ENTRY, ROWS, _batches, by_block, next_block, repeated_keys
 from sievemark.llm.scratch import Scratch, task_count
-from sievemark.llm.wordhash import U, mix, planes, runs, unplanes, words
+from sievemark.llm.wordhash import U, mix, numbers, planes, runs, unplanes, windows, words
 
 DEPTH, RUN = 13, 6
 SUBTREE_SUFFIXES = 400_000
+#: Rows that a run is in from which its suffixes are dealt by all their words.
+HOT_ROWS = 1 << 13
 _LAST = (1 << 63) - 1
-_LOW = U(0xFFFFFFFF)
+_EVEN = ~U(1)
 
 
 def _least(values: np.ndarray, span: int) -> np.ndarray:
@@ -54,26 +60,27 @@ def _starts(first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return at, n
 
 
-def pieces(suffixes: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+def pieces(words: np.ndarray, starts: np.ndarray, limit: int) -> Iterator[np.ndarray]:
     """Row numbers of suffixes in groups of up to `limit` by prefixes as short as that allows; equal suffixes stay together."""
-    todo = [(np.arange(len(suffixes)), 0)]
+    depth = words.shape[1]
+    todo = [(np.arange(len(starts)), 0)]
     while todo:
         rows, k = todo.pop()
-        if len(rows) <= limit or k == suffixes.shape[1]:
+        if len(rows) <= limit or k == depth:
             if len(rows):
                 yield rows
             continue
-        rows = rows[np.argsort(suffixes[rows, k], kind="stable")]
-        edge = np.flatnonzero(np.diff(suffixes[rows, k])) + 1
-        lo = 0
-        ends = [*edge.tolist(), len(rows)]
+        word = words[starts[rows], k]
+        order = np.argsort(word, kind="stable")
+        rows, word = rows[order], word[order]
+        lo, ends = 0, [*(np.flatnonzero(np.diff(word)) + 1).tolist(), len(rows)]
         for i, hi in enumerate(ends):
             following = ends[i + 1] if i + 1 < len(ends) else hi
             if hi - lo > limit:
                 todo.append((rows[lo:hi], k + 1))
                 lo = hi
             elif following - lo > limit or hi == len(rows):
-                todo.append((rows[lo:hi], suffixes.shape[1]))
+                todo.append((rows[lo:hi], depth))
                 lo = hi
 
 
@@ -87,12 +94,12 @@ def subtree(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def repeats(suffixes: np.ndarray, docs: np.ndarray, limit: int = SUBTREE_SUFFIXES) -> np.ndarray:
-    """Whether a smaller document has the same suffix, for each."""
+def repeats(words: np.ndarray, starts: np.ndarray, docs: np.ndarray, limit: int = SUBTREE_SUFFIXES) -> np.ndarray:
+    """Whether a smaller document has the same suffix, for each. words: the first words of all places; starts: those of the suffixes."""
     found = np.zeros(len(docs), dtype=bool)
-    for rows in pieces(suffixes, limit):
-        order, common = subtree(suffixes[rows])
-        node = np.flatnonzero(common < suffixes.shape[1])
+    for rows in pieces(words, starts, limit):
+        order, common = subtree(words[starts[rows]])
+        node = np.flatnonzero(common < words.shape[1])  # a deep internal node begins, or a leaf
         who = docs[rows][order]
         least = np.repeat(np.minimum.reduceat(who, node), np.diff(np.append(node, len(who))))
         found[rows[order]] = who > least
@@ -102,7 +109,7 @@ def repeats(suffixes: np.ndarray, docs: np.ndarray, limit: int = SUBTREE_SUFFIXE
 def _minimizers(depth: int, run: int):
     def extract(batch: pa.RecordBatch):
         for w in words(batch["text"]):
-            least = mix(_least(runs(w.hash, run), depth - run + 1))  # least values are small: spread them again
+            least = mix(_least(runs(w.hash, run), depth - run + 1)) & _EVEN  # least values are small: spread them again
             at, n = _starts(w.first, depth)
             keys, counts = [], np.zeros(w.texts, dtype=np.int64)
             ends = np.cumsum(n)
@@ -128,49 +135,60 @@ class _Chunk:
 
     def __init__(self, base: int, slots: int, width: np.uint64, depth: int):
         self.base, self.slots, self.width, self.depth = base, slots, width, depth
-        self.words, self.at, self.anchor, self.row, self.doc, self.meta = [], [], [], [], [], []
-        self.rows = self.size = self.held = 0
+        self.data, self.start, self.end, self.hash = [], [], [], []
+        self.at, self.anchor, self.hot, self.row, self.doc, self.first, self.meta = [], [], [], [], [], [], []
+        self.rows = self.size = self.held = self.bytes = 0
 
     def add(self, w, batch: pa.RecordBatch, keys: pa.Array, run: int) -> None:
-        short = (w.hash & _LOW).astype(np.uint32)
-        gram = runs(w.hash, run)
-        least = mix(_least(gram, self.depth - run + 1))
+        least = mix(_least(runs(w.hash, run), self.depth - run + 1)) & _EVEN
         at, n = _starts(w.first, self.depth)
         ends = np.cumsum(n)
         ids = batch["id"].slice(w.at, w.texts).to_numpy(zero_copy_only=False)
         for d in np.flatnonzero(n):
             known = np.frombuffer(keys[w.at + int(d)].as_py() or b"", dtype=U)
             here = at[ends[d] - n[d] : ends[d]]
-            here = here[np.isin(least[here], known)]
+            here = here[np.isin(least[here], known & _EVEN)]
             self.at.append(here + self.size)
             self.anchor.append(least[here])
+            self.hot.append(np.isin(least[here] | U(1), known))
             self.row.append(np.full(len(here), self.base + self.rows + d))
             self.doc.append(np.full(len(here), ids[d]))
+            self.first.append(np.full(len(here), self.size + w.first[d]))
             self.held += len(here)
-        self.words.append(short)
+        self.data.append(w.data)
+        self.start.append(w.start + self.bytes)
+        self.end.append(w.end + self.bytes)
+        self.hash.append(w.hash)
         self.meta.append(pa.RecordBatch.from_arrays([batch["id"].slice(w.at, w.texts), batch["th"].slice(w.at, w.texts)], ["id", "th"]))
-        self.size += len(short)
+        self.size += len(w.hash)
+        self.bytes += len(w.data)
         self.rows += w.texts
 
+    def full(self) -> bool:
+        return self.held >= CHUNK_KEYS or self.size >= 4 * CHUNK_KEYS or self.rows >= CHUNK_KEYS // 2
+
     def wire(self) -> Iterator[tuple]:
         yield from by_block(self.meta, self.base, self.slots)
         if not self.held:
             return
-        text, at, anchor, who, doc = np.concatenate(self.words), np.concatenate(self.at), np.concatenate(self.anchor), np.concatenate(self.row), np.concatenate(self.doc)
-        key = runs(text.astype(U), self.depth)[at]
+        data, start, end, hashes, at, anchor, hot, who, doc, head = (np.concatenate(x) for x in (self.data, self.start, self.end, self.hash, self.at, self.anchor, self.hot, self.row, self.doc, self.first))
+        key = windows(numbers(data, start, end, hashes), at, self.depth)
         order = np.lexsort((at, who, doc, key))
         k, d, r = key[order], doc[order], who[order]
-        head = np.ones(len(k), dtype=bool)
-        head[1:] = k[1:] != k[:-1]
-        least = np.repeat(d[head], np.diff(np.append(np.flatnonzero(head), len(k))))
+        new = np.ones(len(k), dtype=bool)
+        new[1:] = k[1:] != k[:-1]
+        least = np.repeat(d[new], np.diff(np.append(np.flatnonzero(new), len(k))))
         late = d > least
         once = np.ones(len(k), dtype=bool)  # of a row's equal suffixes one
         once[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
-        yield from _found(r[late & once], k[late & once], self.slots)
+        gone = order[late & once]
+        yield from _found(who[gone], at[gone] - head[gone], self.slots)
         keep = np.sort(order[~late & once])
         if not len(keep):
             return
-        at, anchor, who, doc = at[keep], anchor[keep], who[keep], doc[keep]
+        at, anchor, hot, who, doc, head = at[keep], anchor[keep], hot[keep], who[keep], doc[keep], head[keep]
+        # A hot run's suffixes stand alone and go by a hash of all their words, which is the same in every task.
+        anchor = np.where(hot, runs(hashes, self.depth)[at], anchor)
         new = np.ones(len(at), dtype=bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (who[1:] != who[:-1])
         first = np.flatnonzero(new)
@@ -178,27 +196,45 @@ class _Chunk:
         order = np.argsort(anchor[first], kind="stable")
         first, count = first[order], count[order]
         slot = (anchor[first] // self.width).astype(np.int64)
+        raw, begin, stop = data.tobytes(), start[at[first]].tolist(), end[at[first] + count + self.depth - 2].tolist()
         cut = np.flatnonzero(np.diff(slot)) + 1
-        for lo, hi in zip([0, *cut], [*cut, len(first)], strict=True):
-            f, c = first[lo:hi], count[lo:hi]
-            size = c + self.depth - 1
-            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            segment = text[np.repeat(at[f], size) + inside]
-            yield (int(slot[lo]), 0, ENTRY, segment.tobytes(), np.concatenate([[len(f)], c]).astype(np.int32).tobytes(), planes(np.concatenate([who[f], doc[f]])))
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(first)], strict=True):
+            f = first[lo:hi]
+            text = b" ".join([raw[a:b] for a, b in zip(begin[lo:hi], stop[lo:hi], strict=True)])
+            yield (int(slot[lo]), 0, ENTRY, text, planes(count[lo:hi].astype(np.int32)), planes(np.concatenate([who[f], doc[f], at[f] - head[f]])))
 
 
-def _found(who: np.ndarray, keys: np.ndarray, slots: int) -> Iterator[tuple]:
+def _found(who: np.ndarray, places: np.ndarray, slots: int) -> Iterator[tuple]:
+    """Places in rows where a repeated suffix begins, by blocks of rows."""
     order = np.argsort(who, kind="stable")
-    who, keys = who[order], keys[order]
+    who, places = who[order], places[order]
     block = who >> BLOCK_BITS
     cut = np.flatnonzero(np.diff(block)) + 1
     for lo, hi in zip([0, *cut], [*cut, len(who)], strict=True):
         if hi > lo:
-            yield (slots + int(block[lo]), int(block[lo]), ANSWER, planes(who[lo:hi]), keys[lo:hi].tobytes(), b"")
+            yield (slots + int(block[lo]), int(block[lo]), ANSWER, planes(who[lo:hi]), planes(places[lo:hi]), b"")
+
+
+def _segments(entries: pa.Table, depth: int) -> tuple[np.ndarray, ...]:
+    """Word numbers of all segments, where each suffix begins in them, its row, its document and its place in the row."""
+    texts, starts, who, doc, place, size = [], [], [], [], [], 0
+    for a, b, m in zip(entries["a"], entries["b"], entries["meta"], strict=True):
+        texts.append(a.as_py())
+        c, ids = unplanes(b.as_py(), np.int32).astype(np.int64), unplanes(m.as_py(), np.int64)
+        n = len(c)
+        inside = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        starts.append(np.repeat(np.cumsum(c + depth - 1) - (c + depth - 1) + size, c) + inside)
+        who.append(np.repeat(ids[:n], c))
+        doc.append(np.repeat(ids[n : 2 * n], c))
+        place.append(np.repeat(ids[2 * n :], c) + inside)
+        size += int((c + depth - 1).sum())
+    (w,) = words(pa.array([b" ".join(texts)], pa.large_binary()).cast(pa.large_string()))
+    assert len(w.hash) == size
+    return numbers(w.data, w.start, w.end, w.hash), *map(np.concatenate, (starts, who, doc, place))
 
 
 def _repeated_suffixes(candidates: DataFrame, slots: int, depth: int, run: int) -> DataFrame:
-    """Hashes of the suffixes of a row that a smaller document has."""
+    """Places of the suffixes of a row that a smaller document has; of a row's equal ones the first."""
     width = np.uint64((1 << 64) // slots + 1)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +243,9 @@ def _repeated_suffixes(candidates: DataFrame, slots: int, depth: int, run: int)
             for batch in batches:
                 for w in words(batch["text"]):
                     chunk.add(w, batch, batch["keys"], run)
-                    if chunk.held >= CHUNK_KEYS or chunk.size >= 4 * CHUNK_KEYS:
+                    if chunk.full():
                         yield from chunk.wire()
-                        chunk = _Chunk(chunk.base + chunk.rows, slots, width, depth)
+                        chunk = _Chunk(next_block(chunk.base + chunk.rows), slots, width, depth)
             if chunk.rows:
                 yield from chunk.wire()
 
@@ -221,25 +257,13 @@ def _repeated_suffixes(candidates: DataFrame, slots: int, depth: int, run: int)
         entries = table.filter(pa.array(kind == ENTRY))
         out = []
         if entries.num_rows:
-            texts, starts, who, doc, size = [], [], [], [], 0
-            for a, b, m in zip(entries["a"], entries["b"], entries["meta"], strict=True):
-                text, c = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.int32).astype(np.int64)
-                n, c = c[0], c[1:]
-                ids = unplanes(m.as_py(), np.int64)
-                head = np.cumsum(c + depth - 1) - (c + depth - 1) + size
-                starts.append(np.repeat(head, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c))
-                who.append(np.repeat(ids[:n], c))
-                doc.append(np.repeat(ids[n:], c))
-                texts.append(text)
-                size += len(text)
-            text, starts, who, doc = np.concatenate(texts), np.concatenate(starts), np.concatenate(who), np.concatenate(doc)
-            suffixes = np.lib.stride_tricks.sliding_window_view(text, depth)[starts]
-            late = repeats(suffixes, doc)
-            out = list(_batches(_found(who[late], runs(text.astype(U), depth)[starts[late]], slots)))
+            number, starts, who, doc, place = _segments(entries, depth)
+            late = repeats(np.lib.stride_tricks.sliding_window_view(number, depth), starts, doc)
+            out = list(_batches(_found(who[late], place[late], slots)))
         return pa.Table.from_batches([*passed, *out], schema=_WIRE)
 
     def gather(table: pa.Table) -> pa.Table:
-        ids, metas, owner, keys = [], [], [np.zeros(0, np.int64)], [np.zeros(0, U)]
+        ids, metas, owner, places = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b, m, kind in zip(table["a"], table["b"], table["meta"], table["kind"].to_pylist(), strict=True):
             x = unplanes(a.as_py(), np.int64)
             if kind == ROWS:
@@ -247,58 +271,64 @@ def _repeated_suffixes(candidates: DataFrame, slots: int, depth: int, run: int)
                 metas.append(pa.ipc.open_stream(m.as_py()).read_all())
             else:
                 owner.append(x)
-                keys.append(np.frombuffer(b.as_py(), dtype=U))
-        ids, owner, keys = np.concatenate(ids), np.concatenate(owner), np.concatenate(keys)
+                places.append(unplanes(b.as_py(), np.int64))
+        ids, owner, places = np.concatenate(ids), np.concatenate(owner), np.concatenate(places)
         rows, by = pa.concat_tables(metas), np.argsort(ids, kind="stable")
         at = np.searchsorted(ids[by], owner)
         order = np.argsort(at, kind="stable")
-        return _by_row(rows.take(pa.array(by)), at[order], keys[order])
+        return _by_row(rows.take(pa.array(by)), at[order], places[order])
+
+    return candidates.mapInArrow(spread, _WIRE_DDL).groupBy("slot").applyInArrow(meet, _WIRE_DDL).groupBy("block").applyInArrow(gather, "id long, th binary, keys binary")
+
 
-    return candidates.mapInArrow(spread, _WIRE_DDL).groupBy("slot").applyInArrow(meet, _WIRE_DDL).groupBy("block").applyInArrow(gather, "id long, th long, keys binary")
+_PASSAGES = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64())]))
 
 
 def _kept(depth: int, with_text: bool):
-    """Rows with what stays of their words; keys are the suffixes to remove, null for none."""
+    """Rows with what stays of their words; keys are places of suffixes to remove, with all that equal them, null for none."""
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for w in words(batch["text"]):
                 raw, start, end, first = w.data.tobytes(), w.start.tolist(), w.end.tolist(), w.first.tolist()
-                key = None
+                number = None
                 for d in range(w.texts):
                     a, b = first[d], first[d + 1]
-                    blob, gone = batch["keys"][w.at + d].as_py(), 0
+                    blob, gone, passages = batch["keys"][w.at + d].as_py(), 0, []
                     stay = range(a, b)
-                    if blob and b - a >= depth:
-                        key = runs(w.hash & _LOW, depth) if key is None else key
-                        hit = np.flatnonzero(np.isin(key[a : b - depth + 1], np.frombuffer(blob, dtype=U)))
+                    if blob:
+                        number = numbers(w.data, w.start, w.end, w.hash) if number is None else number
+                        name = windows(number[a:b], np.arange(b - a - depth + 1), depth)
+                        hit = np.flatnonzero(np.isin(name, name[np.frombuffer(blob, dtype=np.int64)]))
                         step = np.zeros(b - a + 1, dtype=np.int64)
                         step[hit] += 1
                         step[hit + depth] -= 1
                         covered = np.cumsum(step[:-1]) > 0
                         gone = int(covered.sum())
                         stay = (np.flatnonzero(~covered) + a).tolist()
+                        edge = np.flatnonzero(np.diff(covered, prepend=False, append=False))
+                        passages = [{"first_word": x, "n_words": y - x} for x, y in edge.reshape(-1, 2).tolist()]
                     kept = b" ".join([raw[start[i] : end[i]] for i in stay])
-                    out.append((b - a, gone, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
-            n, gone, sha, text = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["th"], batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())], ["id", "th", "doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                    out.append((b - a, gone, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, passages))
+            n, gone, sha, text, passages = zip(*out, strict=True) if out else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["th"], batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string()), pa.array(passages, _PASSAGES)], ["id", "th", "doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "passages"])
 
     return cover
 
 
 def substring_dedup(documents: DataFrame, depth: int = DEPTH, run: int = RUN, with_text: bool = True) -> DataFrame:
-    """One row per row of documents(doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text (the kept words joined by one space; null without with_text)."""
+    """One row per row of documents(doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text (the kept words joined by one space; null without with_text), passages (first_word, n_words) that go."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "substring-dedup")
-    docs = documents.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("th"))
+    docs = documents.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.unhex(F.md5("text")).alias("th"))
     slots = task_count(spark, documents)
-    anchors = repeated_keys(docs.select("id", "th", "text"), _minimizers(depth, run), _by_row, "id long, th long, keys binary", slots)
+    anchors = repeated_keys(docs.select("id", "th", "text"), _minimizers(depth, run), _by_row, "id long, th binary, keys binary", slots, HOT_ROWS)
     anchors = scratch.table(anchors.dropDuplicates(["id", "th"]), "anchors")
     candidates = scratch.table(docs.join(anchors.hint("shuffle_merge"), ["id", "th"]).select("doc_id", "id", "th", "text", "keys"), "candidates")
     found = scratch.table(_repeated_suffixes(candidates, slots, depth, run).dropDuplicates(["id", "th"]), "suffixes")
     scratch.drop(anchors)
-    schema = "id long, th long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    schema = "id long, th binary, doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, passages array<struct<first_word:long,n_words:long>>"
     changed = candidates.drop("keys").join(found.hint("shuffle_merge"), ["id", "th"]).mapInArrow(_kept(depth, with_text), schema)
     rest = docs.withColumn("keys", F.lit(None).cast("binary")).mapInArrow(_kept(depth, with_text), schema)
     rest = rest.join(found.select("id", "th").hint("shuffle_merge"), ["id", "th"], "left_anti")

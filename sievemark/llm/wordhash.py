@@ -15,6 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 SLICE_BYTES = 2 << 20
+_AT_ONCE = 1 << 18
 _STEP = U(0x9E3779B97F4A7C15)
 _BASE = U(0xD6E8FEB86659FD93)
 
@@ -123,6 +124,39 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def numbers(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each word; equal ones only for words of equal bytes, whatever the hashes do."""
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    size = end - start
+    same = first[number]
+    wrong = size != size[same]
+    for lo in range(0, len(start), _AT_ONCE):
+        n = np.where(wrong[lo : lo + _AT_ONCE], 0, size[lo : lo + _AT_ONCE])
+        heads = np.cumsum(n) - n
+        inside = np.arange(n.sum()) - np.repeat(heads, n)
+        unlike = data[inside + np.repeat(start[lo : lo + _AT_ONCE], n)] != data[inside + np.repeat(start[same[lo : lo + _AT_ONCE]], n)]
+        wrong[lo + np.repeat(np.arange(len(n)), n)[unlike]] = True
+    if wrong.any():  # words of one hash
+        names: dict[bytes, int] = {}
+        number = np.array([names.setdefault(data[a:b].tobytes(), len(names)) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return number.astype(np.int32)
+
+
+def windows(number: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A name for each window of `width` numbers that begins at one of these places; equal ones only for equal windows."""
+    seed = 0
+    while True:
+        name = runs(mix(number.astype(U) + U(seed)), width)[at] if len(at) else np.zeros(0, U)
+        order = np.argsort(name, kind="stable")
+        same = np.flatnonzero(name[order][1:] == name[order][:-1])
+        for k in range(width):
+            if (number[at[order[same]] + k] != number[at[order[same + 1]] + k]).any():
+                break
+        else:
+            return name
+        seed += 1 << 32
+
+
 def planes(values: np.ndarray) -> bytes:
     """Bytes of integers, byte planes apart, so that a shuffle's compression finds the high zero bytes."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
