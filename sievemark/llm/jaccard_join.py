@@ -11,9 +11,13 @@ What keeps the work in bounds, none of which loses a link:
 - Equal sets are one node. Copies are never compared.
 - Of a posting list, first the pairs with its most central node (pivot) are verified; components
   follow, and a list whose other nodes are of one component is done.
-- Nodes that the open lists connect are clusters. A cluster is cut into parts, and two parts meet in one
-  task, which counts shared shingles by an index in memory and emits one link from a node to a
-  component. No pairs are emitted, and pairs within the largest component are not looked at.
+- Nodes that the open lists connect are clusters. A cluster that fits a task is one group. Of a larger one the
+  lists are dealt to groups, as many as fit a task, so that a node goes once for each of its open lists at most.
+  A list that fits no task waits for the components of all that; if it is still open, the nodes outside its
+  largest component are cut into parts, each of which meets the others and the parts of that component.
+- A group finds candidates by an index of its prefixes in memory (enough shared ones, sizes near enough),
+  verifies them, and emits a link where two components meet first. No pairs are emitted, and pairs within a
+  component are not looked at.
 
 Cases: null or empty text has an empty set and links with nothing; fewer words than the shingle
 length make one shingle; rows with one doc_id are one document where that matters: each row is
@@ -39,8 +43,8 @@ from sievemark.llm.wordhash import U, runs, words
 WORDS, PERCENT = 5, 80
 #: Cost of verifying a candidate against that of reading a posting, and the longest l.
 VERIFY_COST, MOST_SHARED = 16.0, 16
-#: A cluster has parts of the first number of nodes, up to the second number of parts, then parts of the third number.
-PART_NODES = (128, 16, 4096)
+#: Shingles of a group that one task compares, and candidates that it verifies at once.
+PART_SHINGLES, AT_ONCE = 1 << 20, 256
 
 
 def shingle_sets(k: int):
@@ -117,10 +121,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return first.join(y.hint("shuffle_merge"), F.col("b") == F.col("y.node")).where(_alike(percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def _order(nodes: DataFrame) -> DataFrame:
-    """(node, n, shared) with shingles in order of their documents; those of one node go."""
+def _order(scratch: Scratch, nodes: DataFrame) -> DataFrame:
+    """(node, n, shared) with shingles in order of their documents; those of one node go.
+
+    Counts are written first, here and below: a join of two plain shuffles can be split where one key is hot.
+    """
     each = nodes.select("node", "n", F.explode("shared").alias("token"))
-    count = each.groupBy("token").agg(F.count("*").alias("count")).where("count > 1")
+    count = scratch.table(each.groupBy("token").agg(F.count("*").alias("count")).where("count > 1"), "counts")
     met = each.join(count.hint("shuffle_merge"), "token")
     return (
         met.groupBy("node")
@@ -129,24 +136,30 @@ def _order(nodes: DataFrame) -> DataFrame:
     )
 
 
+def text_name() -> Column:
+    """128 bits of a text."""
+    return F.unhex(F.md5("text"))
+
+
 def _labelled(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, th, n, label) per row: the hash of the text, the size of its set, and its component (null for an empty set)."""
+    """(doc_id, th, n, label) per row: the name of the text, the size of its set, and its component (null for an empty set)."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard-join")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    sets = repeated_keys(docs, shingle_sets(shingle), _with_shared(percent), "doc_id long, th long, n long, name binary, shared array<long>", task_count(spark, documents, 4 << 20))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_name().alias("th"), "text")
+    sets = repeated_keys(docs, shingle_sets(shingle), _with_shared(percent), "doc_id long, th binary, n long, name binary, shared array<long>", task_count(spark, documents, 4 << 20))
     sets = scratch.table(sets, "sets")
     nodes = sets.where("shared is not null").groupBy("name").agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
-    nodes = scratch.table(nodes.select(F.xxhash64("name").alias("node"), "name", "n", "shared"), "nodes")
-    ordered = _order(nodes).where(100 * F.size("tokens") >= percent * F.col("n"))
+    nodes = scratch.table(nodes.select(F.monotonically_increasing_id().alias("node"), "name", "n", "shared"), "nodes")  # numbers are fixed by writing
+    ordered = _order(scratch, nodes).where(100 * F.size("tokens") >= percent * F.col("n"))
     central = F.aggregate("counts", F.lit(0.0), lambda s, c: s + c) / F.col("n")
     ordered = ordered.withColumn("central", central).select("node", "n", "tokens", "counts", "central")
     ordered = scratch.table(ordered.mapInArrow(prefixes(percent), "node long, n long, tokens array<long>, central double, need int, prefix array<long>"), "ordered")
     label = _labels(scratch, ordered, percent)
-    by_name = nodes.select("node", "name").join(label.hint("shuffle_merge"), "node").select("name", "label")
+    by_name = scratch.table(nodes.select("node", "name").join(label.hint("shuffle_merge"), "node").select("name", "label"), "named")
     named = sets.select("doc_id", "th", "n", "name").join(by_name.hint("shuffle_merge"), "name", "left")
-    # Equal sets share a component even where nothing else links.
-    return scratch.table(named.select("doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("label", F.xxhash64("name"))).alias("label")), "labelled")
+    # Equal sets share a component even where nothing else links; names have more digits than numbers.
+    own = F.coalesce(F.col("label").cast("string"), F.hex("name"))
+    return scratch.only(scratch.table(named.select("doc_id", "th", "n", F.when(F.col("n") > 0, own).alias("label")), "labelled"))
 
 
 def similar_components(documents: DataFrame, shingle: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -155,7 +168,7 @@ def similar_components(documents: DataFrame, shingle: int = WORDS, percent: int
     documents should come from files: their rows are numbered where they are read.
     """
     named = _labelled(documents, shingle, percent)
-    smallest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    smallest = Scratch(documents.sparkSession, "jaccard-components").table(named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "smallest")
     out = named.join(smallest.hint("shuffle_merge"), "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -166,7 +179,7 @@ def one_of_each(documents: DataFrame, shingle: int = WORDS, percent: int = PERCE
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
     first = named.where("label is not null").groupBy("label").agg(F.min(rank).alias("r")).select(F.col("r.doc_id").alias("id"), F.col("r.th").alias("th"))
     moved, back = aside(documents, "th", "id")
-    copies = moved.withColumn("th", F.xxhash64("text")).alias("d")
+    copies = moved.withColumn("th", text_name()).alias("d")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.id")) & (F.col("d.th") == F.col("f.th"))
     kept = copies.join(first.hint("shuffle_merge").alias("f"), same, "left_semi").dropDuplicates(["doc_id", "th"]).drop("th")
     return kept.withColumnsRenamed(back).unionByName(documents.where(~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")))
@@ -176,7 +189,7 @@ def _labels(scratch: Scratch, nodes: DataFrame, percent: int) -> DataFrame:
     """(node, label): components of the linked nodes."""
     lists = nodes.select("node", F.struct("central", "node").alias("rank"), F.explode("prefix").alias("token"))
     lists = scratch.table(lists, "postings")
-    pivot = lists.groupBy("token").agg(F.max("rank").getField("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    pivot = scratch.table(lists.groupBy("token").agg(F.max("rank").getField("node").alias("pivot"), F.count("*").alias("size")).where("size > 1"), "pivots")
     rest = scratch.table(lists.select("token", "node").join(pivot.hint("shuffle_merge"), "token").where("node <> pivot"), "rest")
     pairs = rest.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = scratch.table(_verified(pairs, nodes, percent), "links")
@@ -184,52 +197,98 @@ def _labels(scratch: Scratch, nodes: DataFrame, percent: int) -> DataFrame:
     # Lists whose other nodes are of one component are done: a pivot has met all of its list.
     tagged = rest.where("size > 2").join(label.hint("shuffle_merge"), "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
     open_lists = tagged.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("first")).where("low <> high").select("token", "first")
+    open_lists = scratch.table(open_lists, "open")
     left = scratch.table(tagged.join(open_lists.hint("shuffle_merge"), "token"), "left")
-    more = scratch.table(_within(_clusters(scratch, left), nodes, percent), "links")
-    return components(scratch, links.unionByName(more))
+    groups, hot = _dealt(scratch, left, nodes)
+    links = links.unionByName(scratch.table(_compared(groups, nodes, percent), "links"))
+    label = components(scratch, links)
+    if hot.isEmpty():
+        return label
+    groups = _in_parts(scratch, hot, label)
+    return components(scratch, links.unionByName(scratch.table(_compared(groups, nodes, percent), "links")))
 
 
-def _clusters(scratch: Scratch, left: DataFrame) -> DataFrame:
-    """(node, label, cluster, size): nodes that open lists connect. Nodes of two clusters share no open list."""
+def _dealt(scratch: Scratch, left: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups (node, label, kind, key, i, j, ask) of clusters and of lists, each of PART_SHINGLES at most, and the rows of larger lists."""
     edges = left.where("node <> first").selectExpr("first as a", "node as b").distinct()
-    cluster = components(scratch, edges).withColumnRenamed("label", "cluster")
-    size = cluster.groupBy("cluster").agg(F.count("*").alias("size"))
-    named = left.select("node", "label").distinct().join(cluster.hint("shuffle_merge"), "node")
-    return named.join(size.hint("shuffle_merge"), "cluster")
-
-
-def _within(clusters: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components of a cluster. A cluster is cut into parts, and two parts at a time are one task's group."""
-    least, wanted, most = PART_NODES
-    parts = F.greatest(F.ceil(F.col("size") / most), F.least(F.lit(wanted), F.ceil(F.col("size") / least))).cast("int")
-    dealt = clusters.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("node", "label", "cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    full = dealt.join(nodes.select("node", "n", "tokens").hint("shuffle_merge"), "node")
-    return full.groupBy("cluster", "i", "j").applyInArrow(_links_of(percent), "a long, b long").distinct()
+    cluster = components(scratch, edges).withColumnRenamed("label", "cluster")  # clusters share no open list
+    weighed = left.select("token", "node", "label").join(nodes.select("node", F.size("tokens").cast("long").alias("w")).hint("shuffle_merge"), "node").join(cluster.hint("shuffle_merge"), "node")
+    weighed = scratch.table(weighed, "weighed")
+    size = scratch.table(weighed.select("node", "cluster", "w").distinct().groupBy("cluster").agg(F.sum("w").alias("size")), "sizes")
+    lists = scratch.table(weighed.groupBy("token").agg(F.sum("w").alias("list")), "lists")
+    full = scratch.table(weighed.join(size.hint("shuffle_merge"), "cluster").join(lists.hint("shuffle_merge"), "token"), "full")
+    whole = full.where(F.col("size") <= PART_SHINGLES).select("node", "label", F.lit(0).alias("kind"), F.col("cluster").alias("key"), F.lit(0).cast("long").alias("i"))
+    cut = full.where((F.col("size") > PART_SHINGLES) & (F.col("list") <= PART_SHINGLES))
+    buckets = scratch.table(cut.groupBy("cluster").agg(F.ceil(F.sum("w") / PART_SHINGLES).alias("buckets")), "buckets")
+    cut = cut.join(buckets.hint("shuffle_merge"), "cluster")
+    cut = cut.select("node", "label", F.lit(1).alias("kind"), F.col("cluster").alias("key"), F.pmod(F.xxhash64("token"), F.col("buckets")).alias("i"))
+    groups = whole.unionByName(cut).distinct().select("*", F.lit(0).cast("long").alias("j"), F.lit(True).alias("ask"))
+    return groups, full.where(F.col("list") > PART_SHINGLES).select("token", "node", "w")
+
+
+def _in_parts(scratch: Scratch, hot: DataFrame, label: DataFrame) -> DataFrame:
+    """Groups of large lists that have several components yet. Parts outside the largest component ask each other, and its parts."""
+    tagged = hot.join(label.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tagged = scratch.table(tagged, "hot")
+    sums = tagged.groupBy("token", "label").agg(F.sum("w").alias("w"))
+    sums = sums.groupBy("token").agg(F.max_by("label", F.struct("w", "label")).alias("major"), F.max("w").alias("held"), F.sum("w").alias("all")).where("all > held")
+    sums = scratch.table(sums, "majors")
+    parts = lambda w: F.ceil(w * 2 / PART_SHINGLES)
+    met = tagged.join(sums.hint("shuffle_merge"), "token").withColumns({"asking": parts(F.col("all") - F.col("held")), "asked": parts(F.col("held"))})
+    part = F.when(F.col("label") == F.col("major"), F.col("asking") + F.pmod(F.xxhash64("node"), F.col("asked"))).otherwise(F.pmod(F.xxhash64("node"), F.col("asking")))
+    met = met.withColumn("part", part)
+    others = F.when(F.col("label") == F.col("major"), F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("asking") + F.col("asked") - 1))
+    each = met.withColumn("other", F.explode(others))
+    return each.select("node", "label", F.lit(2).alias("kind"), F.col("token").alias("key"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("ask"))
+
+
+def _compared(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components of each group."""
+    full = groups.join(nodes.select("node", "n", "tokens", "need", "prefix").hint("shuffle_merge"), "node")
+    return full.groupBy("kind", "key", "i", "j").applyInArrow(_links_of(percent), "a long, b long").distinct()
+
+
+def _index(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all lists, and where each list begins (and the last ends)."""
+    cuts = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[cuts[0] : cuts[-1]], cuts - cuts[0]
 
 
 def _links_of(percent: int):
     def links(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        node, label, n = (table[c].to_numpy() for c in ("node", "label", "n"))
-        tokens = table["tokens"].combine_chunks()
-        flat, cuts = tokens.values.to_numpy(), tokens.offsets.to_numpy()
-        owner = np.repeat(np.arange(len(node)), np.diff(cuts))
-        _, number = np.unique(flat[cuts[0] : cuts[-1]], return_inverse=True)
-        cuts = cuts - cuts[0]
+        node, label, n, need, ask = (table[c].to_numpy(zero_copy_only=False) for c in ("node", "label", "n", "need", "ask"))
+        tokens, cuts = _index(table["tokens"].combine_chunks())
+        prefix, ends = _index(table["prefix"].combine_chunks())
+        # Where each shingle stands in prefixes.
+        names, number = np.unique(prefix, return_inverse=True)
         order = np.argsort(number, kind="stable")
-        owner = owner[order]
-        first = np.searchsorted(number[order], np.arange(number.max() + 2 if len(number) else 1))
-        names, inverse, size = np.unique(label, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(node)), np.diff(ends))[order]
+        first = np.searchsorted(number[order], np.arange(len(names) + 1))
+        _, component, size = np.unique(label, return_inverse=True, return_counts=True)
         a, b = [], []
-        for q in np.flatnonzero(inverse != size.argmax()).tolist():  # pairs within the largest component need no look
-            own = number[cuts[q] : cuts[q + 1]]
-            met = np.bincount(np.concatenate([owner[first[t] : first[t + 1]] for t in own.tolist()]), minlength=len(node)) if len(own) else np.zeros(len(node), np.int64)
-            linked = np.flatnonzero((100 * met >= percent * (n + n[q] - met)) & (inverse != inverse[q]))
-            for x in linked[np.unique(inverse[linked], return_index=True)[1]].tolist():  # one link to each component is enough
-                a.append(min(int(node[q]), int(node[x])))
-                b.append(max(int(node[q]), int(node[x])))
+        asking = component != size.argmax() if ask.all() else ask  # of two components one is not the largest
+        for q in np.flatnonzero(asking).tolist():
+            own = number[ends[q] : ends[q + 1]].tolist()
+            if not own:
+                continue
+            met = np.bincount(np.concatenate([owner[first[t] : first[t + 1]] for t in own]), minlength=len(node))
+            near = (met >= np.minimum(need, need[q])) & (component != component[q]) & (100 * n >= percent * n[q]) & (100 * n[q] >= percent * n)
+            candidates = np.flatnonzero(near)
+            mine = np.sort(tokens[cuts[q] : cuts[q + 1]])
+            while len(candidates):
+                some, candidates = candidates[:AT_ONCE], candidates[AT_ONCE:]
+                theirs = np.concatenate([tokens[cuts[x] : cuts[x + 1]] for x in some.tolist()])
+                found = np.searchsorted(mine, theirs)
+                found[found == len(mine)] = 0
+                starts = np.cumsum(cuts[some + 1] - cuts[some]) - (cuts[some + 1] - cuts[some])
+                both = np.add.reduceat((mine[found] == theirs).astype(np.int64), starts)
+                for x in some[100 * both >= percent * (n[some] + n[q] - both)].tolist():
+                    if component[x] != component[q]:
+                        a.append(min(int(node[q]), int(node[x])))
+                        b.append(max(int(node[q]), int(node[x])))
+                        component[component == component[x]] = component[q]
+                candidates = candidates[component[candidates] != component[q]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return links
