@@ -2,16 +2,18 @@
 
 Method: the test items are a BM25 inverted index, searched by block-max WAND; every passage of every document is
 a query. An item's score is divided by its score against itself, so a passage with all its
-words scores 1, and all items of `least_score` or more are retrieved, however many. Bounds come per
-block of items: what frequent terms can give at most in the block, and for other terms their block
-maxima; in blocks where frequent terms alone can reach the threshold, theirs are block maxima too. They are
-summed for a batch of passages at once; only passages and blocks whose bound reaches the threshold are scored, term by term from the rarest, ending where the rest can't reach it.
+words scores 1, and all items of `least_score` or more are retrieved, however many. A search keeps a cursor in the posting list of
+each of the passage's terms. The pivot is the first item that the lists' maxima can lift to the threshold; where its block's maxima can't,
+all cursors before skip the block, and else those behind the pivot skip to it, and it is scored once all are there.
+Most passages hold nothing and are passed over before: their block bounds are summed for a whole batch at once (what frequent terms
+can give at most in a block, and the block maxima of the others; where frequent terms alone can reach the threshold, theirs too).
 A retrieved item is then verified: enough of the n-grams of its question and of its answer must be in the
 document near the passage.
 
-Passages are windows of twice the longest item's words and overlap by that item, so each
-occurrence is whole in one. An index holds at most `shard_items` items or SHARD_BYTES of text and only that is
-broadcast; more items take more indexes and passes, with statistics over all items.
+Items are grouped by length. Passages are windows of twice the most words that a group's items can have and overlap by that, so each
+occurrence is whole in one, and a long item makes no passages long but its group's. All groups are searched in one pass over the
+documents. Up to `shard_items` items and SHARD_BYTES of text are broadcast at once; a larger benchmark takes more passes,
+with statistics over all items.
 
 Cases: null or empty texts match nothing, as do items without words; equal items are all reported; repeated
 documents are reported each; other columns stay out; an empty table gives no rows; a long text is
@@ -29,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.llm.scratch import Scratch
 from sievemark.llm.wordhash import SPACE_AND_MARKS, U, runs, words
 
 LEAST_SCORE, LEAST_OVERLAP, GRAM = 0.6, 0.7, 5
 K1, B = 1.2, 0.75
 SHARD_ITEMS, SHARD_BYTES, BLOCK_ITEMS = 20_000, 16 << 20, 8
+#: Words that items of the first group have at most, and how many times as many each further group's.
+SHORT, LONGER = 64, 2
 #: Terms in more than this share of a shard's items are bounded together.
 FREQUENT = 0.1
 #: Block maxima that are summed at once, in whole passages.
@@ -63,6 +68,21 @@ def _grams(terms: np.ndarray, n: int) -> np.ndarray:
     return np.unique(runs(terms, min(n, len(terms)))) if len(terms) else np.zeros(0, U)
 
 
+@dataclass
+class Statistics:
+    """Over all items: terms in order, how many items have each, items, and their mean words."""
+
+    term: np.ndarray
+    items: np.ndarray
+    total: int
+    mean: float
+
+    @staticmethod
+    def of(terms: list[np.ndarray]) -> Statistics:
+        names, n = np.unique(np.concatenate([np.unique(t) for t in terms]) if terms else np.zeros(0, U), return_counts=True)
+        return Statistics(names, n, len(terms), max(1.0, float(np.mean([len(t) for t in terms])) if terms else 1.0))
+
+
 @dataclass
 class Index:
     """Postings by term in the order of items; `impact` is a share of the item's own score."""
@@ -78,26 +98,22 @@ class Index:
     block: np.ndarray
     block_top: np.ndarray
     base: np.ndarray  # by block: what frequent terms give at most
-    longest: int
+    longest: int  # words that an item can have
     questions: list[np.ndarray]
     answers: list[np.ndarray]
     sizes: list[tuple[int, int]]
 
     @staticmethod
-    def build(ids: list, texts: list[str], documents: dict[int, int] | None = None, total: int = 0, mean: float = 0.0, gram: int = GRAM) -> Index:
-        """documents, total and mean: items with each term, items, and their mean words, if there are more than these."""
+    def build(ids: list, texts: list[str], statistics: Statistics | None = None, longest: int = 0, gram: int = GRAM) -> Index:
         terms = _terms(texts)
-        total, mean = total or len(terms), mean or max(1.0, float(np.mean([len(t) for t in terms])) if terms else 1.0)
-        counts = [np.unique(t, return_counts=True) for t in terms]
-        if documents is None:
-            names, n = np.unique(np.concatenate([c[0] for c in counts]) if counts else np.zeros(0, U), return_counts=True)
-            documents = dict(zip(names.tolist(), n.tolist(), strict=True))
+        whole = statistics or Statistics.of(terms)
         term, item, impact = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for i, (names, tf) in enumerate(counts):
-            if not len(names):
+        for i, own in enumerate(terms):
+            if not len(own):
                 continue
-            df = np.array([documents[x] for x in names.tolist()])
-            score = np.log1p((total - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(terms[i]) / mean))
+            names, tf = np.unique(own, return_counts=True)
+            df = whole.items[np.searchsorted(whole.term, names)]
+            score = np.log1p((whole.total - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / whole.mean))
             term.append(names)
             item.append(np.full(len(names), i))
             impact.append(score / score.sum())
@@ -119,10 +135,24 @@ class Index:
         return Index(
             ids, vocabulary, ends, item, impact, top, many,
             np.searchsorted(keys, np.arange(len(vocabulary) + 1) * (1 << 32)), keys % (1 << 32), np.maximum.reduceat(impact, at) if len(at) else np.zeros(0),
-            own.reshape(-1, BLOCK_ITEMS).max(axis=1) if blocks else own, max((len(t) for t in terms), default=0),
+            own.reshape(-1, BLOCK_ITEMS).max(axis=1) if blocks else own, longest or max((len(t) for t in terms), default=0),
             [_grams(q, gram) for q in questions], [_grams(a, gram) for a in answers], [(min(gram, len(q)), min(gram, len(a))) for q, a in zip(questions, answers, strict=True)],
         )
 
+    @staticmethod
+    def groups(ids: list, texts: list[str], statistics: Statistics | None = None) -> list[Index]:
+        """An index for each group of items by length; items without words are in none."""
+        terms = _terms(texts)
+        statistics = statistics or Statistics.of(terms)
+        by: dict[int, list[int]] = {}
+        for i, own in enumerate(terms):
+            if len(own):
+                size = SHORT
+                while len(own) > size:
+                    size *= LONGER
+                by.setdefault(size, []).append(i)
+        return [Index.build([ids[i] for i in own], [texts[i] for i in own], statistics, size) for size, own in sorted(by.items())]
+
     def bounds(self, passage: np.ndarray, term: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(passage, block) whose bound reaches least, from distinct (passage, term) in order."""
         heavy = self.base >= least - 1e-9  # frequent terms count one by one here, and in other blocks as base
@@ -151,22 +181,49 @@ class Index:
         key = np.concatenate(found)
         return key // len(base), key % len(base)
 
-    def search(self, terms: np.ndarray, blocks: np.ndarray, least: float) -> dict[int, float]:
-        """Items in these blocks whose score reaches least; terms are distinct."""
-        order = np.argsort(-self.top[terms], kind="stable")
-        terms = terms[order]
-        left = np.cumsum(self.top[terms][::-1])[::-1]
-        score: dict[int, float] = {}
-        wanted = set(blocks.tolist())
-        for t, rest in zip(terms.tolist(), left.tolist(), strict=True):
-            fresh = rest >= least - 1e-9  # later terms alone can't lift a new item to the threshold
-            for k in range(self.first[t], self.first[t + 1]):
-                i = int(self.item[k])
-                if i in score:
-                    score[i] += float(self.impact[k])
-                elif fresh and i // BLOCK_ITEMS in wanted:
-                    score[i] = float(self.impact[k])
-        return {i: s for i, s in score.items() if s >= least - 1e-9}
+    def search(self, terms: np.ndarray, least: float) -> dict[int, float]:
+        """Block-max WAND: all items whose score reaches least; terms are distinct."""
+        least -= 1e-9
+        lists = [(self.item[self.first[t] : self.first[t + 1]], self.impact[self.first[t] : self.first[t + 1]], float(self.top[t]), self.block[self.block_first[t] : self.block_first[t + 1]], self.block_top[self.block_first[t] : self.block_first[t + 1]]) for t in terms.tolist()]
+        end = len(self.ids)
+        # A cursor: the item it stands at, its list, its place there.
+        cursors = sorted((int(x[0][0]), k, 0) for k, x in enumerate(lists))
+        found: dict[int, float] = {}
+
+        def moved(cursor: tuple[int, int, int], item: int) -> tuple[int, int, int]:
+            own = lists[cursor[1]][0]
+            at = cursor[2] + int(np.searchsorted(own[cursor[2] :], item))
+            return (int(own[at]) if at < len(own) else end, cursor[1], at)
+
+        while cursors:
+            total, pivot = 0.0, -1
+            for j, (_, k, _) in enumerate(cursors):
+                total += lists[k][2]
+                if total >= least:
+                    pivot = j
+                    break
+            if pivot < 0:
+                break
+            item = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+                pivot += 1
+            block, bound = item // BLOCK_ITEMS, 0.0
+            for _, k, _ in cursors[: pivot + 1]:
+                at = int(np.searchsorted(lists[k][3], block))
+                if at < len(lists[k][3]) and lists[k][3][at] == block:
+                    bound += float(lists[k][4][at])
+            if bound < least:  # no item before the next block, or before a list that is not counted, can reach it
+                after = min((block + 1) * BLOCK_ITEMS, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end)
+                cursors[: pivot + 1] = [moved(c, after) for c in cursors[: pivot + 1]]
+            elif cursors[0][0] == item:
+                score = sum(float(lists[k][1][at]) for _, k, at in cursors[: pivot + 1])
+                if score >= least:
+                    found[item] = score
+                cursors[: pivot + 1] = [moved(c, item + 1) for c in cursors[: pivot + 1]]
+            else:
+                cursors[: pivot + 1] = [moved(c, item) if c[0] < item else c for c in cursors[: pivot + 1]]
+            cursors = sorted(c for c in cursors if c[0] < end)
+        return found
 
     def overlaps(self, item: int, near: np.ndarray) -> tuple[float, float]:
         """Shares of the question's and the answer's n-grams that are among these words."""
@@ -176,79 +233,109 @@ class Index:
         return out[0], out[1]
 
 
+@dataclass
+class Shard:
+    """The groups of some items, and for each of all their terms its number in every group (or -1)."""
+
+    groups: list[Index]
+    vocabulary: np.ndarray
+    numbers: list[np.ndarray]
+
+    @staticmethod
+    def of(ids: list, texts: list[str], statistics: Statistics | None = None) -> Shard:
+        groups = Index.groups(ids, texts, statistics)
+        vocabulary = np.unique(np.concatenate([g.vocabulary for g in groups])) if groups else np.zeros(0, U)
+        numbers = []
+        for g in groups:
+            number = np.full(len(vocabulary), -1)
+            number[np.searchsorted(vocabulary, g.vocabulary)] = np.arange(len(g.vocabulary))
+            numbers.append(number)
+        return Shard(groups, vocabulary, numbers)
+
+
+def _passages(index: Index, w, place: np.ndarray, term: np.ndarray, least_score: float, least_overlap: float) -> Iterator[tuple]:
+    """(text, item, what is found) of an index in a slice's words; term: numbers of the words at these places."""
+    step = index.longest
+    owner = np.searchsorted(w.first, place, side="right") - 1
+    # A passage is the words of two steps; numbers grow over the slice's texts.
+    steps = -(-np.diff(w.first) // step)
+    base = np.concatenate([[0], np.cumsum(steps + 1)])
+    number = base[owner] + (place - w.first[owner]) // step + 1
+    key = np.unique(np.concatenate([number, number - 1]) * len(index.vocabulary) + np.concatenate([term, term]))
+    passage, term = key // len(index.vocabulary), key % len(index.vocabulary)
+    best: dict[tuple[int, int], tuple] = {}
+    for p in np.unique(index.bounds(passage, term, least_score)[0]).tolist():
+        found = index.search(term[slice(*np.searchsorted(passage, [p, p + 1]))], least_score)
+        if not found:
+            continue
+        d = int(np.searchsorted(base, p, side="right")) - 1
+        a = w.first[d] + max(0, (p - base[d] - 1) * step)
+        b = min(w.first[d + 1], w.first[d] + (p - base[d] + 1) * step)
+        near = w.hash[max(w.first[d], a - index.longest) : min(w.first[d + 1], b + index.longest)]
+        for i, score in found.items():
+            question, answer = index.overlaps(i, near)
+            new = (min(question, answer), score, question, answer, int(a - w.first[d]), int(b - a))
+            if (d, i) not in best or best[d, i] < new:
+                best[d, i] = new
+    yield from ((d, index.ids[i], x) for (d, i), x in best.items() if x[0] >= least_overlap)
+
+
 def _find(shared, least_score: float, least_overlap: float):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
-        longest = max(1, index.longest)
-        step = max(32, longest)
+        shard: Shard = shared.value
         for batch in batches:
             rows = []
             for w in words(batch["text"], fold=True, gaps=SPACE_AND_MARKS):
-                if not len(w.hash) or not len(index.vocabulary):
+                if not len(w.hash) or not shard.groups:
                     continue
-                at = np.searchsorted(index.vocabulary, w.hash)
-                at[at == len(index.vocabulary)] = 0
-                hit = np.flatnonzero(index.vocabulary[at] == w.hash)
-                owner = np.searchsorted(w.first, hit, side="right") - 1
-                # A passage is the words of two steps; numbers grow over the slice's texts.
-                steps = -(-np.diff(w.first) // step)
-                base = np.concatenate([[0], np.cumsum(steps + 1)])
-                place = base[owner] + (hit - w.first[owner]) // step + 1
-                passage, term = np.concatenate([place, place - 1]), np.concatenate([at[hit], at[hit]])
-                key = np.unique(passage * len(index.vocabulary) + term)
-                passage, term = key // len(index.vocabulary), key % len(index.vocabulary)
-                who, block = index.bounds(passage, term, least_score)
-                best: dict[tuple[int, int], tuple] = {}
-                for p in np.unique(who).tolist():
-                    lo, hi = np.searchsorted(passage, [p, p + 1])
-                    found = index.search(term[lo:hi], block[slice(*np.searchsorted(who, [p, p + 1]))], least_score)
-                    if not found:
-                        continue
-                    d = int(np.searchsorted(base, p, side="right")) - 1
-                    a = w.first[d] + max(0, (p - base[d] - 1) * step)
-                    b = min(w.first[d + 1], w.first[d] + (p - base[d] + 1) * step)
-                    near = w.hash[max(w.first[d], a - longest) : min(w.first[d + 1], b + longest)]
-                    for i, score in found.items():
-                        question, answer = index.overlaps(i, near)
-                        new = (min(question, answer), score, question, answer, int(a - w.first[d]), int(b - a))
-                        if (d, i) not in best or best[d, i] < new:
-                            best[d, i] = new
-                rows += [(w.at + d, i, x) for (d, i), x in sorted(best.items()) if x[0] >= least_overlap]
+                at = np.searchsorted(shard.vocabulary, w.hash)
+                at[at == len(shard.vocabulary)] = 0
+                hit = np.flatnonzero(shard.vocabulary[at] == w.hash)
+                for index, number in zip(shard.groups, shard.numbers, strict=True):
+                    term = number[at[hit]]
+                    own = term >= 0
+                    if own.any():
+                        rows += [(w.at + d, i, x) for d, i, x in _passages(index, w, hit[own], term[own], least_score, least_overlap)]
+            rows.sort(key=lambda r: (r[0], r[1]))
             cols = [[x[k] for _, _, x in rows] for k in range(1, 6)]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(pa.array([d for d, _, _ in rows], pa.int64())), pa.array([index.ids[i] for _, i, _ in rows], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[:3]), *(pa.array(c, pa.int64()) for c in cols[3:])],
+                [batch["doc_id"].take(pa.array([d for d, _, _ in rows], pa.int64())), pa.array([i for _, i, _ in rows], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[:3]), *(pa.array(c, pa.int64()) for c in cols[3:])],
                 ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word", "n_words"],
             )
 
     return find
 
 
-def _indexes(benchmark: DataFrame, shard_items: int) -> Iterator[Index]:
-    """Indexes of all items, each within the bounds of a shard."""
+def _shards(benchmark: DataFrame, shard_items: int) -> Iterator[Shard]:
+    """All items, in parts that are small enough to be broadcast."""
     items = benchmark.where("text is not null").selectExpr("cast(item_id as long) as item_id", "text")
     size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     shards = max(1, -(-size["n"] // shard_items), -(-(size["bytes"] or 0) // SHARD_BYTES))
     if shards == 1:
         rows = items.orderBy("item_id", "text").collect()
-        yield Index.build([r[0] for r in rows], [r[1] for r in rows])
+        yield Shard.of([r[0] for r in rows], [r[1] for r in rows])
         return
     shards *= 2  # hashing fills shards unevenly
-    numbered = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, terms in zip(batch["shard"].to_pylist(), _terms(batch["text"].to_pylist()), strict=True):
                 names = np.unique(terms).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), shard)), pa.array(names), pa.array(np.full(len(names), len(terms)))], ["shard", "term", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), shard)), pa.array(names), pa.array(np.full(len(names), len(terms) / max(1, len(names))))], ["shard", "term", "words"])
 
-    each = numbered.select("shard", "text").mapInArrow(count, "shard long, term long, words long")
-    mean = numbered.select("text").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([len(t) for t in _terms(b["text"].to_pylist())], pa.int64())], ["words"]) for b in bs), "words long").agg(F.avg("words")).first()[0]
-    documents = each.groupBy("term").agg(F.count("*").alias("df"))
+    scratch = Scratch(benchmark.sparkSession, "decontaminate")
+    numbered = scratch.table(items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))), "items")
+    each = scratch.table(numbered.select("shard", "text").mapInArrow(count, "shard long, term long, words double"), "terms")
+    mean = max(1.0, (each.agg(F.sum("words")).first()[0] or 0.0) / size["n"])
+    documents = scratch.table(each.groupBy("term").agg(F.count("*").alias("df")), "counts")
     for shard in range(shards):
         rows = numbered.where(F.col("shard") == shard).orderBy("item_id", "text").collect()
         if rows:
             own = each.where(F.col("shard") == shard).select("term").distinct().join(documents.hint("shuffle_merge"), "term").collect()
-            yield Index.build([r[0] for r in rows], [r[1] for r in rows], {r[0] & ((1 << 64) - 1): r[1] for r in own}, size["n"], mean)
+            own = sorted((r[0] & ((1 << 64) - 1), r[1]) for r in own)
+            statistics = Statistics(np.array([t for t, _ in own], dtype=U), np.array([n for _, n in own]), size["n"], mean)
+            yield Shard.of([r[0] for r in rows], [r[1] for r in rows], statistics)
+    scratch.close()
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP, shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -256,18 +343,21 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least_score: float
     docs = documents.selectExpr("cast(doc_id as long) as doc_id", "text")
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, n_words long"
     out = None
-    for index in _indexes(benchmark, shard_items):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
+    for shard in _shards(benchmark, shard_items):
+        shared = documents.sparkSession.sparkContext.broadcast(shard)
         part = docs.mapInArrow(_find(shared, least_score, least_overlap), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.where("false").selectExpr("doc_id", "doc_id as item_id", "0D as score", "0D as question_overlap", "0D as answer_overlap", "0L as first_word", "0L as n_words")
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """documents without the rows that hold a test item, with all columns; nothing is shuffled."""
-    out = documents
-    for index in _indexes(benchmark, shard_items):
-        find = _find(documents.sparkSession.sparkContext.broadcast(index), least_score, least_overlap)
+    """documents without the rows that hold a test item, with all columns; nothing is shuffled. Between the passes of a large benchmark rows are written."""
+    out, scratch = None, None
+    for shard in _shards(benchmark, shard_items):
+        if out is not None:
+            scratch = scratch or Scratch(documents.sparkSession, "decontaminated")
+            out = scratch.table(out, "clean")
+        find = _find(documents.sparkSession.sparkContext.broadcast(shard), least_score, least_overlap)
 
         def clean(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -275,5 +365,5 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, least_score
                 hit = {x for b in find(iter([rows])) for x in b["doc_id"].to_pylist()}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 
-        out = out.mapInArrow(clean, documents.schema)
-    return out
+        out = (documents if out is None else out).mapInArrow(clean, documents.schema)
+    return documents if out is None else out
