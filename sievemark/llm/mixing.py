@@ -10,8 +10,9 @@ bin sums tell the bin in which a leaf's budget ends, and only that bin's rows ar
 a leaf of a third of all rows never meets in one task. The leaf table is broadcast up to
 `broadcast_leaves` rows, and joined by shuffle beyond.
 
-Cases: nulls in the tree's columns are a child of their own; null text has no tokens and is taken with
-its leaf's first epoch if there is budget left; null doc_id has a place in the order too; equal hashes go by doc_id; repeated rows are rows of
+Cases: nulls in the tree's columns are a child of their own, whose weight is given under None; null text has no tokens and is taken with
+its leaf's first epoch if there is budget left; the order is a hash of doc_id and all other columns (but maps), so rows of one doc_id or of null have
+places of their own, and only equal rows tie, of which it does not matter which is taken; repeated rows are rows of
 their own; other columns pass through (n_tokens and epoch are replaced); no rows or no budget give no rows; siblings of zero weight get
 nothing.
 """
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from sievemark.llm.scratch import Scratch, aside
 
 TREE = ("domain", "lang", "source")
-NONE = "(none)"
 BINS_BITS, BROADCAST_LEAVES = 14, 100_000
 EPOCHS, SEED = 4, 17
 
@@ -34,11 +34,22 @@ def tokens(text: str = "text") -> Column:
     return F.coalesce(F.ceil(F.octet_length(text) / 4), F.lit(0)).cast("long")
 
 
-def _weight(names: Column, weights: dict[str, float] | None) -> Column:
+def child(column: str) -> Column:
+    """A child's name in the tree: not null, and null's is no other's."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
+def _weight(names: Column, weights: dict[str | None, float] | None) -> Column:
     """Weights by name; a child that none is given for has 0, and all have 1 without any."""
     if not weights:
         return F.lit(1.0)
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), names), F.lit(0.0)).cast("double")
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for name, w in weights.items() for x in ("" if name is None else f"={name}", float(w)))), names), F.lit(0.0)).cast("double")
+
+
+def order_of(documents: DataFrame, seed: int, whole: Column) -> Column:
+    """The seeded order: a hash of the row, another one after each whole epoch."""
+    others = [f.name for f in documents.schema.fields if f.name.lower() != "doc_id" and "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(F.lit(seed), whole.cast("long"), "doc_id", *(F.col(f"`{c}`") for c in others))
 
 
 def shared_out(children: DataFrame, parent: list[str]) -> DataFrame:
@@ -81,7 +92,7 @@ def mix(documents: DataFrame, share: float, weights: dict[str, dict[str, float]]
     documents = documents.drop("n_tokens", "epoch")
     moved, back = aside(documents, "order", "bin", "whole", "rest", "taken", "end_bin", "end_before", "in_bin", "upto", *names)
     rows = moved.withColumn("n_tokens", tokens() if cost is None else cost)
-    rows = rows.withColumns({n: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for n, c in zip(names, TREE, strict=True)})
+    rows = rows.withColumns({n: child(c) for n, c in zip(names, TREE, strict=True)})
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
     leaves = scratch.table(leaves.select(*(F.col(n).alias(c) for n, c in zip(names, TREE, strict=True)), "tokens"), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
@@ -90,7 +101,7 @@ def mix(documents: DataFrame, share: float, weights: dict[str, dict[str, float]]
     plan = scratch.table(plan.withColumn("rest", F.when(F.col("whole") >= epochs, F.lit(0.0)).otherwise(F.col("budget") - F.col("whole") * F.col("tokens"))), "plan")
     small = plan.count() <= broadcast_leaves
     near = F.broadcast if small else lambda t: t.hint("shuffle_merge")
-    order = F.xxhash64(F.lit(seed), "whole", "doc_id")
+    order = order_of(moved, seed, F.col("whole"))
     met = rows.join(near(plan.select(*names, "whole", "rest")), names).withColumn("order", order).withColumn("bin", F.shiftrightunsigned("order", 64 - BINS_BITS))
     sums = met.groupBy(*names, "bin").agg(F.sum("n_tokens").alias("in_bin"), F.first("rest").alias("rest"))
     upto = F.sum("in_bin").over(Window.partitionBy(*names).orderBy("bin"))
@@ -98,7 +109,7 @@ def mix(documents: DataFrame, share: float, weights: dict[str, dict[str, float]]
     ends = scratch.table(ends.select(*names, F.col("end.bin").alias("end_bin"), F.col("end.before").alias("end_before")), "ends")
     met = met.join(near(ends), names, "left")
     inner = Window.partitionBy(*names).orderBy("order", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    last = met.where("bin = end_bin").withColumn("taken", F.col("end_before") + F.sum("n_tokens").over(inner) <= F.col("rest"))
+    last = met.where("bin = end_bin").withColumn("taken", (F.col("rest") > 0) & (F.col("end_before") + F.sum("n_tokens").over(inner) <= F.col("rest")))
     others = met.where("end_bin is null or bin <> end_bin").withColumn("taken", (F.col("rest") > 0) & (F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin"))))
     times = F.col("whole") + F.col("taken").cast("long")
     taken = others.unionByName(last).where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))))
