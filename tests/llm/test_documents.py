@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sievemark.llm import decontaminate, jaccard_join, language_id, matroska, mixing, secret_scan, substring_dedup, token_counts
+from sievemark.llm import decontaminate, jaccard_join, matroska, mixing, repeats, secret_scan, substring_dedup, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -50,6 +50,43 @@ LAST = 1 << 62
 
 def test_substring_dedup(spark, rows, tmp_path):
     got = sorted(tuple(r) for r in substring_dedup.substring_dedup(_df(spark, rows, tmp_path)).select(F.coalesce("doc_id", F.lit(LAST)), "n_words", "n_removed", "kept_sha256").collect())
+    want = [x[:4] for x in _deduplicated(rows)]
+    assert got == sorted(want) and sum(x[2] for x in want) > 100
+
+
+def test_subtrees_of_any_size():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    suffixes = rng.integers(0, 2, (500, 13)).astype(np.uint32)
+    suffixes[100:300] = suffixes[0]
+    docs = rng.integers(0, 40, 500)
+    starts = np.arange(500)
+    whole = substring_dedup.repeats(suffixes, starts, docs, 10_000)
+    assert (substring_dedup.repeats(suffixes, starts, docs, 7) == whole).all() and whole.any()
+    assert [bool(x) for x in whole] == [any((suffixes[j] == suffixes[i]).all() and docs[j] < docs[i] for j in range(500)) for i in range(500)]
+    found = list(substring_dedup.pieces(suffixes, starts, 7))
+    assert sorted(np.concatenate(found).tolist()) == list(range(500))
+
+
+def test_words_of_one_hash_stay_apart(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from sievemark.llm import wordhash
+
+    text = "a b c a b d a b c"
+    (w,) = wordhash.words(pa.array([text]))
+    number = wordhash.numbers(w.data, w.start, w.end, np.zeros_like(w.hash))  # all collide
+    assert [[x == y for x in number] for y in number] == [[x == y for x in text.split()] for y in text.split()]
+    at = np.arange(len(number) - 2)
+    real, calls = wordhash.runs, []
+    monkeypatch.setattr(wordhash, "runs", lambda h, k: (calls.append(1), real(h, k) * wordhash.U(len(calls) > 1))[1])  # the first seed gives one name to all
+    name = wordhash.windows(number, at, 3)
+    assert len(calls) == 2 and [[x == y for x in name] for y in name] == [[text.split()[i : i + 3] == text.split()[j : j + 3] for i in at] for j in at]
+
+
+def _deduplicated(rows):
     least: dict = {}
     cut = [(i if i is not None else LAST, WORD.findall(t or "")) for i, t in rows]
     for i, w in cut:
@@ -62,21 +99,29 @@ def test_substring_dedup(spark, rows, tmp_path):
             if least[tuple(w[k : k + 13])] < i:
                 gone |= set(range(k, k + 13))
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-        want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    assert got == sorted(want) and sum(x[2] for x in want) > 100
-
-
-def test_subtrees_of_any_size():
-    import numpy as np
-
-    rng = np.random.default_rng(2)
-    suffixes = rng.integers(0, 2, (500, 13)).astype(np.uint32)
-    suffixes[100:300] = suffixes[0]
-    docs = rng.integers(0, 40, 500)
-    whole = substring_dedup.repeats(suffixes, docs, 10_000)
-    assert (substring_dedup.repeats(suffixes, docs, 7) == whole).all() and whole.any()
-    found = list(substring_dedup.pieces(suffixes, 7))
-    assert sorted(np.concatenate(found).tolist()) == list(range(500))
+        passages = [k for k in sorted(gone) if k - 1 not in gone]
+        want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), [(k, next(j for j in range(k, len(w) + 1) if j not in gone) - k) for k in passages]))
+    return sorted(want)
+
+
+def test_a_run_in_a_third_of_all_documents(spark, tmp_path, monkeypatch):
+    """Common runs of words in different contexts, in small ranges that are dealt twice, and dealt by all of a suffix's words."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    run, passage = " ".join(f"r{i}" for i in range(7)), " ".join(f"p{i}" for i in range(14))
+    draw = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [f"{draw(rng.randint(8, 20))} {run if i % 3 == 0 else ''} {draw(9)} {passage if i % 4 == 0 else ''} {draw(3)}" for i in range(120)]
+    texts += [f"w1 w2 w3 w4 w5 {run} w6 w7 {run}", f"w1 w2 w3 w4 w5 {run} w6 w8", " ".join([run] * 6)] * 2
+    rows = [(rng.randint(0, 90), t) for t in texts]
+    want = _deduplicated(rows)
+    assert sum(x[2] for x in want) > 300
+    for ranges, hot, chunk in ((1 << 14, 1 << 13, 1_000_000), (2, 4, 50)):
+        monkeypatch.setattr(repeats, "MOST_RANGES", ranges)
+        monkeypatch.setattr(substring_dedup, "HOT_ROWS", hot)
+        monkeypatch.setattr(repeats, "CHUNK_KEYS", chunk)
+        monkeypatch.setattr(substring_dedup, "CHUNK_KEYS", chunk)
+        got = substring_dedup.substring_dedup(_df(spark, rows, tmp_path / str(chunk))).select("doc_id", "n_words", "n_removed", "kept_sha256", "passages")
+        assert sorted((*r[:4], [tuple(p) for p in r["passages"]]) for r in got.collect()) == want
 
 
 def _components(rows):
@@ -102,9 +147,10 @@ def _components(rows):
     return sets, [groups[root(i)] for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("parts", [(128, 16, 4096), (4, 3, 5)])
-def test_jaccard_components(spark, rows, tmp_path, monkeypatch, parts):
-    monkeypatch.setattr(jaccard_join, "PART_NODES", parts)
+@pytest.mark.parametrize("part", [1 << 20, 700, 90])
+def test_jaccard_components(spark, rows, tmp_path, monkeypatch, part):
+    """Clusters whole, by lists and with lists in parts."""
+    monkeypatch.setattr(jaccard_join, "PART_SHINGLES", part)
     key = lambda x: LAST if x is None else x
     got = sorted((key(r[0]), r[1], key(r[2])) for r in jaccard_join.similar_components(_df(spark, rows, tmp_path)).collect())
     sets, groups = _components(rows)
@@ -144,31 +190,6 @@ def test_media(spark, rows, tmp_path):
         assert hashlib.sha256(payload).hexdigest() == r["payload_sha256"] and hashlib.sha256(bytes(r["media"])).hexdigest() == r["media_sha256"]
 
 
-def test_language(spark, tmp_path):
-    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("the house of the dog", "en"), ("das haus der katze", "de")] * 5)]
-    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    texts = ["the dog", "die Katze", "hundehaus", None, "", "123 !?", "ẞ"]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string").drop("score")
-    got = [(r["lang_pred"], r["score"]) for r in language_id.predict(df, model).orderBy("doc_id").collect()]
-    assert [x for x, _ in got[:6]] == ["en", "de", "de", "und", "und", "und"] and got[6][0] in ("de", "en")
-    assert all(0 <= s <= 1 for _, s in got)
-    none = language_id.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
-    assert none.predict("text") == ("und", 0.0)
-
-
-def test_language_of_few_rows(spark):
-    rows = [(i, f"common{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} the of and", "en") for i in range(3000)] + [(5000 + i, "zug zwölf wälder", "xx") for i in range(5)] + [(9000, None, "xx"), (None, "zug", "yy"), (9001, "zug", None)]
-    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    few = language_id.train(labelled, max_rows=20)
-    assert few.languages == ["en", "xx"] and few.predict("zwölf")[0] == "xx" and few.predict("the")[0] == "en"
-    assert few.table.shape[0] <= 3 + 3 + 60  # about 20 rows of the large language
-    crowded = language_id.train(labelled, max_rows=10_000, max_words=40, max_grams=80)
-    assert {"zug", "zwölf", "wälder", "the", "of", "and"} <= set(crowded.words)
-    assert len(crowded.words) == 40 and len(crowded.grams) <= 80  # what the small language leaves goes to the large one
-    assert crowded.predict("zwölf")[0] == "xx"
-    assert language_id._quotas({"a": 2, "b": 100, "c": 100}, 40) == {"a": 2, "b": 19, "c": 19}
-
-
 def test_decontamination(spark, rows, tmp_path):
     rng = random.Random(4)
     words = [f"w{rng.randint(0, 3000)}" for _ in range(40_000)]
@@ -194,8 +215,7 @@ def test_decontamination(spark, rows, tmp_path):
         for x in terms:
             for k in range(index.first[x], index.first[x + 1]):
                 exact[int(index.item[k])] = exact.get(int(index.item[k]), 0) + index.impact[k]
-        who, block = index.bounds(np.zeros(len(terms), np.int64), terms, 0.3)
-        assert {i for i, s in index.search(terms, block, 0.3).items()} == {i for i, s in exact.items() if s >= 0.3 - 1e-9}
+        assert set(index.search(terms, 0.3)) == {i for i, s in exact.items() if s >= 0.3 - 1e-9}
 
 
 def test_decontamination_of_frequent_words(spark, tmp_path, monkeypatch):
@@ -229,14 +249,94 @@ def test_decontamination_of_frequent_words(spark, tmp_path, monkeypatch):
             exact = np.zeros(len(fixed))
             for x in terms:
                 np.add.at(exact, index.item[index.first[x] : index.first[x + 1]], index.impact[index.first[x] : index.first[x + 1]])
-            _, block = index.bounds(np.zeros(size, np.int64), terms, least)
-            assert set(index.search(terms, block, least)) == set(np.flatnonzero(exact >= least - 1e-9).tolist())
+            want = set(np.flatnonzero(exact >= least - 1e-9).tolist())
+            assert set(index.search(terms, least)) == want
+            assert {i // decontaminate.BLOCK_ITEMS for i in want} <= set(index.bounds(np.zeros(size, np.int64), terms, least)[1].tolist())
+
+
+_TERM = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
+
+
+def _leaks(docs, items, least_score, least_overlap):
+    """Every passage of every document scored against every item by the formula."""
+    import math
+
+    lower = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in _TERM.findall(t or "")]
+    terms = {i: lower(t) for i, t in items if t is not None}
+    total, mean = len(terms), max(1.0, sum(map(len, terms.values())) / len(terms))
+    df: dict = {}
+    for own in terms.values():
+        for x in set(own):
+            df[x] = df.get(x, 0) + 1
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    groups: dict = {}
+    for i, own in terms.items():
+        if own:
+            size = decontaminate.SHORT
+            while len(own) > size:
+                size *= decontaminate.LONGER
+            groups.setdefault(size, []).append(i)
+    out = {}
+    for d, text in docs:
+        w = lower(text)
+        for step, group in groups.items():
+            for k in range(-(-len(w) // step) + 1):
+                a, b = max(0, (k - 1) * step), min(len(w), (k + 1) * step)
+                here, near = set(w[a:b]), w[max(0, a - step) : b + step]
+                for i in group:
+                    own = terms[i]
+                    score = {x: math.log1p((total - df[x] + 0.5) / (df[x] + 0.5)) * own.count(x) * 2.2 / (own.count(x) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for x in set(own)}
+                    share = sum(v for x, v in score.items() if x in here) / sum(score.values())
+                    if share < least_score - 1e-9:
+                        continue
+                    overlaps = []
+                    for part in decontaminate.question_and_answer(dict(items)[i]):
+                        p = lower(part)
+                        n = min(5, len(p))
+                        overlaps.append(len(grams(p, n) & grams(near, n)) / len(grams(p, n)) if n else 1.0)
+                    if min(overlaps) >= least_overlap:
+                        new = (min(overlaps), share, *overlaps, a, b - a)
+                        old = out.get((d, i), new)
+                        out[d, i] = max(old, new, key=lambda x: (round(x[0], 9), round(x[1], 9), *x[2:]))
+    return out
+
+
+def test_decontamination_against_full_scoring(spark, tmp_path):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(60)] + ["é1", "ß"]
+    draw = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, f"{draw(rng.randint(3, 30))}? {draw(rng.randint(1, 9))}") for k in range(40)] + [(50, draw(90)), (51, draw(300)), (52, "one"), (53, None), (54, ""), (55, "!!")]
+    items += [(60, items[3][1]), (61, items[50 - 10][1])]
+    docs = [(100 + k, draw(rng.randint(0, 90))) for k in range(20)]
+    for k, (_, t) in enumerate(items):
+        if t:
+            w = t.split()
+            if rng.random() < 0.6:  # a word or some of them differ
+                for _ in range(rng.randint(1, 1 + len(w) // 8)):
+                    w[rng.randrange(len(w))] = rng.choice(words)
+            docs.append((200 + k, f"{draw(rng.randint(0, 150))} {' '.join(w).upper() if k % 3 else ' '.join(w)} {draw(rng.randint(0, 80))}"))
+    docs += [(400, draw(3000) + " " + items[5][1]), (401, None), (402, "")]
+    df, benchmark = _df(spark, docs, tmp_path), spark.createDataFrame(items, "item_id long, text string")
+    for least in (0.6, 0.3):
+        want = _leaks(docs, items, least, 0.5)
+        for shard in (20_000, 9):
+            got = {(r["doc_id"], r["item_id"]): tuple(r[2:]) for r in decontaminate.contaminated(df, benchmark, least, 0.5, shard).collect()}
+            assert set(got) == set(want) and len(want) > 30
+            for key, x in want.items():
+                assert got[key] == pytest.approx(x[1:], abs=1e-6)
+            clean = {r["doc_id"] for r in decontaminate.without_contaminated(df, benchmark, least, 0.5, shard).collect()}
+            assert clean == {d for d, _ in docs} - {d for d, _ in want}
 
 
 def test_secrets(spark, rows, tmp_path):
     texts = ["token=token: abcdef", "user = bob@x password='hunter2hunter2' https://api.x.com/v1 é 😀 Ab3dEf6hIj9kLmN0", "login: bob " + "x " * 200 + " Ab3dEf6hIj9kLmN0 10.0.0.1", "😀 token: é token: 12345 token:1234567", "AKIA" + "ABCDEFGHIJKLMNOP2 " + "ab12" * 8]
     got = [r["spans"] for r in secret_scan.scan(_df(spark, list(enumerate(texts)), tmp_path)).orderBy("doc_id").collect()]
     assert got == ["", "ident:0:12,assign:13:37,endpoint:39:59,weak:64:80", "", "assign:24:37", "access:0:21,hex:22:54"]
+    # A part is not its own complement, and scopes are counted between parts.
+    mixed = "Ab3dEf6hIj9kLmN0"
+    apart = [f"login: {mixed}", f"https://a.b/{mixed}", f"login: {mixed} and {mixed}", "secret=" + "z" * 300 + " user: bob", f"user: bob{' ' * 256}{mixed}", f"user: bob{' ' * 257}{mixed}", f"{mixed}{' ' * 256}user: bob"]
+    got = [r["spans"] for r in secret_scan.scan(_df(spark, list(enumerate(apart)), tmp_path)).orderBy("doc_id").collect()]
+    assert got == ["", "", "ident:0:23,weak:28:44", "assign:0:307,ident:308:317", "ident:0:9,weak:265:281", "", "weak:0:16,ident:272:281"]
     whole = secret_scan.scan(_df(spark, rows, tmp_path))
     assert whole.count() == len(rows) and whole.where("spans <> ''").isEmpty()
     kept = secret_scan.without_secrets(_df(spark, [*enumerate(texts), (9, None), (9, None)], tmp_path))
@@ -280,6 +380,77 @@ def test_mixing_with_zero_weights_inside_a_domain(spark, broadcast):
     assert sum(r["n_tokens"] for r in mixing.mix(df, 1.5, weights, epochs=2, broadcast_leaves=broadcast).collect()) == 2 * 10 * 630
 
 
+def _shares(budget, children):
+    """Water-filling: children (weight, supply) by name."""
+    out, open_ = {}, {k: w for k, (w, _) in children.items() if w > 0}
+    while open_:
+        full = [k for k, w in open_.items() if budget * w / sum(open_.values()) >= children[k][1]]
+        if not full:
+            return out | {k: budget * w / sum(open_.values()) for k, w in open_.items()}
+        for k in full:
+            out[k] = children[k][1]
+        budget -= sum(children[k][1] for k in full)
+        for k in full:
+            open_.pop(k)
+        budget = max(budget, 0.0)
+    return out
+
+
+def _mixed(rows, weights, share, epochs, order):
+    """rows (id, domain, lang, source, cost); order(row, whole epochs) tells a row's place."""
+    weigh = lambda level, name: (weights[level].get(name, 0.0) if level in weights else 1.0)
+    leaves: dict = {}
+    for r in rows:
+        leaves.setdefault(r[1:4], []).append(r)
+    live = {k: sum(r[4] for r in v) * epochs for k, v in leaves.items() if all(weigh(x, n) > 0 for x, n in zip(("domain", "lang", "source"), k, strict=True)) and sum(r[4] for r in v)}
+    budgets = {(): share * sum(r[4] for r in rows)}
+    for depth, level in enumerate(("domain", "lang", "source")):
+        below: dict = {}
+        for k, n in live.items():
+            below.setdefault(k[:depth], {}).setdefault(k[: depth + 1], 0.0)
+            below[k[:depth]][k[: depth + 1]] += n
+        budgets = {k: b for parent, kids in below.items() for k, b in _shares(budgets.get(parent, 0.0), {k: (weigh(level, k[-1]), n) for k, n in kids.items()}).items()}
+    taken = []
+    for leaf, budget in budgets.items():
+        own = leaves[leaf]
+        size = sum(r[4] for r in own)
+        whole = min(int(budget // size), epochs)
+        rest = 0.0 if whole >= epochs else budget - whole * size
+        taken += [(r, e) for e in range(whole) for r in own]
+        spent, fits = 0, rest > 0
+        for r in sorted(own, key=lambda r: order(r, whole)):
+            spent += r[4]
+            fits = fits and spent <= rest
+            if fits:
+                taken.append((r, whole))
+    return sorted(((r[0], e) for r, e in taken), key=str)
+
+
+@pytest.mark.parametrize(("broadcast", "bits"), [(100_000, 14), (0, 2)])
+def test_mixing_against_a_plain_version(spark, broadcast, bits, monkeypatch):
+    monkeypatch.setattr(mixing, "BINS_BITS", bits)
+    rng = random.Random(31)
+    docs = [(rng.choice([i, i % 40, None]), "t" * rng.randint(1, 300), rng.choice(["a", "a", "a", "b", "c", None, "(none)"]), rng.choice(["en", "de", None, "(none)"]), rng.choice(["s1", "s2", None]), f"o{i}", i) for i in range(500)]
+    docs += [(7, None, "a", "en", "s1", "o", 900), (8, "", "b", "de", None, "o", 901)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, domain string, lang string, source string, order string, bin long").withColumn("tree_lang", F.lit("x"))
+    weights = {"domain": {"a": 0.5, "b": 0.3, None: 0.1, "(none)": 0.1}, "lang": {"en": 3.0, "de": 1.0, None: 0.5}}
+    rows = [(d[6], d[2], d[3], d[4], -(-len(d[1] or "") // 4)) for d in docs]
+    places = {w: {r["bin"]: r["o"] for r in df.select("bin", mixing.order_of(df, 17, F.lit(w)).alias("o")).collect()} for w in range(5)}
+    for share, epochs in ((0.3, 4), (1.2, 3), (0.0, 2), (9.0, 2)):
+        out = mixing.mix(df, share, weights, epochs=epochs, broadcast_leaves=broadcast)
+        assert out.columns == [*df.columns, "n_tokens", "epoch"]
+        want = _mixed(rows, weights, share, epochs, lambda r, whole: (places[whole][r[0]] & ((1 << 64) - 1), r[0]))
+        assert sorted(((r["bin"], r["epoch"]) for r in out.collect()), key=str) == want and (want or not share)
+
+
+def test_mixing_rows_of_equal_place(spark):
+    """Rows that are equal in everything are taken as often as fit; others of one doc_id or of none have places of their own."""
+    docs = [(1, "x" * 40, "a", "en", "s")] * 10 + [(None, "y" * 40, "a", "en", "s"), (None, "z" * 40, "a", "en", "s"), (1, "y" * 40, "a", "en", "s")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, domain string, lang string, source string")
+    out = [mixing.mix(df.repartition(n), 0.5, {}, epochs=1).collect() for n in (1, 5)]
+    assert sorted(map(str, out[0])) == sorted(map(str, out[1])) and sum(r["n_tokens"] for r in out[0]) == 60
+
+
 def test_empty_tables(spark, tmp_path):
     none = _df(spark, [], tmp_path)
     assert substring_dedup.substring_dedup(none).isEmpty() and jaccard_join.similar_components(none).isEmpty()
