@@ -15,7 +15,7 @@ from sievemark.llm.language_id import UND, predict
 from sievemark.llm.mixing import mix
 from sievemark.llm.op2_queries import SHARE, WEIGHTS, domain
 from sievemark.llm.op5_queries import learn
-from sievemark.llm.scratch import Scratch
+from sievemark.llm.scratch import Scratch, mark, release
 from sievemark.llm.secret_scan import without_secrets
 
 #: A language of a lower posterior than this is not known.
@@ -60,7 +60,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "corpus-pipeline")
     before = None
     for name, stage in STAGES:
+        began = mark()
         after = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(began)  # the stage's own tables
         if before is not None:
             scratch.drop(before)
         docs = before = after
