@@ -7,6 +7,7 @@ so that results do not depend on a regex engine's view of accented letters.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,35 +28,79 @@ def pairs(values) -> Column:
     return F.array(*(F.struct(F.lit(p).alias("p"), F.lit(float(c)).alias("c")) for p, c in values))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hits(lowered: Column, phrases) -> Column:
-    """Phrases that are in the lower-case text, in the order of the list."""
-    return F.filter(strings(phrases), lambda p: F.contains(lowered, p))
+    """Phrases that are in the lower-case text, in the order of the list. The text is bound: an expression in a lambda would be computed for each phrase."""
+    return let(lowered, lambda low: F.filter(strings(phrases), lambda p: F.contains(low, p)))
 
 
 def scored_hits(lowered: Column, phrases) -> Column:
-    return F.filter(pairs(phrases), lambda x: F.contains(lowered, x["p"]))
+    return let(lowered, lambda low: F.filter(pairs(phrases), lambda x: F.contains(low, x["p"])))
 
 
 def has_any(lowered: Column, phrases) -> Column:
-    out = F.lit(False)
-    for p in phrases:
-        out = out | F.contains(lowered, F.lit(p))
-    return out
+    return let(lowered, lambda low: reduce(lambda found, p: found | F.contains(low, F.lit(p)), phrases, F.lit(False)))
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with the value computed once however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def count_of(text: Column, char: str) -> Column:
+    """How often one character is in the text."""
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
+_WORD = "[A-Za-z0-9_]"
+
+
+def _is_word(part: str, last: bool) -> bool:
+    """Whether what part begins with (last: ends with) is surely an ASCII word character."""
+    if last:
+        part = re.sub(r"(?:\+|\{[1-9][0-9]*,?[0-9]*\})$", "", part)  # one or more
+        if part.endswith("]"):
+            begin = part.rfind("[")
+            return _is_word(part[begin:], False) and part.count("]", begin) == 1
+        if part.endswith(")"):
+            begin, depth = len(part), 0
+            while begin:
+                begin -= 1
+                depth += (part[begin] == ")") - (part[begin] == "(")
+                if not depth:
+                    break
+            inner = part[begin:].removeprefix("(?:").removeprefix("(").removesuffix(")")
+            return all(_is_word(x, True) for x in inner.split("|")) if "(" not in inner and "[" not in inner else False
+        return bool(re.search(r"(?:^|[^\\])[A-Za-z0-9_]$", part)) or part.endswith(r"\w")
+    if part.startswith("[") and "]" in part:
+        body = part[1 : part.index("]")]
+        optional = re.match(r"[?*]|\{0", part[part.index("]") + 1 :])
+        return not optional and bool(re.fullmatch(r"(?:A-Z|a-z|0-9|\\w|\\d|[A-Za-z0-9_])+", body))
+    if part.startswith("("):
+        inner = re.match(r"\((?:\?:|\?i:)?([^()\[\]\\]*)\)(?![?*{])", part)
+        if inner:
+            return all(re.match("[A-Za-z0-9_]", x) for x in inner[1].split("|"))
+        nested = re.match(r"\((?:\?:|\?i:)?(\[[^\]]*\][^()|]*)\)(?![?*]|\{0)", part)
+        return bool(nested) and _is_word(nested[1], False)
+    return bool(re.match(r"(?:[A-Za-z0-9_]|\\w)(?![?*]|\{0)", part))
+
+
 def ascii_bounds(pattern: str) -> str:
-    """The pattern with `\\b` as ASCII look-arounds; works where a word character stands on one known side."""
-    word = "[A-Za-z0-9_]"
-    return pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
+    """The pattern with `\\b` as ASCII look-arounds: one where a word character surely stands on one side, else both ways."""
+    parts = pattern.split(r"\b")
+    out = parts[0]
+    for before, after in zip(parts, parts[1:], strict=False):
+        if _is_word(after, False):
+            out += f"(?<!{_WORD})"
+        elif _is_word(before, True):
+            out += f"(?!{_WORD})"
+        else:
+            out += f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+        out += after
+    return out
 
 
 def _matches_nothing(pattern: str) -> bool:
@@ -65,24 +110,47 @@ def _matches_nothing(pattern: str) -> bool:
         return False
 
 
-def regex_spans(text: Column, pattern: str, entity_type: str = "match", confidence: float = 1.0) -> Column:
-    """All matches as spans. A pattern that matches nothing at all is refused."""
+#: Stands around matches while a text is cut into matches and what is between them.
+_MARK = "\x01"
+#: Matches whose places are summed at once.
+_BLOCK = 128
+
+
+def regex_spans(text: Column, pattern: str, entity_type: str = "match", confidence: float = 1.0, needs: Column | None = None) -> Column:
+    """All matches as spans. A pattern that matches nothing at all is refused.
+
+    needs: a cheap condition that every text with a match meets. Texts without a match cost one look; in others all matches are marked in one
+    pass, and the text is cut at the marks. (A text that has the mark in it is cut by the pattern.)
+    """
     if _matches_nothing(pattern):
         raise ValueError(f"pattern matches an empty string: {pattern}")
     java = ascii_bounds(pattern)
-    found = F.regexp_extract_all(text, F.lit(java), F.lit(0))
-    gaps = F.transform(F.split(text, java, -1), F.octet_length)
-    sized = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-
-    def add(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["g"]
-        end = begin + F.octet_length(x["m"])
-        span = F.struct(F.lit(entity_type).alias("entity_type"), x["m"].alias("text"), begin.alias("start"), end.alias("end"), F.lit(float(confidence)).alias("confidence"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-    spans = F.aggregate(sized, start, add, lambda s: s["out"])
-    return F.when(F.rlike(text, F.lit(java)), spans).otherwise(F.array().cast(SPANS))
+    marked = F.split(F.regexp_replace(text, java, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    cut = F.flatten(F.zip_with(F.split(text, java, -1), F.regexp_extract_all(text, F.lit(java), F.lit(0)), lambda gap, match: F.when(match.isNull(), F.array(gap)).otherwise(F.array(gap, match))))
+    pieces = F.when(F.contains(text, F.lit(_MARK)), cut).otherwise(marked)
+
+    def spans(pieces: Column) -> Column:
+        # Pieces are gap, match, gap, ... gap; a prefix sum over matches gives their ends.
+        matches = F.sequence(F.lit(2), F.size(pieces) - 1, F.lit(2))
+        sized = F.transform(matches, lambda i: F.struct(F.element_at(pieces, i).alias("m"), F.octet_length(F.element_at(pieces, i - 1)).alias("g")))
+        empty = F.array().cast(SPANS)
+
+        def add(state: Column, x: Column) -> Column:
+            begin = state["at"] + x["g"]
+            end = begin + F.octet_length(x["m"])
+            span = F.struct(F.lit(entity_type).alias("entity_type"), x["m"].alias("text"), begin.alias("start"), end.alias("end"), F.lit(float(confidence)).alias("confidence"))
+            return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+
+        def add_block(state: Column, block: Column) -> Column:
+            done = F.aggregate(block, F.struct(state["at"].alias("at"), empty.alias("out")), add)
+            return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(state["out"], F.array(d["out"])).alias("out")))
+
+        # Appending copies, so it is done in blocks.
+        blocks = let(sized, lambda z: F.transform(F.sequence(F.lit(1), F.size(z), F.lit(_BLOCK)), lambda i: F.slice(z, i, F.lit(_BLOCK))))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")), add_block, lambda s: F.flatten(s["out"]))
+
+    found = F.rlike(text, F.lit(java)) if needs is None else needs & F.rlike(text, F.lit(java))
+    return F.when(found, let(pieces, spans)).otherwise(F.array().cast(SPANS))
 
 
 def any_of(words) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievemark.functions import lists as L
 from sievemark.functions.spans import splice, surest_wins
 from sievemark.functions.text import ipv4, let, luhn, regex_spans, ssn
+from sievemark.operators.scanners import pii_needs
 
 TTL_SECONDS = 3600
 
@@ -17,7 +18,7 @@ def entities(text: Column) -> Column:
     kept = {"SSN": lambda s: ssn(s["text"]), "CREDIT_CARD": lambda s: luhn(s["text"]), "IP_ADDRESS": lambda s: ipv4(s["text"])}
     parts = []
     for kind, pattern, confidence in L.ANONYMIZED:
-        spans = regex_spans(text, pattern, kind, confidence)
+        spans = regex_spans(text, pattern, kind, confidence, pii_needs(text, kind))
         parts.append(F.filter(spans, kept[kind]) if kind in kept else spans)
     return surest_wins(F.concat(*parts))
 

@@ -5,12 +5,14 @@ Every function takes the text (output scanners that need it also the prompt) and
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sievemark.functions import lists as L
 from sievemark.functions.spans import first_wins, splice, surest_wins
-from sievemark.functions.text import SPANS, any_of, ascii_bounds, count_class, entropy, factor, graded, has_any, hits, ipv4, let, luhn, pairs, regex_spans, result, scored_hits, strings, total, words
+from sievemark.functions.text import SPANS, any_of, ascii_bounds, count_class, count_of, entropy, factor, graded, has_any, hits, ipv4, let, luhn, pairs, regex_spans, result, scored_hits, strings, total, words
 
 EDGE = r"[\p{L}\p{N}]"
 
@@ -184,9 +186,19 @@ def language(text: Column, allowed: tuple[str, ...] = ("en",), blocked: tuple[st
     return result("Language", text, valid, risk, None, None, factor("language_not_allowed", "Language", F.lit("high"), risk), {"language": F.when(short | unsure, "unknown").otherwise(code), "confidence": F.round(sure, 6)})
 
 
+def secret_needs(text: Column, kind: str) -> Column | None:
+    """What a text must have for a match of a secret's pattern: the literal that it begins with."""
+    pattern = dict(L.SECRETS)[kind]
+    literal = re.match(r"(?:\(\?i:)?([A-Za-z_:/-]+(?![?*+{]))", pattern)
+    if not literal:
+        return None
+    cheap = F.lower(text) if pattern.startswith("(?i:") else text
+    return F.contains(cheap, F.lit(literal[1]))
+
+
 def secret_spans(text: Column, least_entropy: float = 3.0) -> Column:
     """Credentials by shape; tokens that are only long must also have enough entropy."""
-    parts = [regex_spans(text, p, kind, 0.95) for kind, p in L.SECRETS[:-1]]
+    parts = [regex_spans(text, p, kind, 0.95, secret_needs(text, kind)) for kind, p in L.SECRETS[:-1]]
     generic = F.filter(regex_spans(text, L.SECRETS[-1][1], L.SECRETS[-1][0], 0.8), lambda s: entropy(s["text"], F.length(s["text"])) >= least_entropy)
     return surest_wins(F.concat(*parts, generic))
 
@@ -205,7 +217,7 @@ def injection_hits(text: Column) -> Column:
     phrases = [(p, 0.95) for p in L.OVERRIDE] + [(p, 0.8) for p in L.ROLEPLAY] + [(p, 0.75) for p in L.CONTEXT] + [(p, 0.9) for p in L.EXTRACTION]
     fenced = has_any(text, ["```", "---", "==="]) & has_any(lowered, ["ignore", "system"])
     found = F.concat(scored_hits(lowered, phrases), F.when(fenced, pairs([("delimiter_attack", 0.7)])).otherwise(pairs([]).cast("array<struct<p:string,c:double>>")))
-    spread = (F.regexp_count(text, F.lit("\n")) > 10) | (F.coalesce(F.try_divide(F.regexp_count(text, F.lit(" ")), F.octet_length(text)), F.lit(0.0)) > 0.5)
+    spread = (count_of(text, "\n") > 10) | (F.coalesce(F.try_divide(count_of(text, " "), F.octet_length(text)), F.lit(0.0)) > 0.5)
     return F.when(spread & (F.size(found) > 0), F.concat(found, pairs([("obfuscation", 0.6)]))).otherwise(found)
 
 
@@ -305,13 +317,24 @@ def relevance(prompt: Column, text: Column, threshold: float = 0.5) -> Column:
     return result("Relevance", text, valid, 1 - score, None, None, factor("irrelevant", "Relevance", level, 1 - score), {"score": F.round(score, 6), "generic": generic})
 
 
+def pii_needs(text: Column, kind: str) -> Column | None:
+    """What a text must have for a match of a PII pattern."""
+    low = kind.lower()
+    if low == "email":
+        return F.contains(text, F.lit("@"))
+    if low == "url":
+        return F.contains(text, F.lit("://")) | F.contains(text, F.lit("www."))
+    digits = {"phone": 3, "credit_card": 4, "ssn": 4, "ip_address": 1, "date_of_birth": 4, "bank_account": 8, "driver_license": 7, "passport": 7, "medical_record": 6, "postal_code": 5, "address": 1}
+    return F.rlike(text, F.lit(f"[0-9]{{{digits[low]}}}")) if low in digits else None
+
+
 def pii_spans(text: Column, types: list[str] | None = None) -> Column:
     """PII by type, in the order of types; numbers are validated. Overlaps are not resolved."""
     kept = {"credit_card": lambda s: luhn(s["text"]), "ip_address": lambda s: ipv4(s["text"])}
     parts = []
     for kind, pattern, confidence in L.SENSITIVE:
         if kind in (types or L.SENSITIVE_DEFAULT):
-            spans = regex_spans(text, pattern, kind, confidence)
+            spans = regex_spans(text, pattern, kind, confidence, pii_needs(text, kind))
             parts.append(F.filter(spans, kept[kind]) if kind in kept else spans)
     return F.concat(*parts)
 
@@ -343,7 +366,7 @@ def ban_topics(text: Column, topics: dict[str, list[str]] | None = None, thresho
 def bias_hits(text: Column, types: tuple[str, ...] = ("gender", "racial", "age", "religious")) -> Column:
     """(type, p, c) of the phrases found."""
     rows = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(p).alias("p"), F.lit(float(c)).alias("c")) for t in types for p, c in L.BIAS[t]))
-    return F.filter(rows, lambda x: F.contains(F.lower(text), x["p"]))
+    return let(F.lower(text), lambda low: F.filter(rows, lambda x: F.contains(low, x["p"])))
 
 
 def bias(text: Column, types: tuple[str, ...] = ("gender", "racial", "age", "religious"), threshold: float = 0.6) -> Column:
@@ -364,11 +387,11 @@ def url_risk(url: Column, blocked: tuple[str, ...] = ()) -> Column:
     checks = [
         (has_any(low, L.SUSPICIOUS_TLDS), 0.75),
         (F.rlike(low, F.lit(r"https?://(?:[0-9]{1,3}\.){3}[0-9]{1,3}")), 0.80),
-        (F.regexp_count(url, F.lit("%")) > 5, 0.70),
+        (count_of(url, "%") > 5, 0.70),
         (F.contains(low, F.lit("xn--")), 0.75),
         (F.contains(url, F.lit("@")), 0.85),
         (F.size(hits(low, L.PHISHING)) >= 2, 0.80),
-        (F.regexp_count(low, F.lit(r"\.")) > 5, 0.70),
+        (count_of(low, ".") > 5, 0.70),
         (ends, 0.85),
         (has_any(low, L.SHORTENERS), 0.60),
     ]

@@ -17,7 +17,7 @@ from sievemark.operators import scanners as S
 from sievemark.plans import shield as P
 from sievemark.plans import sql as Q
 from sievemark.plans.scan_queries import _pii_sql, big, probed, six
-from sievemark.sources.tables import table
+from sievemark.sources.tables import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -218,7 +218,7 @@ _TAG = "CASE {n} % 5 WHEN 0 THEN 'B-PER' WHEN 1 THEN 'I-PER' WHEN 2 THEN 'I-ORG'
 
 @query("bio_decode_islands", f"WITH w AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1)::BIGINT AS pos FROM (SELECT doc_id, {Q.words('text')} AS w FROM documents)), t AS (SELECT *, {_TAG.format(n='length(token)')} AS tag, 0.8::DOUBLE + 0.02 * (length(token) % 10) AS c FROM w), k AS (SELECT *, CASE WHEN tag = 'O' THEN NULL ELSE substr(tag, 3) END AS kind FROM t), b AS (SELECT *, CASE WHEN kind IS NOT NULL AND (tag LIKE 'B-%' OR NOT coalesce(lag(kind) OVER o = kind, false)) THEN 1 ELSE 0 END AS begins FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY pos)), i AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM b), e AS (SELECT doc_id, island, min(kind) AS entity_type, count(*) AS tokens, round(avg(c), 6) AS confidence FROM i WHERE kind IS NOT NULL GROUP BY doc_id, island) SELECT entity_type, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM e WHERE confidence >= 0.85 GROUP BY entity_type")
 def bio_decode_islands(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "token"))
+    words = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "token"))
     n = F.length("token")
     tag = F.when(n % 5 == 0, "B-PER").when(n % 5 == 1, "I-PER").when(n % 5 == 2, "I-ORG").otherwise("O")
     tokens = words.select("doc_id", "pos", "token", tag.alias("tag"), F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), ((n % 10) * 0.02 + 0.8).alias("confidence"))
@@ -315,7 +315,7 @@ def claim_compare(spark, sf_dir):
 
 @query("classifier_eval", f"SELECT tp, fp, fn, tn, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall, round(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round((tp + tn)::DOUBLE / (tp + fp + fn + tn), 6) AS accuracy FROM (SELECT count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn FROM (SELECT toxic = 1 AS y, {Q.any_hit(L.INSULTS + L.HATE + L.THREATS, 'lower(text)')} AS p FROM labels JOIN documents USING (doc_id)))")
 def classifier_eval(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", S.toxicity(F.col("text"))["risk_score"].alias("score"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", S.toxicity(F.col("text"))["risk_score"].alias("score"))
     out = M.confusion(table(spark, sf_dir, "labels").join(docs, "doc_id"), F.col("toxic") == 1, F.col("score") > 0)
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "accuracy")})
 

@@ -12,7 +12,7 @@ from sievemark.functions.spans import first_wins, splice
 from sievemark.functions.text import any_of, ascii_bounds, count_class, entropy, hits, ipv4, luhn, regex_spans
 from sievemark.operators import scanners as S
 from sievemark.plans import sql as Q
-from sievemark.sources.tables import table
+from sievemark.sources.tables import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 
 def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with a sentence added by doc_id, so that every scanner has something to find."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     probe = F.element_at(F.array(*map(F.lit, L.PROBES)), (F.col("doc_id") % len(L.PROBES) + 1).cast("int"))
     return docs.select("doc_id", "lang", F.concat("text", F.lit(" "), probe).alias("t"))
 
@@ -220,7 +220,7 @@ def _url_sql(u: str) -> str:
 
 @query("malicious_urls", f"SELECT page_id, u AS url, {_url_sql('u')} AS risk FROM (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/login/verify.exe' WHEN 2 THEN '?to=a@bit.ly' ELSE '.com' END AS u FROM pages UNION ALL SELECT page_id, unnest({Q.matches(L.URL, 'html')}) FROM pages)")
 def malicious_urls(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     end = F.element_at(F.array(*map(F.lit, ["", "/login/verify.exe", "?to=a@bit.ly", ".com"])), (F.col("page_id") % 4 + 1).cast("int"))
     urls = pages.select("page_id", F.concat("url", end).alias("url")).unionByName(pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(L.URL), F.lit(0))).alias("url")))
     return urls.select("page_id", "url", S.url_risk(F.col("url")).alias("risk"))

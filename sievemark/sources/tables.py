@@ -12,6 +12,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes a core from which a table's own splits are taken to be enough.
+SPREAD_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table may have fewer row groups than there are cores; its rows are dealt to all cores, which costs little beside a scan of its texts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def text_files(spark: SparkSession, path: str, glob: str = TEXT_SUFFIXES) -> DataFrame:
     """One row per file: path, text."""
     return spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
