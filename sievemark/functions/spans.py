@@ -41,6 +41,20 @@ def surest_wins(spans: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda st: F.concat(st["out"], st["now"]))
 
 
+def current_wins(spans: Column) -> Column:
+    """Of spans that overlap the one kept last (either begins before the other ends), one of strictly higher confidence takes its place."""
+    start = F.struct(F.array().cast(SPANS).alias("now"), F.array().cast(SPANS).alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        held = F.get(state["now"], F.lit(0))
+        none = F.size(state["now"]) == 0
+        overlaps = ~none & F.coalesce((held["start"] < s["end"]) & (s["start"] < held["end"]), F.lit(False))
+        kept = F.when(overlaps & (s["confidence"] <= held["confidence"]), state["now"]).otherwise(F.array(s))
+        return F.struct(kept.alias("now"), F.when(none | overlaps, state["out"]).otherwise(F.concat(state["out"], state["now"])).alias("out"))
+
+    return F.aggregate(by_start(spans), start, step, lambda st: F.concat(st["out"], st["now"]))
+
+
 def splice(text: Column, spans: Column, replacement) -> Column:
     """The text with spans (in order, apart, byte offsets) replaced; replacement(span, index) gives a string."""
     raw = F.encode(text, "UTF-8")

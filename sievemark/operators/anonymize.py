@@ -57,6 +57,26 @@ def active(mappings: DataFrame, now: Column) -> DataFrame:
     return newest.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
 
 
+def without(mappings: DataFrame, sessions: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """mappings less whole sessions (session_id) and single ones (session_id, placeholder)."""
+    if sessions is not None:
+        mappings = mappings.join(sessions.select("session_id").distinct(), "session_id", "left_anti")
+    if keys is not None:
+        mappings = mappings.join(keys.select("session_id", "placeholder").distinct(), ["session_id", "placeholder"], "left_anti")
+    return mappings
+
+
+def cleaned(mappings: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Mappings that have not expired, and a row with the number of those that go."""
+    gone = F.col("expires_at").isNotNull() & (F.col("expires_at") <= now)
+    return mappings.where(~gone), mappings.agg(F.count_if(gone).alias("removed"))
+
+
+def session(mappings: DataFrame, session_id: str, now: Column) -> DataFrame:
+    """A session's active mappings; no rows where it has none."""
+    return active(mappings.where(F.col("session_id") == session_id), now)
+
+
 def restore(text: Column, mappings: Column) -> Column:
     """The text with its placeholders replaced by what they stood for."""
     return F.aggregate(mappings, text, lambda s, m: F.replace(s, m["placeholder"], m["text"]))
@@ -75,6 +95,34 @@ def audited(mappings: DataFrame) -> DataFrame:
     return mappings.groupBy("session_id").agg(F.count("*").alias("entities"), F.min("ts").alias("ts")).select(F.lit("anonymize").alias("event_type"), F.concat(F.left("session_id", F.lit(8)), F.lit("****")).alias("session_id"), "entities", "ts")
 
 
+def bio_rows(tokens: Column, least: float = 0.85) -> Column:
+    """Entities of a row's tokens (token, tag B-X/I-X/O, start, end, confidence) in order: a B, another type or an I alone begins one. Nothing is shuffled.
+
+    Borders are found first, so that an entity is a slice of the tokens and no list grows token by token.
+    """
+
+    def made(tokens: Column) -> Column:
+        kind = lambda t: F.when(t["tag"] != "O", F.substring(t["tag"], 3, 64))
+        begins = lambda t, i: (t["tag"] != "O") & (F.left(t["tag"], F.lit(2)).eqNullSafe(F.lit("B-")) | (i == 0) | ~kind(F.get(tokens, F.greatest(i - 1, F.lit(0)))).eqNullSafe(kind(t)))
+        # Where an entity or a gap begins; the last border is the end.
+        edges = F.filter(F.transform(tokens, lambda t, i: F.when(begins(t, i) | (t["tag"] == "O"), i)), lambda i: i.isNotNull())
+
+        def cut(edges: Column) -> Column:
+            parts = F.transform(edges, lambda a, k: F.slice(tokens, a + 1, F.coalesce(F.get(edges, k + 1), F.size(tokens)) - a))
+            entities = F.filter(parts, lambda p: F.get(p, F.lit(0))["tag"] != "O")
+            return F.transform(
+                entities,
+                lambda p: F.struct(
+                    kind(F.get(p, F.lit(0))).alias("entity_type"), F.array_min(F.transform(p, lambda t: t["start"])).alias("start"), F.array_max(F.transform(p, lambda t: t["end"])).alias("end"),
+                    (F.aggregate(p, F.lit(0.0), lambda s, t: s + t["confidence"]) / F.size(p)).alias("confidence"), F.array_join(F.transform(p, lambda t: t["token"]), " ").alias("text"), F.size(p).alias("n"),
+                ),
+            )
+
+        return F.filter(let(edges, cut), lambda e: e["confidence"] >= least)
+
+    return F.when(F.size(tokens) > 0, let(tokens, made)).otherwise(F.array().cast("array<struct<entity_type:string,start:int,end:int,confidence:double,text:string,n:int>>"))
+
+
 def bio_entities(tokens: DataFrame, key: str, least: float = 0.85) -> DataFrame:
     """Entities from rows (key, pos, token, tag B-X/I-X/O, start, end, confidence): a B, another type or an I alone begins one."""
     order = Window.partitionBy(key).orderBy("pos")

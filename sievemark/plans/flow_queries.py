@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from sievemark.operators import scanners as S
 from sievemark.plans import shield as P
 from sievemark.plans import sql as Q
 from sievemark.plans.scan_queries import _pii_sql, big, probed, six
+from sievemark.sources.shared import shared_dir
 from sievemark.sources.tables import spread, table
 
 QUERIES: dict = {}
@@ -118,7 +118,7 @@ def hooks_adjust(spark, sf_dir):
     t = F.col(T)
     adjust = F.when(F.col("lang") == "en", 0.15).otherwise(0.0) - F.when(F.octet_length(t) > 3000, 0.3).otherwise(0.0)
     base = F.least(F.lit(1.0), F.greatest(F.lit(0.0), S.no_refusal(t)["risk_score"] + adjust))
-    return probed(spark, sf_dir).select("doc_id", six(P.post_hooks(base, (F.contains(t, F.lit("RSA PRIVATE")), "reject", 0.0))).alias("risk"))
+    return probed(spark, sf_dir).select("doc_id", six(P.post_hooks(base, F.lit(True), [P.Hook(F.contains(t, F.lit("RSA PRIVATE")), "reject")])["risk_score"]).alias("risk"))
 
 
 @query("request_validation", "SELECT doc_id, CASE WHEN length(text) < 1 THEN 'prompt is empty' WHEN length(text) > 100000 THEN 'prompt is too long' WHEN doc_id % 23 > 20 THEN 'too many scanners' WHEN NOT doc_id % 103 BETWEEN 1 AND 100 THEN 'batch size out of range' WHEN NOT doc_id % 12 BETWEEN 1 AND 10 THEN 'concurrency out of range' END AS error FROM documents")
@@ -130,8 +130,8 @@ def request_validation(spark, sf_dir):
 @query("dedupe_entities", Q.over_probed("SELECT kind AS entity_type, count(*) AS n FROM pii WHERE kind IN ('ssn', 'email') GROUP BY kind", _pii_sql(["ssn", "email"])))
 def dedupe_entities(spark, sf_dir):
     once, again = S.pii_spans(F.col(T), ["ssn", "email"]), S.pii_spans(F.col(T), ["email", "ssn"])
-    rows = probed(spark, sf_dir).select("doc_id", F.explode(F.concat(once, again)).alias("s")).select("doc_id", "s.*")
-    return P.merge_detections(rows, "doc_id").groupBy("entity_type").agg(F.count("*").alias("n"))
+    rows = probed(spark, sf_dir).select(F.explode(P.merged_spans(F.concat(once, again))).alias("s"))
+    return rows.groupBy("s.entity_type").agg(F.count("*").alias("n"))
 
 
 @query("weighted_risk", "SELECT doc_id, round(least(1.0, (CASE quality WHEN 1 THEN 0.25 ELSE 0.5 END * 0.8 + CASE toxic WHEN 1 THEN 1.0 ELSE 0 END * 0.9) / 2)::DOUBLE, 6) AS risk FROM labels")
@@ -182,10 +182,11 @@ def anonymize_text(spark, sf_dir):
     return out.select("doc_id", "anonymized", big(F.size("mappings")).alias("n"))
 
 
-@query("deanonymize_roundtrip", Q.over_probed("SELECT doc_id, true AS same FROM probed"))
+@query("deanonymize_roundtrip", Q.over_probed("SELECT doc_id, sha256(t) AS restored, length(t) AS n_chars FROM probed"))
 def deanonymize_roundtrip(spark, sf_dir):
     out = A.anonymize(probed(spark, sf_dir), "doc_id", T)
-    return out.select("doc_id", (A.restore(F.col("anonymized"), F.col("mappings")) == F.col(T)).alias("same"))
+    restored = A.restore(F.col("anonymized"), F.col("mappings"))
+    return out.select("doc_id", F.sha2(restored, 256).alias("restored"), big(F.length(restored)).alias("n_chars"))
 
 
 _NOW = "2024-01-01 01:30:00"
@@ -218,12 +219,13 @@ _TAG = "CASE {n} % 5 WHEN 0 THEN 'B-PER' WHEN 1 THEN 'I-PER' WHEN 2 THEN 'I-ORG'
 
 @query("bio_decode_islands", f"WITH w AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1)::BIGINT AS pos FROM (SELECT doc_id, {Q.words('text')} AS w FROM documents)), t AS (SELECT *, {_TAG.format(n='length(token)')} AS tag, 0.8::DOUBLE + 0.02 * (length(token) % 10) AS c FROM w), k AS (SELECT *, CASE WHEN tag = 'O' THEN NULL ELSE substr(tag, 3) END AS kind FROM t), b AS (SELECT *, CASE WHEN kind IS NOT NULL AND (tag LIKE 'B-%' OR NOT coalesce(lag(kind) OVER o = kind, false)) THEN 1 ELSE 0 END AS begins FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY pos)), i AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM b), e AS (SELECT doc_id, island, min(kind) AS entity_type, count(*) AS tokens, round(avg(c), 6) AS confidence FROM i WHERE kind IS NOT NULL GROUP BY doc_id, island) SELECT entity_type, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM e WHERE confidence >= 0.85 GROUP BY entity_type")
 def bio_decode_islands(spark, sf_dir):
-    words = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "token"))
-    n = F.length("token")
-    tag = F.when(n % 5 == 0, "B-PER").when(n % 5 == 1, "I-PER").when(n % 5 == 2, "I-ORG").otherwise("O")
-    tokens = words.select("doc_id", "pos", "token", tag.alias("tag"), F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), ((n % 10) * 0.02 + 0.8).alias("confidence"))
-    found = A.bio_entities(tokens, "doc_id", 0.0).withColumn("confidence", F.round("confidence", 6)).where("confidence >= 0.85")
-    return found.groupBy("entity_type").agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", " "))).alias("tokens"))
+    """Tokens stay in their row's array; only counts are shuffled."""
+    n = lambda w: F.length(w)
+    tag = lambda w: F.when(n(w) % 5 == 0, "B-PER").when(n(w) % 5 == 1, "I-PER").when(n(w) % 5 == 2, "I-ORG").otherwise("O")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    tokens = F.transform(words, lambda w, i: F.struct(w.alias("token"), tag(w).alias("tag"), i.alias("start"), (i + 1).alias("end"), ((n(w) % 10) * 0.02 + 0.8).alias("confidence")))
+    found = spread(table(spark, sf_dir, "documents")).select(F.explode(A.bio_rows(tokens, 0.0)).alias("e")).select("e.entity_type", F.round("e.confidence", 6).alias("confidence"), "e.n")
+    return found.where("confidence >= 0.85").groupBy("entity_type").agg(F.count("*").alias("n"), F.sum(big(F.col("n"))).alias("tokens"))
 
 
 # Metrics
@@ -315,8 +317,8 @@ def claim_compare(spark, sf_dir):
 
 @query("classifier_eval", f"SELECT tp, fp, fn, tn, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall, round(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round((tp + tn)::DOUBLE / (tp + fp + fn + tn), 6) AS accuracy FROM (SELECT count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn FROM (SELECT toxic = 1 AS y, {Q.any_hit(L.INSULTS + L.HATE + L.THREATS, 'lower(text)')} AS p FROM labels JOIN documents USING (doc_id)))")
 def classifier_eval(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", S.toxicity(F.col("text"))["risk_score"].alias("score"))
-    out = M.confusion(table(spark, sf_dir, "labels").join(docs, "doc_id"), F.col("toxic") == 1, F.col("score") > 0)
+    met = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")  # only labelled texts are scanned
+    out = M.confusion(met.withColumn("score", S.toxicity(F.col("text"))["risk_score"]), F.col("toxic") == 1, F.col("score") > 0)
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "accuracy")})
 
 
@@ -349,18 +351,12 @@ def quota_calendar(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("denied"))
 
 
-@query("quota_exact")
-def quota_exact(spark, sf_dir):
-    return U.exact(table(spark, sf_dir, "events"), {"hour": 2, "day": 3})
-
-
 @query("stream_rollup", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_rollup(spark, sf_dir):
     """The roll-up by Structured Streaming; complete mode gives every bucket."""
     from sievemark.streaming.flows import event_stream
 
-    place = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sievemark-')}"
-    base = f"{place}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     counts = event_stream(spark, sf_dir, "events.parquet").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), "event_type", "n")
     write = lambda frame, number: frame.write.mode("overwrite").parquet(f"{base}/out")
     counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()

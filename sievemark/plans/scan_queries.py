@@ -242,46 +242,4 @@ _any = "regexp_matches(t, '(?i)(secret|password|bomb|learn)')"
 of_probed("regex_output_deny", lambda t: pick(S.regex_output(t, _DENY), is_valid=lambda r: r["is_valid"], risk=lambda r: r["risk_score"]), f"SELECT doc_id, NOT {_any} AS is_valid, CASE WHEN {_any} THEN 0.9 ELSE 0 END::DOUBLE AS risk FROM probed")
 of_probed("regex_output_allow", lambda t: pick(S.regex_output(t, _DENY, deny=False), is_valid=lambda r: r["is_valid"], risk=lambda r: r["risk_score"]), f"SELECT doc_id, {_any} AS is_valid, CASE WHEN {_any} THEN 0 ELSE 0.8 END::DOUBLE AS risk FROM probed")
 
-# Line scan
-
-_FAMILIES = [("prompt-injection", p, "high") for p in L.INJECTION_PATTERNS] + [("toxicity", p, "medium") for p in L.TOXIC_PATTERNS.values()] + [("pii", L.SENSITIVE[3][1], "critical"), ("pii", _EMAIL, "medium"), ("secret", L.SECRETS[0][1], "critical"), ("secret", L.SECRETS[18][1], "critical"), ("secret", L.SECRETS[17][1], "medium")]
-
-
-def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = probed(spark, sf_dir).select("doc_id", F.posexplode(F.split("t", "\n")).alias("line", "l")).withColumn("line", F.col("line") + 1)
-
-    def found_by(family: str, pattern: str, level: str) -> Column:
-        return F.transform(regex_spans(F.col("l"), pattern, family), lambda s: F.struct(s["entity_type"].alias("category"), F.lit(level).alias("severity"), s["text"].alias("m")))
-
-    found = F.concat(*(found_by(*x) for x in _FAMILIES))
-    return lines.select("doc_id", big(F.col("line")).alias("line"), F.explode(found).alias("f")).select("doc_id", "line", "f.*")
-
-
-def _finding_sql() -> str:
-    fix = lambda p: p.replace("(?i:", "(?i)(?:")
-    each = " UNION ALL ".join(f"SELECT doc_id, line, '{family}' AS category, '{level}' AS severity, unnest({Q.matches(fix(p), 'l')}) AS m FROM lines" for family, p, level in _FAMILIES)
-    return f", lines AS (SELECT doc_id, generate_subscripts(p, 1)::BIGINT AS line, unnest(p) AS l FROM (SELECT doc_id, string_split(t, chr(10)) AS p FROM probed)), found AS ({each})"
-
-
-query("line_scan_findings", Q.over_probed("SELECT * FROM found", _finding_sql()))(_findings)
-
-
-@query("line_scan_summary_rollup", Q.over_probed("SELECT category, severity, count(*) AS n, count(DISTINCT doc_id) AS files FROM found GROUP BY ROLLUP (category, severity)", _finding_sql()))
-def line_scan_summary_rollup(spark, sf_dir):
-    return _findings(spark, sf_dir).rollup("category", "severity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("files"))
-
-
-@query("line_scan_gate", Q.over_probed("SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity IN ('critical', 'high')) > 0 AS fails FROM found", _finding_sql()))
-def line_scan_gate(spark, sf_dir):
-    rows = _findings(spark, sf_dir)
-    return rows.agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"), (F.count_if(F.col("severity").isin("critical", "high")) > 0).alias("fails"))
-
-
-@query("toxic_categories", Q.over_probed("SELECT kind, count(*) AS docs, sum(n)::BIGINT AS n, round(max(least(0.95, 0.6 + 0.05 * n))::DOUBLE, 6) AS peak FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, len({Q.matches(p.replace('(?i:', '(?i)(?:'))}) AS n FROM probed" for k, p in L.TOXIC_PATTERNS.items()) + ") WHERE n > 0 GROUP BY kind"))
-def toxic_categories(spark, sf_dir):
-    counts = F.array(*(F.struct(F.lit(k).alias("kind"), big(F.size(regex_spans(F.col("t"), p))).alias("n")) for k, p in L.TOXIC_PATTERNS.items()))
-    rows = probed(spark, sf_dir).select(F.explode(counts).alias("x")).select("x.*").where("n > 0")
-    return rows.groupBy("kind").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.round(F.max(F.least(F.lit(0.95), F.col("n") * 0.05 + 0.6)), 6).alias("peak"))
-
-
 of_probed("pii_mask", lambda t: {"masked": F.regexp_replace(t, ascii_bounds(r"\b([A-Za-z0-9]{2})[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{2,})"), "$1***@$2")}, "SELECT doc_id, regexp_replace(t, '\\b([A-Za-z0-9]{2})[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\\.[A-Za-z]{2,})', '\\1***@\\2', 'g') AS masked FROM probed")

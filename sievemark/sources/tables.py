@@ -60,6 +60,30 @@ def by_day(df: DataFrame, path: str, time: str = "ts") -> None:
     df.withColumn("day", F.to_date(time)).write.partitionBy("day").mode("overwrite").parquet(path)
 
 
+def day_range(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
+    """Events of by_day from one day to another; only their folders are read."""
+    return spark.read.parquet(path).where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+
+
+def container_logs(lines: DataFrame, path: str = "path", value: str = "value") -> DataFrame:
+    """JSON lines of containers: ts, stream, log, and the container in the file's path."""
+    x = F.from_json(value, "stream string, log string, time string")
+    rows = lines.select(F.regexp_extract(path, "/var/lib/docker/containers/(?<id>[^/]+)/.*", 1).alias("container_id"), x.alias("x"))
+    return rows.select(F.try_to_timestamp("x.time").alias("ts"), "container_id", "x.stream", "x.log")
+
+
+def system_logs(lines: DataFrame, year: int, value: str = "value") -> DataFrame:
+    """Lines of the system log: ts (they have no year), hostname, program, message; lines of other shapes go."""
+    pattern = r"^(\w+\s+\d+\s+\d+:\d+:\d+)\s+(\S+)\s+(\S+):\s+(.*)$"
+    rows = lines.where(F.rlike(value, F.lit(pattern))).select(*(F.regexp_extract(value, pattern, i).alias(n) for i, n in enumerate(("at", "hostname", "program", "message"), 1)))
+    return rows.select(F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace("at", r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss")).alias("ts"), "hostname", "program", "message")
+
+
+def tail(spark: SparkSession, folder: str, glob: str = "*.log") -> DataFrame:
+    """Lines of log files and of those that come later: value, path."""
+    return spark.readStream.option("pathGlobFilter", glob).text(folder).withColumn("path", F.col("_metadata.file_path"))
+
+
 def log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """JSON log lines: ts, level, target, message and the numbers in key=value form of the message."""
     parsed = F.from_json(value, "timestamp string, level string, target string, message string, fields map<string,string>")
