@@ -21,7 +21,7 @@ What keeps the work in bounds, none of which loses a link:
 
 Cases: null or empty text has an empty set and links with nothing; fewer words than the shingle
 length make one shingle; rows with one doc_id are one document where that matters: each row is
-returned with the component of its own set; a null doc_id counts as larger than all when the smallest is
+returned with the component of its own set (one_of_each keeps one row of them); a null doc_id counts as larger than all when the smallest is
 taken, and a component of only such rows has a null id; other columns are ignored; no rows give no rows.
 """
 
@@ -44,7 +44,7 @@ WORDS, PERCENT = 5, 80
 #: Cost of verifying a candidate against that of reading a posting, and the longest l.
 VERIFY_COST, MOST_SHARED = 16.0, 16
 #: Shingles of a group that one task compares, and candidates that it verifies at once.
-PART_SHINGLES, AT_ONCE = 1 << 20, 256
+PART_SHINGLES, AT_ONCE = 1 << 17, 256
 
 
 def shingle_sets(k: int):
@@ -121,19 +121,16 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return first.join(y.hint("shuffle_merge"), F.col("b") == F.col("y.node")).where(_alike(percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def _order(scratch: Scratch, nodes: DataFrame) -> DataFrame:
-    """(node, n, shared) with shingles in order of their documents; those of one node go.
+def _order(scratch: Scratch, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, n, tokens, counts) with shingles in order of their documents, where those of one node go; and the table of counts that it reads.
 
     Counts are written first, here and below: a join of two plain shuffles can be split where one key is hot.
     """
     each = nodes.select("node", "n", F.explode("shared").alias("token"))
     count = scratch.table(each.groupBy("token").agg(F.count("*").alias("count")).where("count > 1"), "counts")
     met = each.join(count.hint("shuffle_merge"), "token")
-    return (
-        met.groupBy("node")
-        .agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "token"))).alias("t"))
-        .select("node", "n", F.col("t.token").alias("tokens"), F.col("t.count").alias("counts"))
-    )
+    ordered = met.groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "token"))).alias("t"))
+    return ordered.select("node", "n", F.col("t.token").alias("tokens"), F.col("t.count").alias("counts")), count
 
 
 def text_name() -> Column:
@@ -150,13 +147,17 @@ def _labelled(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
     sets = scratch.table(sets, "sets")
     nodes = sets.where("shared is not null").groupBy("name").agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
     nodes = scratch.table(nodes.select(F.monotonically_increasing_id().alias("node"), "name", "n", "shared"), "nodes")  # numbers are fixed by writing
-    ordered = _order(scratch, nodes).where(100 * F.size("tokens") >= percent * F.col("n"))
+    rows, names = scratch.table(sets.select("doc_id", "th", "n", "name"), "rows"), scratch.table(nodes.select("node", "name"), "names")
+    scratch.drop(sets)
+    ordered, counts = _order(scratch, nodes)
+    ordered = ordered.where(100 * F.size("tokens") >= percent * F.col("n"))
     central = F.aggregate("counts", F.lit(0.0), lambda s, c: s + c) / F.col("n")
     ordered = ordered.withColumn("central", central).select("node", "n", "tokens", "counts", "central")
     ordered = scratch.table(ordered.mapInArrow(prefixes(percent), "node long, n long, tokens array<long>, central double, need int, prefix array<long>"), "ordered")
+    scratch.drop(nodes, counts)
     label = _labels(scratch, ordered, percent)
-    by_name = scratch.table(nodes.select("node", "name").join(label.hint("shuffle_merge"), "node").select("name", "label"), "named")
-    named = sets.select("doc_id", "th", "n", "name").join(by_name.hint("shuffle_merge"), "name", "left")
+    by_name = scratch.table(names.join(label.hint("shuffle_merge"), "node").select("name", "label"), "named")
+    named = rows.join(by_name.hint("shuffle_merge"), "name", "left")
     # Equal sets share a component even where nothing else links; names have more digits than numbers.
     own = F.coalesce(F.col("label").cast("string"), F.hex("name"))
     return scratch.only(scratch.table(named.select("doc_id", "th", "n", F.when(F.col("n") > 0, own).alias("label")), "labelled"))
@@ -181,8 +182,11 @@ def one_of_each(documents: DataFrame, shingle: int = WORDS, percent: int = PERCE
     moved, back = aside(documents, "th", "id")
     copies = moved.withColumn("th", text_name()).alias("d")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.id")) & (F.col("d.th") == F.col("f.th"))
-    kept = copies.join(first.hint("shuffle_merge").alias("f"), same, "left_semi").dropDuplicates(["doc_id", "th"]).drop("th")
-    return kept.withColumnsRenamed(back).unionByName(documents.where(~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")))
+    kept = copies.join(first.hint("shuffle_merge").alias("f"), same, "left_semi")
+    # Rows of one id and one text may differ elsewhere: the one of the least hash stays.
+    others = [f.name for f in moved.schema.fields if "map<" not in f.dataType.simpleString()]
+    kept = kept.groupBy("doc_id", "th").agg(F.min_by(F.struct(*moved.columns), F.xxhash64(*others)).alias("row")).select("row.*")
+    return kept.withColumnsRenamed(back).select(documents.columns).unionByName(documents.where(~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")))
 
 
 def _labels(scratch: Scratch, nodes: DataFrame, percent: int) -> DataFrame:
@@ -191,6 +195,7 @@ def _labels(scratch: Scratch, nodes: DataFrame, percent: int) -> DataFrame:
     lists = scratch.table(lists, "postings")
     pivot = scratch.table(lists.groupBy("token").agg(F.max("rank").getField("node").alias("pivot"), F.count("*").alias("size")).where("size > 1"), "pivots")
     rest = scratch.table(lists.select("token", "node").join(pivot.hint("shuffle_merge"), "token").where("node <> pivot"), "rest")
+    scratch.drop(lists, pivot)
     pairs = rest.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = scratch.table(_verified(pairs, nodes, percent), "links")
     label = components(scratch, links)
@@ -199,6 +204,7 @@ def _labels(scratch: Scratch, nodes: DataFrame, percent: int) -> DataFrame:
     open_lists = tagged.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("first")).where("low <> high").select("token", "first")
     open_lists = scratch.table(open_lists, "open")
     left = scratch.table(tagged.join(open_lists.hint("shuffle_merge"), "token"), "left")
+    scratch.drop(rest, open_lists)
     groups, hot = _dealt(scratch, left, nodes)
     links = links.unionByName(scratch.table(_compared(groups, nodes, percent), "links"))
     label = components(scratch, links)
