@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next one's docs. All but the last return the columns of `documents`.
+
+Cases: rows with null, empty or blank text, or without letters, go in the first stage; a null lang teaches nothing, and its row goes on by
+the language of its text until the mix, where null lang and null source have no weight; null doc_ids count as larger than all, and
+rows of one doc_id are told apart by their texts; equal rows are near copies, and one stays; columns beyond those of `documents` pass
+through, whatever their names; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -50,7 +55,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near copies", near_copies), ("benchmark leaks", benchmark_leaks), ("secrets", secrets), ("mixing", mixed)]
 
-#: SQL expresses none of the first three stages and not the hash order of the last; tests run the stages one by one, but none holds run() against a plain version yet.
+#: SQL expresses none of the first three stages and not the hash order of the last; tests hold run() against a plain version of all five.
 ORACLE_SQL = None
 
 
