@@ -15,7 +15,7 @@ from sievemark.operators import quota as U
 from sievemark.operators import scanners as S
 from sievemark.plans import shield as P
 from sievemark.plans import sql as Q
-from sievemark.plans.scan_queries import _pii_sql, big, probed, six
+from sievemark.plans.scan_queries import _IPV4, _LUHN, SECRETS_KEPT, _pii_sql, big, probed, six
 from sievemark.sources.shared import shared_dir
 from sievemark.sources.tables import spread, table
 
@@ -59,7 +59,18 @@ def combine_results(spark, sf_dir):
     return out.select("doc_id", "verdict.is_valid", six(F.col("verdict.risk_score")).alias("risk"), big(F.size("verdict.risk_factors")).alias("factors"))
 
 
-@query("shield_standard")
+_INJECTIONS = [(p, 0.95) for p in L.OVERRIDE] + [(p, 0.8) for p in L.ROLEPLAY] + [(p, 0.75) for p in L.CONTEXT] + [(p, 0.9) for p in L.EXTRACTION]
+_ZERO, _DIRECTION = "".join(L.ZERO_WIDTH), "".join(L.DIRECTIONS)
+_COUNT = lambda chars: f"(length(t) - length(regexp_replace(t, '[{chars}]', '', 'g')))"
+_STANDARD = f""", secrets AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id),
+injected AS (SELECT doc_id, n + d + CASE WHEN n + d > 0 AND spread THEN 1 ELSE 0 END AS k, s + d * 0.7::DOUBLE + CASE WHEN n + d > 0 AND spread THEN 0.6::DOUBLE ELSE 0 END AS s FROM (SELECT doc_id, len(f) AS n, {Q.summed('f')} AS s, d, spread FROM (SELECT doc_id, {Q.scored_hits(_INJECTIONS)} AS f, CASE WHEN (contains(t, '```') OR contains(t, '---') OR contains(t, '===')) AND (contains(lower(t), 'ignore') OR contains(lower(t), 'system')) THEN 1 ELSE 0 END AS d, (length(t) - length(replace(t, chr(10), '')) > 10 OR (length(t) - length(replace(t, ' ', '')))::DOUBLE / strlen(t) > 0.5) AS spread FROM probed))),
+toxic AS (SELECT doc_id, greatest(CASE WHEN i > 0 THEN least(0.9, 0.6 + i * 0.1) ELSE 0 END, CASE WHEN th THEN 0.9 ELSE 0 END, CASE WHEN h > 0 THEN least(0.95, 0.7 + h * 0.1) ELSE 0 END)::DOUBLE AS r FROM (SELECT doc_id, len({Q.hits(L.INSULTS)}) AS i, {Q.any_hit(L.THREATS)} AS th, len({Q.hits(L.HATE)}) AS h FROM probed)),
+hidden AS (SELECT doc_id, t, z + c + d AS n, CASE WHEN z + c + d = 0 THEN 0 ELSE least(1.0, (z + c + d)::DOUBLE / strlen(t) * 0.7 + (z + c * 0.9 + d * 0.7)::DOUBLE / (z + c + d) * 0.3) END AS r FROM (SELECT doc_id, t, {_COUNT(_ZERO)} AS z, {_COUNT('\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{80}-\\x{9F}')} AS c, {_COUNT(_DIRECTION)} AS d FROM probed)),
+all_ AS (SELECT doc_id, coalesce(secrets.n, 0) AS found, toxic.r AS tox, CASE WHEN k = 0 THEN 0 ELSE s / k END AS inj, k, hidden.r AS hid, hidden.n AS h, ceil(strlen(t) / 4.0) AS tokens FROM hidden JOIN toxic USING (doc_id) JOIN injected USING (doc_id) LEFT JOIN secrets USING (doc_id)),
+risks_ AS (SELECT *, greatest(CASE WHEN found > 0 THEN 1 ELSE 0 END, tox, inj, hid, CASE WHEN tokens > 4096 THEN least(1.0, tokens / 4096) ELSE 0 END)::DOUBLE AS risk FROM all_)"""
+
+
+@query("shield_standard", Q.over_probed("SELECT doc_id, found = 0 AND round(tox, 6) < 0.7 AND inj < 0.7 AND hid < 0.1 AND tokens <= 4096 AS is_valid, round(risk, 6) AS risk, CASE WHEN risk >= 0.9 THEN 'critical' WHEN risk >= 0.7 THEN 'high' WHEN risk >= 0.4 THEN 'medium' WHEN risk > 0 THEN 'low' ELSE 'none' END AS severity, (found + k + h)::BIGINT AS entities FROM risks_", SECRETS_KEPT + _STANDARD).replace("WITH probed", "WITH RECURSIVE probed", 1))
 def shield_standard(spark, sf_dir):
     """Flagship: the standard preset over every document."""
     out = P.Shield.preset("standard").scan(probed(spark, sf_dir), T)
@@ -176,7 +187,10 @@ def anonymize_placeholders(spark, sf_dir):
     return _span_rows(spark, sf_dir).select("doc_id", "entity_type", F.col("text").alias("original_value"), "placeholder")
 
 
-@query("anonymize_text")
+_VALID = {"SSN": "regexp_extract(m, '([0-9]+)', 1)::INT NOT IN (0, 666) AND split_part(m, '-', 1)::INT < 900 AND split_part(m, '-', 2)::INT <> 0 AND split_part(m, '-', 3)::INT <> 0", "CREDIT_CARD": f"(SELECT {_LUHN} FROM (SELECT regexp_replace(m, '[^0-9]', '', 'g') AS d))", "IP_ADDRESS": _IPV4}
+
+
+@query("anonymize_text", Q.over_probed(f"SELECT doc_id, coalesce(x.t, probed.t) AS anonymized, coalesce(n, 0) AS n FROM probed LEFT JOIN {Q.spliced(chr(39) + '[' + chr(39) + ' || kind || ' + chr(39) + '_' + chr(39) + ' || number || ' + chr(39) + ']' + chr(39))} x USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id) USING (doc_id)", ", " + Q.surest(Q.spans([(k, p, c, "") for k, p, c in L.ANONYMIZED], _VALID))).replace("WITH probed", "WITH RECURSIVE probed", 1))
 def anonymize_text(spark, sf_dir):
     out = A.anonymize(probed(spark, sf_dir), "doc_id", T)
     return out.select("doc_id", "anonymized", big(F.size("mappings")).alias("n"))

@@ -132,7 +132,14 @@ def ban_code_signals(spark, sf_dir):
     return probed(spark, sf_dir).select("doc_id", *(big(F.size(regex_spans(F.col("t"), p))).alias(f"n_{k}") for k, p, _ in L.CODE_PATTERNS), big(F.size(hits(F.lower(F.col("t")), L.CODE_KEYWORDS))).alias("n_keyword"))
 
 
-@query("ban_code_risk")
+_KEYWORD = "SELECT doc_id, 100 AS rank, i, 'keyword' AS kind, 0.7::DOUBLE AS c, k AS m, strlen(string_split(lower(t), k)[1])::BIGINT AS a FROM (SELECT doc_id, t, unnest(f) AS k, generate_subscripts(f, 1) AS i FROM (SELECT doc_id, t, " + Q.hits(L.CODE_KEYWORDS) + " AS f FROM probed))"
+_CODE_SPANS = Q.spans([(k, p, c, "") for k, p, c in L.CODE_PATTERNS]).replace("length(x)", "strlen(x)").replace("a + length(m)", "a + strlen(m)").replace("FROM (SELECT doc_id, 0 AS rank", f"FROM ({_KEYWORD} UNION ALL SELECT doc_id, 0 AS rank", 1)
+_CODE_KEPT = f""", x AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, rank, i) AS k FROM {_CODE_SPANS}),
+s AS (SELECT doc_id, k, b AS upto, b - a AS covered, c, true AS fits FROM x WHERE k = 1 UNION ALL SELECT s.doc_id, n.k, CASE WHEN n.a >= s.upto THEN n.b ELSE s.upto END, n.b - n.a, n.c, n.a >= s.upto FROM s JOIN x n ON n.doc_id = s.doc_id AND n.k = s.k + 1),
+code AS (SELECT doc_id, sum(covered) AS covered, avg(c) AS sure, count(*) AS n FROM s WHERE fits GROUP BY doc_id)"""
+
+
+@query("ban_code_risk", Q.over_probed("SELECT doc_id, round(CASE WHEN r < 0.5 THEN 0 ELSE r END::DOUBLE, 6) AS risk, r < 0.5 AS is_valid, n AS spans FROM (SELECT doc_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 0 ELSE least(1.0, covered / strlen(t) * 0.6 + sure * 0.4) END AS r FROM probed LEFT JOIN code USING (doc_id))", _CODE_KEPT).replace("WITH probed", "WITH RECURSIVE probed", 1))
 def ban_code_risk(spark, sf_dir):
     code = S.ban_code(F.col("t"))
     return probed(spark, sf_dir).select("doc_id", six(code["risk_score"]).alias("risk"), code["is_valid"].alias("is_valid"), big(F.size(code["entities"])).alias("spans"))
@@ -149,7 +156,15 @@ of_probed("regex_scanner_max_risk", lambda t: pick(S.regex_scan(t, _RULES), risk
 of_probed("gibberish_signals", lambda t: pick(S.gibberish_parts(t), keyboard=lambda p: six(p["keyboard"]), vowels=lambda p: six(p["vowels"])), f"SELECT doc_id, round(least(1.0, len({Q.hits(L.KEYBOARD)}) / 5.0)::DOUBLE, 6) AS keyboard, round(CASE WHEN r < 0.15 OR r > 0.6 THEN least(1.0, abs(r - 0.4) / 0.4) ELSE 0.0 END::DOUBLE, 6) AS vowels FROM (SELECT doc_id, t, length(regexp_replace(lower(t), '[^aeiou]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(lower(t), '[^\\p{{L}}]', '', 'g')), 0) AS r FROM probed)")
 
 
-@query("gibberish_score")
+_ALPHA = "regexp_replace(lower(t), '[^\\p{L}]', '', 'g')"
+_GIBBERISH = f"""
+, chars AS (SELECT doc_id, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM (SELECT doc_id, string_split(t, '') AS c FROM probed)),
+runs AS (SELECT doc_id, sum((n - 2) * (n - 1) / 2 * 0.2) AS repeated FROM (SELECT doc_id, count(*)::DOUBLE AS n FROM (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS g FROM chars) GROUP BY doc_id, c, g) WHERE n >= 3 GROUP BY doc_id),
+parts AS (SELECT doc_id, t, {_ALPHA} AS a, list_transform({Q.words()}, lambda w: regexp_replace(lower(w), '[^\\p{{L}}]', '', 'g')) AS w FROM probed),
+signs AS (SELECT doc_id, strlen(t) AS size, least(1.0, coalesce(list_sum(list_transform(map_values(list_histogram(string_split(a, ''))), lambda n: -(n::DOUBLE / length(a)) * log2(n::DOUBLE / length(a)))), 0) / 4.7) AS even, length(regexp_replace(a, '[^aeiou]', '', 'g'))::DOUBLE / nullif(length(a), 0) AS r, least(1.0, len({Q.hits(L.KEYBOARD)}) / 5.0) AS keyboard, coalesce(len(list_filter(w, lambda x: strlen(x) >= 2 AND (regexp_matches(x, '[^aeiou]{{5,}}') OR strlen(x) > 3 AND NOT regexp_matches(x, '[aeiou]'))))::DOUBLE / nullif(len(w), 0), 0) AS odd FROM parts)"""
+
+
+@query("gibberish_score", Q.over_probed("SELECT doc_id, round(CASE WHEN size < 10 THEN 0 ELSE (CASE WHEN even > 0.85 THEN (even - 0.85) / 0.15 ELSE 0 END * 2 + least(1.0, coalesce(repeated, 0) / size) * 1.5 + CASE WHEN r < 0.15 OR r > 0.6 THEN least(1.0, abs(r - 0.4) / 0.4) ELSE 0 END * 1.5 + keyboard * 2 + odd * 1.5) / 8.5 END::DOUBLE, 6) AS score FROM signs LEFT JOIN runs USING (doc_id)", _GIBBERISH))
 def gibberish_score(spark, sf_dir):
     return probed(spark, sf_dir).select("doc_id", six(S.gibberish(F.col("t"))["risk_score"]).alias("score"))
 
@@ -174,7 +189,11 @@ def secrets_high_entropy(spark, sf_dir):
     return each.select("doc_id", "m", F.round("raw", 6).alias("bits"))
 
 
-@query("secrets_redacted")
+_ENTROPY = "list_sum(list_transform(map_values(list_histogram(string_split(m, ''))), lambda n: -(n::DOUBLE / length(m)) * log2(n::DOUBLE / length(m)))) >= 3"
+SECRETS_KEPT = ", " + Q.surest(Q.spans([(k, p, 0.95, "") for k, p in L.SECRETS[:-1]] + [(*L.SECRETS[-1], 0.8, "")], {L.SECRETS[-1][0]: _ENTROPY}))
+
+
+@query("secrets_redacted", Q.over_probed(f"SELECT doc_id, x.t AS sanitized, types FROM {Q.spliced(chr(39) + '[REDACTED]' + chr(39))} x JOIN (SELECT doc_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS types FROM kept GROUP BY doc_id) USING (doc_id)", SECRETS_KEPT).replace("WITH probed", "WITH RECURSIVE probed", 1))
 def secrets_redacted(spark, sf_dir):
     found = S.secrets(F.col("t"))
     return probed(spark, sf_dir).select("doc_id", found["sanitized_text"].alias("sanitized"), found["metadata"]["types"].alias("types")).where("types <> ''")
