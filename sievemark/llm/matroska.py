@@ -6,7 +6,8 @@ the seek points. Every byte of a packet is a range of the file, so nothing is de
 
 Cases: null text is stored as empty; an empty text has one 64-byte packet of zeros; equal texts
 give equal files (no dates, no random ids); repeated rows are stored again; other columns of the
-input stay out; long texts take more clusters, and one file at a time is in memory.
+input stay out; long texts take more clusters; one file at a time is in memory, a few times over: packets are arrays of
+numbers, not objects, and rows go on when they hold ROW_BYTES of files.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 UNIT, RATE = 64, 8000
 PACKET_MS = UNIT * 1000 // RATE
 BLOCK_PACKETS, CLUSTER_BLOCKS = 128, 16
+#: Bytes of files in a batch of rows, bytes of samples that are measured at once, and packets in a batch of a table.
+ROW_BYTES, PIECE, TABLE_ROWS = 32 << 20, 1 << 20, 1 << 20
 
 
 def vint(n: int, width: int = 0) -> bytes:
@@ -74,39 +77,45 @@ def lace(packets: list[bytes], lacing: int) -> bytes:
     return out + b"".join(packets)
 
 
+def block_head(track: int, shift: int, lacing: int, key: bool = True) -> bytes:
+    return vint(track) + shift.to_bytes(2, "big", signed=True) + bytes([(0x80 if key else 0) | lacing << 1])
+
+
 def block(track: int, shift: int, packets: list[bytes], lacing: int, key: bool = True) -> bytes:
-    return vint(track) + shift.to_bytes(2, "big", signed=True) + bytes([(0x80 if key else 0) | lacing << 1]) + lace(packets, lacing)
+    return block_head(track, shift, lacing, key) + lace(packets, lacing)
 
 
 def write(payload: bytes) -> bytes:
     """8-bit samples of one channel, as a file; the payload is a multiple of 64 bytes."""
-    packets = [payload[i : i + UNIT] for i in range(0, len(payload), UNIT)]
+    count = len(payload) // UNIT
     head = element(EBML, uint(EBML_VERSION, 1) + uint(EBML_READ_VERSION, 1) + uint(EBML_MAX_ID, 4) + uint(EBML_MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + uint(DOC_VERSION, 4) + uint(DOC_READ_VERSION, 2))
-    info = element(INFO, uint(TIMESTAMP_SCALE, 1_000_000) + _float(DURATION, len(packets) * PACKET_MS) + element(MUXER, b"sievemark") + element(WRITER, b"sievemark"))
+    info = element(INFO, uint(TIMESTAMP_SCALE, 1_000_000) + _float(DURATION, count * PACKET_MS) + element(MUXER, b"sievemark") + element(WRITER, b"sievemark"))
     audio = element(AUDIO, _float(SAMPLING, RATE) + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8))
     tracks = element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
     clusters, times = [], []
     per = BLOCK_PACKETS * CLUSTER_BLOCKS
-    for first in range(0, len(packets), per):
-        body = uint(TIMESTAMP, first * PACKET_MS)
-        for a in range(first, min(first + per, len(packets)), BLOCK_PACKETS):
-            own = packets[a : min(a + BLOCK_PACKETS, first + per)]
-            body += element(SIMPLE_BLOCK, block(1, (a - first) * PACKET_MS, own, FIXED if len(own) > 1 else NO_LACING))
-        clusters.append(element(CLUSTER, body))
+    for first in range(0, count, per):
+        body = [uint(TIMESTAMP, first * PACKET_MS)]
+        for a in range(first, min(first + per, count), BLOCK_PACKETS):
+            b = min(a + BLOCK_PACKETS, first + per, count)
+            laced = (bytes([b - a - 1]) if b - a > 1 else b"") + payload[a * UNIT : b * UNIT]  # packets of one size stand as they are
+            body.append(element(SIMPLE_BLOCK, block_head(1, (a - first) * PACKET_MS, FIXED if b - a > 1 else NO_LACING) + laced))
+        clusters.append(element(CLUSTER, b"".join(body)))
         times.append(first * PACKET_MS)
     # Cues come last: places count from the first byte in the segment.
     place, points = len(info) + len(tracks), b""
     for t, c in zip(times, clusters, strict=True):
         points += element(CUE_POINT, uint(CUE_TIME, t) + element(CUE_POSITIONS, uint(CUE_TRACK, 1) + uint(CUE_CLUSTER, place)))
         place += len(c)
-    return head + element(SEGMENT, info + tracks + b"".join(clusters) + element(CUES, points))
+    body = [info, tracks, *clusters, element(CUES, points)]
+    return b"".join([head, SEGMENT.to_bytes(4, "big"), vint(sum(map(len, body))), *body])
 
 
 @dataclass
 class Media:
-    """What a file holds; packets are (track, timestamp in ms, first byte, bytes, key)."""
+    """What a file holds. laces: of each block its track, its packets' timestamps in ms, first bytes and sizes, and whether it is a key; a block's packets follow each other."""
 
-    packets: list[tuple[int, int, int, int, bool]] = field(default_factory=list)
+    laces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, bool]] = field(default_factory=list)
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     tracks: dict[int, dict] = field(default_factory=dict)
     clusters: list[int] = field(default_factory=list)
@@ -114,6 +123,14 @@ class Media:
     scale: int = 1_000_000
     duration: float = 0.0
 
+    @property
+    def packets(self) -> list[tuple[int, int, int, int, bool]]:
+        """(track, timestamp in ms, first byte, bytes, key)."""
+        return [(track, t, a, n, key) for track, ms, first, size, key in self.laces for t, a, n in zip(ms.tolist(), first.tolist(), size.tolist(), strict=True)]
+
+    def count(self) -> int:
+        return sum(len(x[1]) for x in self.laces)
+
 
 def read_vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int, int]:
     """(value, place after it, width); -1 for an unknown size."""
@@ -154,17 +171,16 @@ def elements(data: bytes, at: int, end: int, inside: int = 0) -> Iterator[tuple[
         at = stop
 
 
-def unlace(data: bytes, at: int, end: int, lacing: int) -> Iterator[tuple[int, int]]:
-    """(first byte, bytes) of a block's packets."""
+def unlace(data: bytes, at: int, end: int, lacing: int) -> tuple[int, np.ndarray]:
+    """First byte of a block's packets, and their sizes."""
     if lacing == NO_LACING:
-        yield at, end - at
-        return
+        return at, np.array([end - at])
     count, at = data[at] + 1, at + 1
     sizes: list[int] = []
     if lacing == FIXED:
         if (end - at) % count:
             raise ValueError("packets of a fixed-size lace differ")
-        sizes = [(end - at) // count] * count
+        return at, np.full(count, (end - at) // count)
     elif lacing == XIPH:
         for _ in range(count - 1):
             n = 0
@@ -183,9 +199,7 @@ def unlace(data: bytes, at: int, end: int, lacing: int) -> Iterator[tuple[int, i
         sizes.append(end - at - sum(sizes))
     if min(sizes) < 0 or at + sum(sizes) != end:
         raise ValueError("a lace does not fill its block")
-    for n in sizes:
-        yield at, n
-        at += n
+    return at, np.array(sizes)
 
 
 def read(data: bytes) -> Media:
@@ -198,13 +212,13 @@ def read(data: bytes) -> Media:
         track, a, _ = read_vint(data, a)
         shift, flags = int.from_bytes(data[a : a + 2], "big", signed=True), data[a + 2]
         start = (at_time + shift) * out.scale // 1_000_000
-        laced = list(unlace(data, a + 3, b, flags >> 1 & 3))
+        first, size = unlace(data, a + 3, b, flags >> 1 & 3)
         rate = out.tracks.get(track, {}).get("rate", 0)
         width = out.tracks.get(track, {}).get("bits", 8) * out.tracks.get(track, {}).get("channels", 1) // 8 or 1
-        samples = 0
-        for where, n in laced:
-            out.packets.append((track, start + (int(samples * 1000 // rate) if rate else 0), where, n, bool(flags & 0x80) if simple else key))
-            samples += n // width
+        before = np.cumsum(size) - size
+        samples = np.cumsum(size // width) - size // width
+        ms = start + (samples * 1000 // rate).astype(np.int64) if rate else np.full(len(size), start)
+        out.laces.append((track, ms, first + before, size, bool(flags & 0x80) if simple else key))
         out.blocks += 1
 
     for kind, a, b in elements(data, 0, len(data)):
@@ -262,7 +276,7 @@ def read(data: bytes) -> Media:
 
 
 def payload(data: bytes, media: Media) -> bytes:
-    return b"".join([data[a : a + n] for _, _, a, n, _ in media.packets])
+    return b"".join([data[int(first[0]) : int(first[-1] + size[-1])] for _, _, first, size, _ in media.laces])
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -272,29 +286,35 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 def feature(samples: bytes, media: Media) -> str:
     """Counts of the file's parts and of the samples read back."""
-    x = np.frombuffer(samples, dtype=np.uint8).astype(np.int64)
-    high = x >= 128
-    crossings = int((high[1:] != high[:-1]).sum())
-    return f"codec={media.tracks[1]['codec']};rate={int(media.tracks[1]['rate'])};clusters={len(media.clusters)};cues={len(media.cues)};blocks={media.blocks};packets={len(media.packets)};ms={int(media.duration)};sum={int(x.sum())};energy={int((x * x).sum())};peak={int(x.max())};crossings={crossings}"
+    whole = np.frombuffer(samples, dtype=np.uint8)
+    total = energy = peak = crossings = 0
+    for lo in range(0, len(whole), PIECE):
+        x = whole[lo : lo + PIECE].astype(np.int64)
+        high = whole[lo : lo + PIECE + 1] >= 128
+        total, energy, peak, crossings = total + int(x.sum()), energy + int((x * x).sum()), max(peak, int(x.max())), crossings + int((high[1:] != high[:-1]).sum())
+    return f"codec={media.tracks[1]['codec']};rate={int(media.tracks[1]['rate'])};clusters={len(media.clusters)};cues={len(media.cues)};blocks={media.blocks};packets={media.count()};ms={int(media.duration)};sum={total};energy={energy};peak={peak};crossings={crossings}"
 
 
 def media_columns(documents: DataFrame, with_file: bool = True) -> DataFrame:
     """One row per row of documents(doc_id, text): doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and the file (null without with_file)."""
 
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
+
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch["doc_id"], batch["text"]
-            for lo in range(0, batch.num_rows, 512):
-                rows = []
-                for t in texts[lo : lo + 512].to_pylist():
-                    body, n = padded(t)
-                    data = write(body)
-                    media = read(data)
-                    back = payload(data, media)
-                    rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(back, media), data if with_file else None))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
-                yield pa.RecordBatch.from_arrays([ids[lo : lo + 512], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+            ids, rows, done, held = batch["doc_id"], [], 0, 0
+            for i, t in enumerate(batch["text"]):
+                body, n = padded(t.as_py())
+                data = write(body)
+                del body
+                media = read(data)
+                back = payload(data, media)
+                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(back, media), data if with_file else None))
+                held += len(data) * with_file
+                if held > ROW_BYTES or len(rows) == 2048 or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([ids[done : i + 1], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+                    rows, done, held = [], i + 1, 0
 
     docs = documents.selectExpr("cast(doc_id as long) as doc_id", "text")
     return docs.mapInArrow(store, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
@@ -306,10 +326,14 @@ def packet_table(files: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, data in zip(batch["doc_id"].to_pylist(), batch["media"], strict=True):
-                found = read(data.as_py()).packets if data.is_valid else []
-                if found:
-                    track, ms, first, size, is_key = zip(*found, strict=True)
-                    n = len(found)
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(track, pa.int64()), pa.array(ms, pa.int64()), pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(is_key, pa.bool_())], ["doc_id", "packet", "track", "timestamp_ms", "first_byte", "n_bytes", "is_key"])
+                laces, done = read(data.as_py()).laces if data.is_valid else [], 0
+                per = TABLE_ROWS // 256  # a lace has 256 packets at most
+                for lo in range(0, len(laces), per):
+                    track, ms, first, size, is_key = zip(*laces[lo : lo + per], strict=True)
+                    each = [len(x) for x in ms]
+                    n = sum(each)
+                    columns = [np.arange(done, done + n), np.repeat(track, each), np.concatenate(ms), np.concatenate(first), np.concatenate(size), np.repeat(is_key, each)]
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 5 + [pa.bool_()], strict=True))], ["doc_id", "packet", "track", "timestamp_ms", "first_byte", "n_bytes", "is_key"])
+                    done += n
 
     return files.selectExpr("cast(doc_id as long) as doc_id", "media").mapInArrow(parse, "doc_id long, packet long, track long, timestamp_ms long, first_byte long, n_bytes long, is_key boolean")
