@@ -342,20 +342,23 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["page_id", "url", "text", "n_chars", "n_blocks", "n_templates"])
 
 
-def templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, inner_share: float = INNER_SHARE) -> DataFrame:
+def templates(scratch: Scratch, pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, inner_share: float = INNER_SHARE) -> DataFrame:
     """(host, mark): subtrees on a large share of a host's different pages."""
-    each = pages.select("host", "html").mapInArrow(_page_hashes, "host string, mark long, inner boolean, content long").distinct()
-    on = each.groupBy("host", "mark").agg(F.count("*").alias("pages"), F.max("inner").alias("inner"))
-    total = each.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    each = scratch.table(pages.select("host", "html").mapInArrow(_page_hashes, "host string, mark long, inner boolean, content long").distinct(), "subtrees")
+    # Both are written: a join of two plain shuffles can be split where one host is hot.
+    on = scratch.table(each.groupBy("host", "mark").agg(F.count("*").alias("pages"), F.max("inner").alias("inner")).where(F.col("pages") >= FEW_PAGES), "counts")
+    total = scratch.table(each.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("total")), "totals")
+    scratch.drop(each)
     many = F.greatest(F.lit(float(least)), F.col("total") * F.when(F.col("inner"), F.lit(inner_share)).otherwise(F.lit(share)))
     wanted = F.when((F.col("total") < least) & ~F.col("inner"), F.greatest(F.lit(float(FEW_PAGES)), F.col("total").cast("double"))).otherwise(many)
-    return on.where(F.col("pages") >= FEW_PAGES).join(total.hint("shuffle_merge"), "host").where(F.col("pages") >= wanted).select("host", "mark")
+    return on.join(total.hint("shuffle_merge"), "host").where(F.col("pages") >= wanted).select("host", "mark")
 
 
 def extract(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of pages(page_id, url, html): page_id, url, text, n_chars, n_blocks, n_templates."""
     seen = pages.select("page_id", "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
-    found = Scratch(pages.sparkSession, "html-text").table(templates(seen), "templates")
+    scratch = Scratch(pages.sparkSession, "html-text")
+    found = scratch.only(scratch.table(templates(scratch, seen), "templates"))
     by_host = found.groupBy("host").agg(F.collect_list("mark").alias("marks"))
     if found.count() <= broadcast_rows:
         met = seen.join(F.broadcast(by_host), "host", "left")
