@@ -315,7 +315,7 @@ def test_decontamination_against_full_scoring(spark, tmp_path):
                 for _ in range(rng.randint(1, 1 + len(w) // 8)):
                     w[rng.randrange(len(w))] = rng.choice(words)
             docs.append((200 + k, f"{draw(rng.randint(0, 150))} {' '.join(w).upper() if k % 3 else ' '.join(w)} {draw(rng.randint(0, 80))}"))
-    docs += [(400, draw(3000) + " " + items[5][1]), (401, None), (402, "")]
+    docs += [(400, draw(3000) + " " + items[5][1]), (401, None), (402, ""), docs[20], docs[20], docs[-1]]
     df, benchmark = _df(spark, docs, tmp_path), spark.createDataFrame(items, "item_id long, text string")
     for least in (0.6, 0.3):
         want = _leaks(docs, items, least, 0.5)
@@ -484,5 +484,8 @@ def test_mixing_rows_of_equal_place(spark):
 def test_empty_tables(spark, tmp_path):
     none = _df(spark, [], tmp_path)
     assert substring_dedup.substring_dedup(none).isEmpty() and jaccard_join.similar_components(none).isEmpty()
-    assert secret_scan.scan(none).isEmpty() and matroska.media_columns(none).isEmpty()
+    assert secret_scan.scan(none).isEmpty() and matroska.media_columns(none).isEmpty() and secret_scan.without_secrets(none).isEmpty()
+    import public_tokenizers
+
+    assert token_counts.count_tokens(none, public_tokenizers.path("piece_bpe_32k.model"), 50).isEmpty() and jaccard_join.one_of_each(none).isEmpty()
     assert decontaminate.contaminated(none, spark.createDataFrame([], "item_id long, text string")).isEmpty()
