@@ -2,11 +2,11 @@
 
 Method: the test items are a BM25 inverted index, searched by block-max WAND; every passage of every document is
 a query. An item's score is divided by its score against itself, so a passage with all its
-words scores 1, and all items of `least_score` or more are retrieved, however many. A search keeps a cursor in the posting list of
-each of the passage's terms. The pivot is the first item that the lists' maxima can lift to the threshold; where its block's maxima can't,
-all cursors before skip the block, and else those behind the pivot skip to it, and it is scored once all are there.
-Most passages hold nothing and are passed over before: their block bounds are summed for a whole batch at once (what frequent terms
-can give at most in a block, and the block maxima of the others; where frequent terms alone can reach the threshold, theirs too).
+words scores 1, and all items of `least_score` or more are retrieved, however many. Block bounds come first, for a whole batch of passages at
+once: what frequent terms can give at most in a block, and the block maxima of the others; where frequent terms alone can reach the
+threshold, theirs too. Blocks that can't reach it are skipped, and with them most passages. In the others a search keeps a
+cursor in the posting list of each of the passage's terms. The pivot is the first item that the maxima of the lists up to it can lift to the
+threshold; cursors behind it skip to it, and it is scored once all are there.
 A retrieved item is then verified: enough of the n-grams of its question and of its answer must be in the
 document near the passage.
 
@@ -23,8 +23,9 @@ cut into passages, never shortened.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,7 @@ class Index:
     questions: list[np.ndarray]
     answers: list[np.ndarray]
     sizes: list[tuple[int, int]]
+    lists: dict = field(default_factory=dict, repr=False)
 
     @staticmethod
     def build(ids: list, texts: list[str], statistics: Statistics | None = None, longest: int = 0, gram: int = GRAM) -> Index:
@@ -181,48 +183,55 @@ class Index:
         key = np.concatenate(found)
         return key // len(base), key % len(base)
 
-    def search(self, terms: np.ndarray, least: float) -> dict[int, float]:
-        """Block-max WAND: all items whose score reaches least; terms are distinct."""
+    def _in_blocks(self, t: int) -> dict[int, tuple[list[int], list[float], float]]:
+        """A term's postings by block, with their maxima; made once a worker, for the terms that are asked for."""
+        found = self.lists.get(t)
+        if found is None:
+            found, items, impacts = {}, self.item[self.first[t] : self.first[t + 1]].tolist(), self.impact[self.first[t] : self.first[t + 1]].tolist()
+            lo = 0
+            for k, top in zip(self.block[self.block_first[t] : self.block_first[t + 1]].tolist(), self.block_top[self.block_first[t] : self.block_first[t + 1]].tolist(), strict=True):
+                hi = bisect_left(items, (k + 1) * BLOCK_ITEMS, lo)
+                found[k] = (items[lo:hi], impacts[lo:hi], top)
+                lo = hi
+            self.lists[t] = found
+        return found
+
+    def search(self, terms: np.ndarray, blocks: np.ndarray, least: float) -> dict[int, float]:
+        """Block-max WAND: items whose score reaches least, in the blocks whose bound does; terms are distinct."""
         least -= 1e-9
-        lists = [(self.item[self.first[t] : self.first[t + 1]], self.impact[self.first[t] : self.first[t + 1]], float(self.top[t]), self.block[self.block_first[t] : self.block_first[t + 1]], self.block_top[self.block_first[t] : self.block_first[t + 1]]) for t in terms.tolist()]
-        end = len(self.ids)
-        # A cursor: the item it stands at, its list, its place there.
-        cursors = sorted((int(x[0][0]), k, 0) for k, x in enumerate(lists))
+        own = [self._in_blocks(t) for t in terms.tolist()]
         found: dict[int, float] = {}
-
-        def moved(cursor: tuple[int, int, int], item: int) -> tuple[int, int, int]:
-            own = lists[cursor[1]][0]
-            at = cursor[2] + int(np.searchsorted(own[cursor[2] :], item))
-            return (int(own[at]) if at < len(own) else end, cursor[1], at)
-
-        while cursors:
-            total, pivot = 0.0, -1
-            for j, (_, k, _) in enumerate(cursors):
-                total += lists[k][2]
-                if total >= least:
-                    pivot = j
+        for block in blocks.tolist():
+            lists = [x for o in own if (x := o.get(block))]
+            # A cursor: the item it stands at, its list, its place there.
+            cursors = sorted((x[0][0], k, 0) for k, x in enumerate(lists))
+            while cursors:
+                total, pivot = 0.0, -1
+                for j, (_, k, _) in enumerate(cursors):
+                    total += lists[k][2]
+                    if total >= least:
+                        pivot = j
+                        break
+                if pivot < 0:
                     break
-            if pivot < 0:
-                break
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            block, bound = item // BLOCK_ITEMS, 0.0
-            for _, k, _ in cursors[: pivot + 1]:
-                at = int(np.searchsorted(lists[k][3], block))
-                if at < len(lists[k][3]) and lists[k][3][at] == block:
-                    bound += float(lists[k][4][at])
-            if bound < least:  # no item before the next block, or before a list that is not counted, can reach it
-                after = min((block + 1) * BLOCK_ITEMS, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end)
-                cursors[: pivot + 1] = [moved(c, after) for c in cursors[: pivot + 1]]
-            elif cursors[0][0] == item:
-                score = sum(float(lists[k][1][at]) for _, k, at in cursors[: pivot + 1])
-                if score >= least:
-                    found[item] = score
-                cursors[: pivot + 1] = [moved(c, item + 1) for c in cursors[: pivot + 1]]
-            else:
-                cursors[: pivot + 1] = [moved(c, item) if c[0] < item else c for c in cursors[: pivot + 1]]
-            cursors = sorted(c for c in cursors if c[0] < end)
+                item = cursors[pivot][0]
+                while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+                    pivot += 1
+                if cursors[0][0] == item:  # all that the pivot needs are there
+                    score = sum(lists[k][1][at] for _, k, at in cursors[: pivot + 1])
+                    if score >= least:
+                        found[item] = score
+                    item += 1
+                ahead = []
+                for c in cursors[: pivot + 1]:
+                    if c[0] < item:
+                        items = lists[c[1]][0]
+                        at = bisect_left(items, item, c[2])
+                        if at == len(items):
+                            continue
+                        c = (items[at], c[1], at)
+                    ahead.append(c)
+                cursors = sorted(ahead + cursors[pivot + 1 :])
         return found
 
     def overlaps(self, item: int, near: np.ndarray) -> tuple[float, float]:
@@ -264,8 +273,9 @@ def _passages(index: Index, w, place: np.ndarray, term: np.ndarray, least_score:
     key = np.unique(np.concatenate([number, number - 1]) * len(index.vocabulary) + np.concatenate([term, term]))
     passage, term = key // len(index.vocabulary), key % len(index.vocabulary)
     best: dict[tuple[int, int], tuple] = {}
-    for p in np.unique(index.bounds(passage, term, least_score)[0]).tolist():
-        found = index.search(term[slice(*np.searchsorted(passage, [p, p + 1]))], least_score)
+    who, block = index.bounds(passage, term, least_score)
+    for p in np.unique(who).tolist():
+        found = index.search(term[slice(*np.searchsorted(passage, [p, p + 1]))], block[slice(*np.searchsorted(who, [p, p + 1]))], least_score)
         if not found:
             continue
         d = int(np.searchsorted(base, p, side="right")) - 1
