@@ -215,7 +215,8 @@ def test_decontamination(spark, rows, tmp_path):
         for x in terms:
             for k in range(index.first[x], index.first[x + 1]):
                 exact[int(index.item[k])] = exact.get(int(index.item[k]), 0) + index.impact[k]
-        assert set(index.search(terms, 0.3)) == {i for i, s in exact.items() if s >= 0.3 - 1e-9}
+        _, block = index.bounds(np.zeros(len(terms), np.int64), terms, 0.3)
+        assert index.search(terms, block, 0.3) == pytest.approx({i: s for i, s in exact.items() if s >= 0.3 - 1e-9})
 
 
 def test_decontamination_of_frequent_words(spark, tmp_path, monkeypatch):
@@ -250,8 +251,9 @@ def test_decontamination_of_frequent_words(spark, tmp_path, monkeypatch):
             for x in terms:
                 np.add.at(exact, index.item[index.first[x] : index.first[x + 1]], index.impact[index.first[x] : index.first[x + 1]])
             want = set(np.flatnonzero(exact >= least - 1e-9).tolist())
-            assert set(index.search(terms, least)) == want
-            assert {i // decontaminate.BLOCK_ITEMS for i in want} <= set(index.bounds(np.zeros(size, np.int64), terms, least)[1].tolist())
+            _, block = index.bounds(np.zeros(size, np.int64), terms, least)
+            assert set(index.search(terms, block, least)) == want
+            assert set(index.search(terms, np.arange(len(index.base)), least)) == want
 
 
 _TERM = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
