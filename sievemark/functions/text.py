@@ -110,6 +110,32 @@ def _matches_nothing(pattern: str) -> bool:
         return False
 
 
+def needed(pattern: str) -> tuple[list[str], bool]:
+    """Literals one of which every match begins with, and whether case does not count; none where that can't be told."""
+    blind = pattern.startswith("(?i:") and pattern.endswith(")")
+    rest = pattern[4:-1] if blind else pattern
+    depth, escaped, inside = 0, False, False
+    for c in rest:
+        if escaped:
+            escaped = False
+        elif c == "\\":
+            escaped = True
+        elif inside or c == "[":
+            inside = c != "]"
+        else:
+            depth += (c == "(") - (c == ")")
+            if c == "|" and not depth or depth < 0:
+                return [], blind
+    rest = rest.removeprefix(r"\b")
+    group = re.match(r"\((?:\?:)?([A-Za-z0-9 _|]+)\)(?![?*{])", rest)
+    if group:
+        found = group[1].split("|")
+    else:
+        plain = re.match(r"[A-Za-z0-9_:/ -]+", rest)
+        found = [plain[0][:-1] if rest[plain.end() :][:1] in ("?", "*", "{") else plain[0]] if plain else []
+    return ([x.lower() if blind else x for x in found] if found and min(map(len, found)) > 1 else []), blind
+
+
 #: Stands around matches while a text is cut into matches and what is between them.
 _MARK = "\x01"
 #: Matches whose places are summed at once.
@@ -119,7 +145,7 @@ _BLOCK = 128
 def regex_spans(text: Column, pattern: str, entity_type: str = "match", confidence: float = 1.0, needs: Column | None = None) -> Column:
     """All matches as spans. A pattern that matches nothing at all is refused.
 
-    needs: a cheap condition that every text with a match meets. Texts without a match cost one look; in others all matches are marked in one
+    needs: a cheap condition that every text with a match meets, unless the pattern's first literals give one. Texts without a match cost one look; in others all matches are marked in one
     pass, and the text is cut at the marks. (A text that has the mark in it is cut by the pattern.)
     """
     if _matches_nothing(pattern):
@@ -149,6 +175,9 @@ def regex_spans(text: Column, pattern: str, entity_type: str = "match", confiden
         blocks = let(sized, lambda z: F.transform(F.sequence(F.lit(1), F.size(z), F.lit(_BLOCK)), lambda i: F.slice(z, i, F.lit(_BLOCK))))
         return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")), add_block, lambda s: F.flatten(s["out"]))
 
+    if needs is None:
+        literals, blind = needed(pattern)
+        needs = has_any(F.lower(text) if blind else text, literals) if literals else None
     found = F.rlike(text, F.lit(java)) if needs is None else needs & F.rlike(text, F.lit(java))
     return F.when(found, let(pieces, spans)).otherwise(F.array().cast(SPANS))
 
@@ -183,16 +212,18 @@ def digits(text: Column) -> Column:
 
 def luhn(number: Column) -> Column:
     """Whether 13 to 19 digits pass the checksum; separators are ignored."""
-    d = digits(number)
-    n = F.length(d)
 
-    def step(s: Column, i: Column) -> Column:
-        x = F.substring(d, i, F.lit(1)).cast("int")
-        twice = F.when(x * 2 > 9, x * 2 - 9).otherwise(x * 2)
-        return s + F.when((n - i) % 2 == 1, twice).otherwise(x)
+    def passes(d: Column) -> Column:
+        n = F.length(d)
+
+        def step(s: Column, i: Column) -> Column:
+            x = F.substring(d, i, F.lit(1)).cast("int")
+            twice = F.when(x * 2 > 9, x * 2 - 9).otherwise(x * 2)
+            return s + F.when((n - i) % 2 == 1, twice).otherwise(x)
+
+        return F.when(n.between(13, 19), F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step) % 10 == 0).otherwise(F.lit(False))
 
-    good = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step) % 10 == 0
-    return F.when(n.between(13, 19), good).otherwise(F.lit(False))
+    return let(digits(number), passes)
 
 
 def ipv4(address: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions import lists as L
 from sievemark.functions.text import SEVERITIES, SPANS, has_any, let, luhn, regex_spans, severity_rank, total
-from sievemark.operators.scanners import pii_needs, secret_needs
+from sievemark.operators.scanners import pii_needs
 
 _FACTORS = "array<struct<category:string,description:string,severity:string,confidence:double,n:int>>"
 
@@ -179,7 +179,7 @@ def line_findings(df: DataFrame, text: str = "text", categories: list[str] | Non
     for category, kind, severity, pattern, first, shown in LINE_FAMILIES:
         if categories and category not in categories:
             continue
-        needs = secret_needs(t, kind) if category == "secret" else pii_needs(t, "email" if kind == "Email" else "ssn") if category == "pii" else None
+        needs = pii_needs(t, "email" if kind == "Email" else "ssn") if category == "pii" else None
         spans = regex_spans(t, within_lines(pattern), kind, 1.0, needs)
 
         def placed(s: Column) -> Column:

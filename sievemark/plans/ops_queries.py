@@ -19,6 +19,7 @@ from sievemark.plans.scan_queries import big
 from sievemark.sources import tables as IO
 from sievemark.sources.shared import shared_dir
 from sievemark.sources.tables import table
+from sievemark.streaming import flows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -127,6 +128,24 @@ SELECT user_id, event_id, allowed, CASE WHEN allowed THEN least(2 - hour_n, 3 -
 """
 query("quota_exact", QUOTA_SQL)(lambda spark, sf_dir: U.exact(table(spark, sf_dir, "events"), _LIMITS))
 
+
+
+@query("stream_quota", QUOTA_SQL.replace(", retry::BIGINT AS retry_after_us", ""))
+def stream_quota(spark, sf_dir):
+    """The exact quota with its counts in the stream's state, into the shared folder."""
+    base = f"{shared_dir(spark)}/stream-quota-{uuid.uuid4().hex}"
+    flows.run_to_table(flows.quota(flows.event_stream(spark, sf_dir, "events.parquet"), _LIMITS), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("stream_rollup_closed", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def stream_rollup_closed(spark, sf_dir):
+    """Buckets that no late event can change any more: appended once the watermark, an hour behind, has passed them."""
+    base = f"{shared_dir(spark)}/stream-closed-{uuid.uuid4().hex}"
+    flows.run_to_table(flows.rolled(flows.event_stream(spark, sf_dir, "events.parquet"), "1 hour"), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", "n", F.round("avg_value", 6).alias("avg_value"))
+
+
 _TIER = "(['free', 'pro', 'enterprise'])[user_id % 3 + 1]"
 _TIER_ROWS = [(t, w, n) for t, limits in U.TIERS.items() for w, n in limits.items()]
 

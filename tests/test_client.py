@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievemark.functions.spans import current_wins, surest_wins
-from sievemark.functions.text import SPANS, ascii_bounds, regex_spans
+from sievemark.functions.text import SPANS, ascii_bounds, needed, regex_spans
 from sievemark.operators import anonymize as A
 from sievemark.operators import metrics as M
 from sievemark.operators import patterns as C
@@ -44,6 +44,14 @@ def test_ascii_bounds_are_those_of_ascii(spark, pattern):
     assert [got[i] for i in range(len(texts))] == [[m[0] for m in re.finditer(f"(?a:{pattern})", t)] for t in texts]
 
 
+def test_literals_that_matches_begin_with():
+    assert needed(r"(?i:\b(?:kill|murder)\b)") == (["kill", "murder"], True)
+    assert needed(r"(?i:forget\s+(?:a|b))") == (["forget"], True) and needed("AKIA[0-9A-Z]{16}") == (["AKIA"], False)
+    for none in (r"a|bcd", r"(?:ab|cd)?x", r"(?iu)(?:ab)", r"\b[0-9]{3}", r"(?i:abc)|d", r"x*abc", r"[|]ab", r"(?:ab|c(?:d|e))x", r"(?:ab){2}"):
+        assert not needed(none)[0]
+    assert needed(r"abc?d") == (["ab"], False) and needed(r"ab(?:c|d)") == (["ab"], False) and needed(r"-----BEGIN (?:RSA )?KEY")[0] == ["-----BEGIN "]
+
+
 def test_client_pii(spark):
     text = "joe@x.org 078-05-1120 000-12-3456 4111111111111111 4111111111111112 +442071234567 10.0.0.1 C03005988"
     kinds = ["email", "ssn", "credit-card", "ip-address", "passport", "drivers-license"]
