@@ -11,8 +11,8 @@ a leaf of a third of all rows never meets in one task. The leaf table is broadca
 `broadcast_leaves` rows, and joined by shuffle beyond.
 
 Cases: nulls in the tree's columns are a child of their own, whose weight is given under None; null text has no tokens and is taken with
-its leaf's first epoch if there is budget left; the order is a hash of doc_id and all other columns (but maps), so rows of one doc_id or of null have
-places of their own, and only equal rows tie, of which it does not matter which is taken; repeated rows are rows of
+its leaf's first epoch if there is budget left; rows without doc_id are placed by their texts; rows of one place go by doc_id, then by a hash of
+all columns (but maps), so only equal rows tie, of which it does not matter which is taken; repeated rows are rows of
 their own; other columns pass through (n_tokens and epoch are replaced); no rows or no budget give no rows; siblings of zero weight get
 nothing.
 """
@@ -46,10 +46,15 @@ def _weight(names: Column, weights: dict[str | None, float] | None) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for name, w in weights.items() for x in ("" if name is None else f"={name}", float(w)))), names), F.lit(0.0)).cast("double")
 
 
-def order_of(documents: DataFrame, seed: int, whole: Column) -> Column:
-    """The seeded order: a hash of the row, another one after each whole epoch."""
-    others = [f.name for f in documents.schema.fields if f.name.lower() != "doc_id" and "map<" not in f.dataType.simpleString()]
-    return F.xxhash64(F.lit(seed), whole.cast("long"), "doc_id", *(F.col(f"`{c}`") for c in others))
+def order_of(seed: int, whole: Column) -> Column:
+    """The seeded order, 0 to 2 ** 60: a hash of doc_id (of the text where that is null), another one after each whole epoch."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), whole.cast("string"), name)), 1, 15), 16, 10).cast("long")
+
+
+def tie_of(documents: DataFrame) -> Column:
+    """Decides between rows of one place: a hash of all columns but maps."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in documents.schema.fields if "map<" not in f.dataType.simpleString()))
 
 
 def shared_out(children: DataFrame, parent: list[str]) -> DataFrame:
@@ -101,14 +106,13 @@ def mix(documents: DataFrame, share: float, weights: dict[str, dict[str, float]]
     plan = scratch.table(plan.withColumn("rest", F.when(F.col("whole") >= epochs, F.lit(0.0)).otherwise(F.col("budget") - F.col("whole") * F.col("tokens"))), "plan")
     small = plan.count() <= broadcast_leaves
     near = F.broadcast if small else lambda t: t.hint("shuffle_merge")
-    order = order_of(moved, seed, F.col("whole"))
-    met = rows.join(near(plan.select(*names, "whole", "rest")), names).withColumn("order", order).withColumn("bin", F.shiftrightunsigned("order", 64 - BINS_BITS))
+    met = rows.join(near(plan.select(*names, "whole", "rest")), names).withColumn("order", order_of(seed, F.col("whole"))).withColumn("bin", F.shiftright("order", 60 - BINS_BITS))
     sums = met.groupBy(*names, "bin").agg(F.sum("n_tokens").alias("in_bin"), F.first("rest").alias("rest"))
     upto = F.sum("in_bin").over(Window.partitionBy(*names).orderBy("bin"))
     ends = sums.withColumn("upto", upto).where(F.col("upto") > F.col("rest")).groupBy(*names).agg(F.min(F.struct("bin", (F.col("upto") - F.col("in_bin")).alias("before"))).alias("end"))
     ends = scratch.table(ends.select(*names, F.col("end.bin").alias("end_bin"), F.col("end.before").alias("end_before")), "ends")
     met = met.join(near(ends), names, "left")
-    inner = Window.partitionBy(*names).orderBy("order", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(*names).orderBy("order", F.col("doc_id").asc_nulls_last(), tie_of(moved)).rowsBetween(Window.unboundedPreceding, 0)
     last = met.where("bin = end_bin").withColumn("taken", (F.col("rest") > 0) & (F.col("end_before") + F.sum("n_tokens").over(inner) <= F.col("rest")))
     others = met.where("end_bin is null or bin <> end_bin").withColumn("taken", (F.col("rest") > 0) & (F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin"))))
     times = F.col("whole") + F.col("taken").cast("long")

@@ -467,11 +467,11 @@ def test_mixing_against_a_plain_version(spark, broadcast, bits, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string, domain string, lang string, source string, order string, bin long").withColumn("tree_lang", F.lit("x"))
     weights = {"domain": {"a": 0.5, "b": 0.3, None: 0.1, "(none)": 0.1}, "lang": {"en": 3.0, "de": 1.0, None: 0.5}}
     rows = [(d[6], d[2], d[3], d[4], -(-len(d[1] or "") // 4)) for d in docs]
-    places = {w: {r["bin"]: r["o"] for r in df.select("bin", mixing.order_of(df, 17, F.lit(w)).alias("o")).collect()} for w in range(5)}
+    places = {w: {r["bin"]: (r["o"], r["doc_id"] is None, r["doc_id"] or 0, r["t"]) for r in df.select("bin", "doc_id", mixing.order_of(17, F.lit(w)).alias("o"), mixing.tie_of(df).alias("t")).collect()} for w in range(5)}
     for share, epochs in ((0.3, 4), (1.2, 3), (0.0, 2), (9.0, 2)):
         out = mixing.mix(df, share, weights, epochs=epochs, broadcast_leaves=broadcast)
         assert out.columns == [*df.columns, "n_tokens", "epoch"]
-        want = _mixed(rows, weights, share, epochs, lambda r, whole: (places[whole][r[0]] & ((1 << 64) - 1), r[0]))
+        want = _mixed(rows, weights, share, epochs, lambda r, whole: places[whole][r[0]])
         assert sorted(((r["bin"], r["epoch"]) for r in out.collect()), key=str) == want and (want or not share)
 
 

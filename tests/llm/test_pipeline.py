@@ -87,11 +87,11 @@ def test_run_against_a_plain_version(spark, tmp_path):
     assert len(open_) < len(clean)
     # Mixing
     domains = op2_queries.DOMAINS
-    domain = lambda s: domains[zlib.crc32(s.encode()) % len(domains)] if s is not None else None
+    domain = lambda s: domains[int(hashlib.md5(s.encode()).hexdigest()[:8], 16) % len(domains)] if s is not None else None
     df = spark.createDataFrame(open_, schema).withColumn("domain", op2_queries.domain())
-    places = {w: {r["th"]: r["o"] for r in df.select("th", mixing.order_of(df, mixing.SEED, F.lit(w)).alias("o")).collect()} for w in range(mixing.EPOCHS + 1)}
+    places = {w: {r["th"]: (r["o"], r["doc_id"] is None, r["doc_id"] or 0, r["t"]) for r in df.select("th", "doc_id", mixing.order_of(mixing.SEED, F.lit(w)).alias("o"), mixing.tie_of(df).alias("t")).collect()} for w in range(mixing.EPOCHS + 1)}
     leaves = [(r[5], domain(r[3]), r[2], r[3], -(-len(r[1].encode()) // 4)) for r in open_]
-    want = D._mixed(leaves, op2_queries.WEIGHTS, op2_queries.SHARE, mixing.EPOCHS, lambda r, whole: places[whole][r[0]] & ((1 << 64) - 1))
+    want = D._mixed(leaves, op2_queries.WEIGHTS, op2_queries.SHARE, mixing.EPOCHS, lambda r, whole: places[whole][r[0]])
     twin = lambda th: "a" if th == "b" else th  # noqa: E731  # rows of one id and text: either may stay
     assert sorted(((twin(r["th"]), r["epoch"]) for r in got), key=str) == sorted(((twin(th), e) for th, e in want), key=str)
     assert len(want) > 20 and len(names) == 6
