@@ -284,7 +284,7 @@ def _passages(index: Index, w, place: np.ndarray, term: np.ndarray, least_score:
         near = w.hash[max(w.first[d], a - index.longest) : min(w.first[d + 1], b + index.longest)]
         for i, score in found.items():
             question, answer = index.overlaps(i, near)
-            new = (min(question, answer), score, question, answer, int(a - w.first[d]), int(b - a))
+            new = (min(question, answer), round(score, 9), question, answer, int(a - w.first[d]), int(b - a))  # the order of a sum does not decide
             if (d, i) not in best or best[d, i] < new:
                 best[d, i] = new
     yield from ((d, index.ids[i], x) for (d, i), x in best.items() if x[0] >= least_overlap)
