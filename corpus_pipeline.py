@@ -14,6 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievemark.llm import op1_queries as op1
+from sievemark.llm import op2_queries as op2
+from sievemark.llm import op5_queries as op5
+from sievemark.llm import op6_queries as op6
+from sievemark.llm import op9_queries as op9
 from sievemark.llm.decontaminate import without_contaminated
 from sievemark.llm.jaccard_join import one_of_each
 from sievemark.llm.language_id import UND, predict
@@ -55,8 +60,21 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near copies", near_copies), ("benchmark leaks", benchmark_leaks), ("secrets", secrets), ("mixing", mixed)]
 
-#: SQL expresses none of the first three stages and not the hash order of the last; tests hold run() against a plain version of all five.
-ORACLE_SQL = None
+
+def _sql() -> str:
+    """The operators' SQL, each over what the stage before keeps. For tables with an id a row, and of which every labelled row is learned from."""
+    over = lambda name, kept: "(" + next(m for m in (op1, op2, op5, op6, op9) if name in m.ORACLES).ORACLES[name].replace("FROM documents", f"FROM {kept}") + ")"
+    return f"""
+WITH known AS MATERIALIZED (SELECT documents.* FROM documents JOIN {over("op5_language_id", "documents")} USING (doc_id) WHERE lang_pred <> '{UND}' AND score >= {LEAST_SCORE}),
+single AS MATERIALIZED (SELECT known.* FROM known JOIN {over("op6_ngram_jaccard_join", "known")} USING (doc_id) WHERE component_id = doc_id),
+clean AS MATERIALIZED (SELECT * FROM single WHERE doc_id NOT IN (SELECT doc_id FROM {over("op1_benchmark_decontamination", "single")})),
+open AS MATERIALIZED (SELECT * FROM clean WHERE doc_id NOT IN (SELECT doc_id FROM {over("op9_secret_scans", "clean")} WHERE spans <> ''))
+SELECT doc_id, text, lang, source, n_chars, domain, n_tokens, epoch FROM open JOIN (SELECT doc_id, domain, n_tokens, epoch FROM {over("op2_mixing_sources", "open")}) USING (doc_id)
+"""
+
+
+#: Tests hold run() against this, and against a plain version on odd rows.
+ORACLE_SQL = _sql()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
