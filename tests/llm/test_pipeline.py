@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import test_documents as D
 from tests.llm import test_language as N
+from tests.test_oracles import _plain, duck  # noqa: F401
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -27,6 +28,16 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "3")).collect()}
 
 
+def test_run_matches_sql(spark, duck):  # noqa: F811
+    out = pipeline.run(spark, SF)
+    columns = sorted(out.columns)
+    got = sorted(tuple(_plain(r[c]) for c in columns) for r in out.collect())
+    found = duck.execute(pipeline.ORACLE_SQL)
+    names = [d[0] for d in found.description]
+    assert sorted(names) == columns
+    assert got == sorted(tuple(_plain(r[names.index(c)]) for c in columns) for r in found.fetchall()) and len(got) > 50
+
+
 def _corpus():
     """Four languages of own words, near and exact copies, a benchmark item in some, credentials in others, and odd rows."""
     rng = random.Random(77)
