@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm.decontaminate import GRAM, K1, LEAST_OVERLAP, LEAST_SCORE, LONGER, SHORT, B, contaminated
+from sievemark.sources.tables import spread
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contaminated(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.withColumns({c: F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap")})
 
 

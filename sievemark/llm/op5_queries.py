@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm.language_id import LONGEST, SMOOTH, UND, Model, predict, train
+from sievemark.sources.tables import spread
 
 FOLDS = 5
 
@@ -20,7 +21,7 @@ def learn(documents: DataFrame) -> Model:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "lang")
     found = predict(documents.select("doc_id", "text"), learn(documents))
     return found.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievemark.llm.secret_scan import IDENTIFIERS, KINDS, PATTERNS, SCOPE, SECRETS, scan
+from sievemark.sources.tables import spread
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 QUERIES = {"op9_secret_scans": op9_secret_scans}
