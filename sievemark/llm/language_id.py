@@ -37,7 +37,7 @@ UND = "und"
 MAX_ROWS, MAX_BYTES = 4_000, 16 << 20
 LONGEST = 5
 #: Added to counts; characters of unseen words that a worker remembers before it starts afresh; characters and words that are handled at once.
-SMOOTH, REMEMBERED, PIECE, AT_ONCE = 0.5, 4 << 20, 1 << 20, 1 << 18
+SMOOTH, REMEMBERED, PIECE, AT_ONCE = 0.5, 1 << 20, 1 << 19, 1 << 17
 _WORD = re.compile(r"[^\W\d_]+")
 _GAP = re.compile(r"[\W\d_]")
 
