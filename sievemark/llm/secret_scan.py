@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievemark.functions.text import has_any
 from sievemark.llm.scratch import Scratch, aside
 
 SCOPE = 256
@@ -49,6 +50,24 @@ BASE, IDENTIFIERS, SECRETS = KINDS[:3], ("access", "ident"), ("assign", "hex", "
 _MIXED = ("[A-Z]", "[a-z]", "[0-9]")
 
 
+def _may(text: Column, kind: str) -> Column:
+    """What a text must have for a match: a word that it begins with, or a mark that it holds."""
+    if kind == "assign":
+        return has_any(F.lower(text), ["password", "passwd", "secret", "token", "api"])
+    if kind == "ident":
+        return has_any(F.lower(text), ["user", "login", "account", "client_id", "key_id"])
+    if kind == "access":
+        return F.contains(text, F.lit("AKIA"))
+    return F.contains(text, F.lit("://")) | F.contains(text, F.lit(".")) if kind == "endpoint" else F.lit(True)
+
+
+def may_hold(text: Column) -> Column:
+    """Whether a span can be reported: there may be a base span, or an identifier and a token. Few texts without any pass."""
+    found = {k: _may(text, k) & F.rlike(text, F.lit(PATTERNS[k])) for k in KINDS}
+    long = F.rlike(text, F.lit(PATTERNS["assign"].removesuffix("+)") + "{6,})"))  # matches may begin inside a shorter one, so some have none
+    return (found["assign"] & long) | found["access"] | found["hex"] | (found["ident"] & found["weak"])
+
+
 def _kept(kind: str, match: Column) -> Column:
     if kind == "assign":
         return F.length(F.regexp_extract(match, PATTERNS[kind], 1)) >= 6
@@ -63,7 +82,7 @@ def _matches(text: Column, kind: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.zip_with(found, F.slice(F.transform(gaps, F.length), 1, F.size(found)), lambda m, g: F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("rank"), g.alias("gap"), F.length(m).alias("size"), _kept(kind, m).alias("kept")))
-    return F.when(F.rlike(text, F.lit(pattern)), F.transform(pairs, lambda p, i: F.struct(p["kind"].alias("kind"), p["rank"].alias("rank"), i.alias("i"), p["gap"].alias("gap"), p["size"].alias("size"), p["kept"].alias("kept")))).otherwise(F.array())
+    return F.when(_may(text, kind) & F.rlike(text, F.lit(pattern)), F.transform(pairs, lambda p, i: F.struct(p["kind"].alias("kind"), p["rank"].alias("rank"), i.alias("i"), p["gap"].alias("gap"), p["size"].alias("size"), p["kept"].alias("kept")))).otherwise(F.array())
 
 
 def spans(documents: DataFrame) -> DataFrame:
@@ -120,12 +139,10 @@ def scan(documents: DataFrame) -> DataFrame:
 
 
 def without_secrets(documents: DataFrame) -> DataFrame:
-    """documents without the rows in which a span is reported, with all columns."""
-    text = F.coalesce("text", F.lit(""))
-    # Only texts with a match of some pattern can have a span; the rest need no join.
-    suspect = F.rlike(text, F.lit("|".join(f"(?:{p})" for p in PATTERNS.values())))
+    """documents without the rows in which a span is reported, with all columns. Only the few texts that may hold one are written aside and joined."""
+    suspect = may_hold(F.coalesce("text", F.lit("")))
     moved, back = aside(documents, "th")
-    held = moved.where(suspect)
-    found = spans(held.select(F.sha2("text", 256).alias("doc_id"), "text")).where("kind is not null").select(F.col("doc_id").alias("th")).distinct()
-    cleared = held.withColumn("th", F.sha2("text", 256)).join(found.hint("shuffle_merge"), "th", "left_anti").drop("th").withColumnsRenamed(back).select(documents.columns)
+    held = Scratch(documents.sparkSession, "secret-suspects").table(moved.where(suspect).withColumn("th", F.sha2("text", 256)), "held")
+    found = spans(held.select(F.col("th").alias("doc_id"), "text")).where("kind is not null").select(F.col("doc_id").alias("th")).distinct()
+    cleared = held.join(found.hint("shuffle_merge"), "th", "left_anti").drop("th").withColumnsRenamed(back).select(documents.columns)
     return documents.where(~suspect).unionByName(cleared)

@@ -358,6 +358,9 @@ def test_secrets_against_pairs(spark, tmp_path):
         assert got[i]["spans"] == join(want), t
         assert got[i]["base_sha256"] == hashlib.sha256(join([p for p in want if p[1] < 3]).encode()).hexdigest()
     assert sum(1 for t in texts for p in _spans(t) if p[1] >= 3) > 100
+    texts += ["token=token: abcdef", "login: x", "user: bob at https://a.b/x", "Ab3dEf6hIj9kLmN0"]
+    kept = secret_scan.without_secrets(_df(spark, list(enumerate(texts)), tmp_path / "kept"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, t in enumerate(texts) if not _spans(t)]
 
 
 def test_secrets(spark, rows, tmp_path):
