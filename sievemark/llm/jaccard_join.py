@@ -11,13 +11,14 @@ What keeps the work in bounds, none of which loses a link:
 - Equal sets are one node. Copies are never compared.
 - Of a posting list, first the pairs with its most central node (pivot) are verified; components
   follow, and a list whose other nodes are of one component is done.
-- Nodes that the open lists connect are clusters. A cluster that fits a task is one group. Of a larger one the
-  lists are dealt to groups, as many as fit a task, so that a node goes once for each of its open lists at most.
-  A list that fits no task waits for the components of all that; if it is still open, the nodes outside its
-  largest component are cut into parts, each of which meets the others and the parts of that component.
-- A group finds candidates by an index of its prefixes in memory (enough shared ones, sizes near enough),
-  verifies them, and emits a link where two components meet first. No pairs are emitted, and pairs within a
-  component are not looked at.
+- Nodes that the open lists connect are clusters. A cluster that fits a task is one group. Of a larger one either the
+  lists are dealt to groups, as many as fit a task, so that a node goes once for each of its open lists at most; or its
+  nodes are cut into parts, where that moves less: those outside its largest component meet each other and those of it.
+  Parts wait for the components of all else, and so do lists that fit no task: what is still open goes to parts of
+  the lists' clusters, or of each list.
+- A group counts the shingles that its sets share, the frequent ones by a matrix product, the others by an index in
+  memory, and emits a link where two components meet first. No pairs are emitted, and the largest component is not
+  compared with itself.
 
 Cases: null or empty text has an empty set and links with nothing; fewer words than the shingle
 length make one shingle; rows with one doc_id are one document where that matters: each row is
@@ -43,8 +44,8 @@ from sievemark.llm.wordhash import U, runs, words
 WORDS, PERCENT = 5, 80
 #: Cost of verifying a candidate against that of reading a posting, and the longest l.
 VERIFY_COST, MOST_SHARED = 16.0, 16
-#: Shingles of a group that one task compares, and candidates that it verifies at once.
-PART_SHINGLES, AT_ONCE = 1 << 20, 256
+#: Shingles of a group that one task compares, and pairs that it compares at once. A shingle is frequent if one of FEW sets of the group has it.
+PART_SHINGLES, AT_ONCE, FEW = 1 << 20, 1 << 20, 8
 
 
 def shingle_sets(k: int):
@@ -205,52 +206,79 @@ def _labels(scratch: Scratch, nodes: DataFrame, percent: int) -> DataFrame:
     open_lists = scratch.table(open_lists, "open")
     left = scratch.table(tagged.join(open_lists.hint("shuffle_merge"), "token"), "left")
     scratch.drop(rest, open_lists)
-    groups, hot = _dealt(scratch, left, nodes)
+    groups, large = _dealt(scratch, left, nodes)
     links = links.unionByName(scratch.table(_compared(groups, nodes, percent), "links"))
     label = components(scratch, links)
-    if hot.isEmpty():
+    if large.isEmpty():
         return label
-    groups = _in_parts(scratch, hot, label)
+    groups = _in_parts(scratch, large, label)
     return components(scratch, links.unionByName(scratch.table(_compared(groups, nodes, percent), "links")))
 
 
+def _clusters(scratch: Scratch, lists: DataFrame) -> DataFrame:
+    """(node, cluster) of lists(first, node): clusters share no list."""
+    edges = lists.where("node <> first").selectExpr("first as a", "node as b").distinct()
+    return components(scratch, edges).withColumnRenamed("label", "cluster")
+
+
 def _dealt(scratch: Scratch, left: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups (node, label, kind, key, i, j, ask) of clusters and of lists, each of PART_SHINGLES at most, and the rows of larger lists."""
-    edges = left.where("node <> first").selectExpr("first as a", "node as b").distinct()
-    cluster = components(scratch, edges).withColumnRenamed("label", "cluster")  # clusters share no open list
+    """Groups (node, label, kind, key, i, j, ask) of clusters and of lists, each of PART_SHINGLES at most, and the rows of lists that go to parts."""
+    cluster = _clusters(scratch, left)
     weighed = left.select("token", "node", "label").join(nodes.select("node", F.size("tokens").cast("long").alias("w")).hint("shuffle_merge"), "node").join(cluster.hint("shuffle_merge"), "node")
     weighed = scratch.table(weighed, "weighed")
     size = scratch.table(weighed.select("node", "cluster", "w").distinct().groupBy("cluster").agg(F.sum("w").alias("size")), "sizes")
     lists = scratch.table(weighed.groupBy("token").agg(F.sum("w").alias("list")), "lists")
     full = scratch.table(weighed.join(size.hint("shuffle_merge"), "cluster").join(lists.hint("shuffle_merge"), "token"), "full")
     whole = full.where(F.col("size") <= PART_SHINGLES).select("node", "label", F.lit(0).alias("kind"), F.col("cluster").alias("key"), F.lit(0).cast("long").alias("i"))
-    cut = full.where((F.col("size") > PART_SHINGLES) & (F.col("list") <= PART_SHINGLES))
-    buckets = scratch.table(cut.groupBy("cluster").agg(F.ceil(F.sum("w") / PART_SHINGLES).alias("buckets")), "buckets")
-    cut = cut.join(buckets.hint("shuffle_merge"), "cluster")
-    cut = cut.select("node", "label", F.lit(1).alias("kind"), F.col("cluster").alias("key"), F.pmod(F.xxhash64("token"), F.col("buckets")).alias("i"))
+    large = full.where(F.col("size") > PART_SHINGLES)
+    dealt = large.where(F.col("list") <= PART_SHINGLES).groupBy("cluster").agg(F.sum("w").alias("dealt"), F.first("size").alias("size"))
+    # Lists of the same nodes would take these along again and again: in parts a node goes once for each part at most.
+    dealt = dealt.where(F.col("dealt") <= F.col("size") * _parts(F.col("size")))
+    buckets = scratch.table(dealt.select("cluster", F.ceil(F.col("dealt") / PART_SHINGLES).alias("buckets")), "buckets")
+    large = large.join(buckets.hint("shuffle_merge"), "cluster", "left")
+    fits = F.col("buckets").isNotNull() & (F.col("list") <= PART_SHINGLES)
+    cut = large.where(fits).select("node", "label", F.lit(1).alias("kind"), F.col("cluster").alias("key"), F.pmod(F.xxhash64("token"), F.col("buckets")).alias("i"))
     groups = whole.unionByName(cut).distinct().select("*", F.lit(0).cast("long").alias("j"), F.lit(True).alias("ask"))
-    return groups, full.where(F.col("list") > PART_SHINGLES).select("token", "node", "w")
-
-
-def _in_parts(scratch: Scratch, hot: DataFrame, label: DataFrame) -> DataFrame:
-    """Groups of large lists that have several components yet. Parts outside the largest component ask each other, and its parts."""
-    tagged = hot.join(label.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    tagged = scratch.table(tagged, "hot")
-    sums = tagged.groupBy("token", "label").agg(F.sum("w").alias("w"))
-    sums = sums.groupBy("token").agg(F.max_by("label", F.struct("w", "label")).alias("major"), F.max("w").alias("held"), F.sum("w").alias("all")).where("all > held")
-    sums = scratch.table(sums, "majors")
-    parts = lambda w: F.ceil(w * 2 / PART_SHINGLES)
-    met = tagged.join(sums.hint("shuffle_merge"), "token").withColumns({"asking": parts(F.col("all") - F.col("held")), "asked": parts(F.col("held"))})
+    return groups, large.where(~fits).select("token", "node", "w")
+
+
+def _parts(w: Column) -> Column:
+    return F.ceil(w * 2 / PART_SHINGLES)
+
+
+def _majors(scratch: Scratch, rows: DataFrame, key: str) -> DataFrame:
+    """Of rows(key, label, w) by key: the largest component, into how many parts it and all else go, and the shingles that this moves."""
+    sums = rows.groupBy(key, "label").agg(F.sum("w").alias("w"))
+    sums = sums.groupBy(key).agg(F.max_by("label", F.struct("w", "label")).alias("major"), F.max("w").alias("held"), F.sum("w").alias("all"))
+    sums = sums.withColumns({"asking": _parts(F.col("all") - F.col("held")), "asked": _parts(F.col("held"))})
+    moved = (F.col("all") - F.col("held")) * (F.col("asking") + F.col("asked")) + F.col("held") * F.col("asking")
+    return scratch.table(sums.select(key, "major", "asking", "asked", moved.alias("moved")), "majors")
+
+
+def _in_parts(scratch: Scratch, large: DataFrame, label: DataFrame) -> DataFrame:
+    """Groups of large lists that have several components yet, by clusters or by lists, where less is moved. Parts outside the largest component ask each other, and its parts."""
+    tagged = large.join(label.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tagged = scratch.table(tagged, "large")
+    open_lists = tagged.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("first")).where("low <> high").select("token", "first")
+    tagged = scratch.table(tagged.join(scratch.table(open_lists, "open").hint("shuffle_merge"), "token"), "left")
+    tagged = scratch.table(tagged.join(_clusters(scratch, tagged).hint("shuffle_merge"), "node").drop("first"), "clusters")
+    each = tagged.select("cluster", "node", "label", "w").distinct()
+    by_cluster, by_list = _majors(scratch, each, "cluster"), _majors(scratch, tagged, "token")
+    lists = tagged.select("cluster", "token").distinct().join(by_list.hint("shuffle_merge"), "token").groupBy("cluster").agg(F.sum("moved").alias("lists"))
+    by_cluster = scratch.table(by_cluster.join(lists.hint("shuffle_merge"), "cluster").where("moved <= lists").drop("moved", "lists"), "together")
+    met = each.join(by_cluster.hint("shuffle_merge"), "cluster").withColumns({"kind": F.lit(2), "key": F.col("cluster")}).drop("cluster")
+    alone = tagged.join(by_cluster.hint("shuffle_merge"), "cluster", "left_anti").drop("cluster").join(by_list.drop("moved").hint("shuffle_merge"), "token")
+    met = met.unionByName(alone.withColumns({"kind": F.lit(3), "key": F.col("token")}).drop("token"))
     part = F.when(F.col("label") == F.col("major"), F.col("asking") + F.pmod(F.xxhash64("node"), F.col("asked"))).otherwise(F.pmod(F.xxhash64("node"), F.col("asking")))
     met = met.withColumn("part", part)
     others = F.when(F.col("label") == F.col("major"), F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("asking") + F.col("asked") - 1))
     each = met.withColumn("other", F.explode(others))
-    return each.select("node", "label", F.lit(2).alias("kind"), F.col("token").alias("key"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("ask"))
+    return each.select("node", "label", "kind", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("ask"))
 
 
 def _compared(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the components of each group."""
-    full = groups.join(nodes.select("node", "n", "tokens", "need", "prefix").hint("shuffle_merge"), "node")
+    full = groups.join(nodes.select("node", "n", "tokens").hint("shuffle_merge"), "node")
     return full.groupBy("kind", "key", "i", "j").applyInArrow(_links_of(percent), "a long, b long").distinct()
 
 
@@ -261,40 +289,54 @@ def _index(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links_of(percent: int):
+    """Links of a group. If all its nodes ask, each two components meet; else those that ask meet the others (and each other in another group)."""
+
     def links(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        node, label, n, need, ask = (table[c].to_numpy(zero_copy_only=False) for c in ("node", "label", "n", "need", "ask"))
+        node, label, n, ask = (table[c].to_numpy(zero_copy_only=False) for c in ("node", "label", "n", "ask"))
         tokens, cuts = _index(table["tokens"].combine_chunks())
-        prefix, ends = _index(table["prefix"].combine_chunks())
-        # Where each shingle stands in prefixes.
-        names, number = np.unique(prefix, return_inverse=True)
-        order = np.argsort(number, kind="stable")
-        owner = np.repeat(np.arange(len(node)), np.diff(ends))[order]
-        first = np.searchsorted(number[order], np.arange(len(names) + 1))
         _, component, size = np.unique(label, return_inverse=True, return_counts=True)
+        among = bool(ask.all())
+        asking = component != size.argmax() if among else ask  # of two components one is not the largest
+        order = np.argsort(~asking, kind="stable")  # those that ask come first
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        last = int(asking.sum())
+        owner = np.repeat(place, np.diff(cuts))
+        node, n, component = node[order], n[order], component[order]
+        _, number, count = np.unique(tokens, return_inverse=True, return_counts=True)
+        frequent = (count > 1) & (FEW * count >= len(node))
+        has = np.zeros((len(node), int(frequent.sum())), dtype=np.float32 if n.max() < 1 << 24 else np.float64)
+        often = frequent[number]
+        has[owner[often], (np.cumsum(frequent) - 1)[number[often]]] = 1
+        rare = ~often & (count > 1)[number]
+        owner, number = owner[rare], number[rare]
+        by = np.argsort(number, kind="stable")
+        posted, first = owner[by], np.searchsorted(number[by], np.arange(len(count) + 1))
+        by = np.argsort(owner, kind="stable")
+        own, ends = number[by], np.searchsorted(owner[by], np.arange(len(node) + 1))
         a, b = [], []
-        asking = component != size.argmax() if ask.all() else ask  # of two components one is not the largest
-        for q in np.flatnonzero(asking).tolist():
-            own = number[ends[q] : ends[q + 1]].tolist()
-            if not own:
-                continue
-            met = np.bincount(np.concatenate([owner[first[t] : first[t + 1]] for t in own]), minlength=len(node))
-            near = (met >= np.minimum(need, need[q])) & (component != component[q]) & (100 * n >= percent * n[q]) & (100 * n[q] >= percent * n)
-            candidates = np.flatnonzero(near)
-            mine = np.sort(tokens[cuts[q] : cuts[q + 1]])
-            while len(candidates):
-                some, candidates = candidates[:AT_ONCE], candidates[AT_ONCE:]
-                theirs = np.concatenate([tokens[cuts[x] : cuts[x + 1]] for x in some.tolist()])
-                found = np.searchsorted(mine, theirs)
-                found[found == len(mine)] = 0
-                starts = np.cumsum(cuts[some + 1] - cuts[some]) - (cuts[some + 1] - cuts[some])
-                both = np.add.reduceat((mine[found] == theirs).astype(np.int64), starts)
-                for x in some[100 * both >= percent * (n[some] + n[q] - both)].tolist():
-                    if component[x] != component[q]:
-                        a.append(min(int(node[q]), int(node[x])))
-                        b.append(max(int(node[q]), int(node[x])))
-                        component[component == component[x]] = component[q]
-                candidates = candidates[component[candidates] != component[q]]
+        s = 0
+        while s < last:
+            low = s if among else last  # later ones that ask meet this one there
+            if low == len(node):
+                break
+            e = min(last, s + max(1, AT_ONCE // (len(node) - low)))
+            both = (has[s:e] @ has[low:].T).astype(np.float64)
+            for q in range(s, e):
+                if ends[q] < ends[q + 1]:
+                    met = np.concatenate([posted[first[t] : first[t + 1]] for t in own[ends[q] : ends[q + 1]].tolist()])
+                    both[q - s] += np.bincount(met, minlength=len(node))[low:]
+            alike = (100 + percent) * both >= percent * (n[s:e, None] + n[low:])
+            alike &= component[s:e, None] != component[low:]
+            for q in (np.flatnonzero(alike.any(axis=1)) + s).tolist():
+                met = np.flatnonzero(alike[q - s]) + low
+                while len(met := met[component[met] != component[q]]):
+                    x = met[0]
+                    a.append(min(int(node[q]), int(node[x])))
+                    b.append(max(int(node[q]), int(node[x])))
+                    component[component == component[x]] = component[q]
+            s = e
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return links

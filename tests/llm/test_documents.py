@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,60 @@ def test_jaccard_components(spark, rows, tmp_path, monkeypatch, part):
     assert got == want and len({c for _, _, c in want}) < len(want) - 20
 
 
+@pytest.mark.parametrize("part", [1 << 20, 2000, 300])
+def test_jaccard_large_cluster(spark, tmp_path, monkeypatch, part):
+    """Many near copies, of which not all link, have as many open lists as words: what goes to groups is bounded by parts, not by lists."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        near = list(base)
+        for _ in range(rng.randint(0, 4)):
+            near[rng.randrange(60)] = f"v{rng.randrange(40)}"
+        rows.append((i, " ".join(near)))
+    sent = []
+    compared = jaccard_join._compared
+
+    def counted(groups, *args):
+        sent.append(groups.count())
+        return compared(groups, *args)
+
+    monkeypatch.setattr(jaccard_join, "PART_SHINGLES", part)
+    monkeypatch.setattr(jaccard_join, "_compared", counted)
+    got = sorted(tuple(r) for r in jaccard_join.similar_components(_df(spark, rows, tmp_path)).collect())
+    sets, groups = _components(rows)
+    assert got == [(i, len(s), min(g)) for (i, _), s, g in zip(rows, sets, groups, strict=True)]
+    assert len({c for _, _, c in got}) > 5
+    unlike = set(map(frozenset, sets))
+    assert 0 < sum(sent) <= len(unlike) * (sum(map(len, unlike)) // part + 1)
+
+
+@pytest.mark.parametrize(("at_once", "few"), [(1 << 20, 8), (50, 8), (300, 1), (1, 1 << 30)])
+def test_links_of_a_group(monkeypatch, at_once, few):
+    monkeypatch.setattr(jaccard_join, "AT_ONCE", at_once)
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    rng = random.Random(at_once)
+    for size in (2, 3, 40):
+        for among in (True, False):
+            sets = [set(rng.sample(range(16), rng.randint(11, 16))) | set(rng.sample(range(100, 130), rng.randint(0, 2))) for _ in range(size)]
+            label = [rng.randrange(size) for _ in range(size)]
+            ask = [among or i % 2 == 0 for i in range(size)]
+            n = [len(s) + rng.randint(0, 1) for s in sets]  # with shingles that no other set has
+            table = pa.table({"node": pa.array(range(size), pa.int64()), "label": pa.array(label, pa.int64()), "n": pa.array(n, pa.int64()), "ask": ask, "tokens": pa.array([list(s) for s in sets], pa.list_(pa.int64()))})
+            links = jaccard_join._links_of(80)(table).to_pylist()
+            alike = lambda x, y: 100 * len(sets[x] & sets[y]) >= 80 * (n[x] + n[y] - len(sets[x] & sets[y]))  # noqa: B023, E731
+            assert all(alike(r["a"], r["b"]) and (among or ask[r["a"]] != ask[r["b"]]) for r in links)
+
+            def joined(pairs):
+                root = list(label)  # noqa: B023
+                for x, y in pairs:
+                    root = [root[y] if r == root[x] else r for r in root]
+                return [root.index(r) for r in root]
+
+            every = [(x, y) for x in range(size) for y in range(x) if alike(x, y) and (among or ask[x] != ask[y])]
+            assert joined([(r["a"], r["b"]) for r in links]) == joined(every)
+
+
 def test_one_of_each(spark, rows, tmp_path):
     got = sorted((LAST if r["doc_id"] is None else r["doc_id"]) for r in jaccard_join.one_of_each(_df(spark, rows, tmp_path)).collect())
     sets, groups = _components(rows)
