@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.llm.memory import give_back
 from sievemark.llm.scratch import Scratch
 from sievemark.llm.wordhash import SPACE_AND_MARKS, U, runs, words
 
@@ -42,8 +43,8 @@ SHARD_ITEMS, SHARD_BYTES, BLOCK_ITEMS = 20_000, 16 << 20, 8
 SHORT, LONGER = 64, 2
 #: Terms in more than this share of a shard's items are bounded together.
 FREQUENT = 0.1
-#: Block maxima that are summed at once, in whole passages.
-BOUNDS = 1 << 21
+#: Block maxima that are summed at once, in whole passages; rows that are returned at once.
+BOUNDS, ROWS = 1 << 18, 1024
 _ANSWER = re.compile(r"(?is)\A(.*?\S)\s*(?:\banswer\s*:|\ba\s*:|\?\s+)\s*(\S.*)\Z")
 _SENTENCE = re.compile(r"(?s)\A(.*[.!?])\s+(\S.*)\Z")
 
@@ -371,9 +372,12 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, least_score
 
         def clean(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch["text"]], ["doc_id", "text"])
-                hit = {x for b in find(iter([rows])) for x in b["doc_id"].to_pylist()}
-                yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
+                for part in (batch.slice(a, ROWS) for a in range(0, batch.num_rows, ROWS)):
+                    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), part["text"]], ["doc_id", "text"])
+                    hit = {x for b in find(iter([rows])) for x in b["doc_id"].to_pylist()}
+                    yield part.filter(pa.array([i not in hit for i in range(part.num_rows)], pa.bool_()))
+                batch = part = rows = None
+                give_back()
 
         out = (documents if out is None else out).mapInArrow(clean, documents.schema)
     return documents if out is None else out

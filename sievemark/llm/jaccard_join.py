@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.llm.components import components
+from sievemark.llm.memory import give_back
 from sievemark.llm.repeats import repeated_keys
 from sievemark.llm.scratch import Scratch, aside, task_count
 from sievemark.llm.wordhash import U, runs, words
@@ -104,6 +105,8 @@ def prefixes(percent: int, cost: float = VERIFY_COST, most: int = MOST_SHARED):
                 need.append(best)
                 prefix.append(tokens[: max(0, shortest + best)])
             yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], batch["tokens"], batch["central"], pa.array(need, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["node", "n", "tokens", "central", "need", "prefix"])
+            batch = tokens = counts = prefix = None
+            give_back()
 
     return add
 

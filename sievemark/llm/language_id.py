@@ -11,7 +11,8 @@ rows and bytes has all of them read, however rare it is. Every word and n-gram o
 which is as large as the sample at most: that bounds what is collected and broadcast.
 
 Words are runs of letters, lower-cased one by one. In a task each distinct word gets a row of scores once,
-and a text's sum is taken over its words' rows; long texts are summed piece by piece.
+and a text's sum is taken over its words' rows; long texts are summed piece by piece. Every worker holds a model, so its
+words and n-grams are packed bytes, not objects; of a batch a few texts at a time are made into strings.
 
 Cases: null text and text without a letter give `und` and score 0, as does every text when nothing was
 learned; equal sums go to the first language by name; rows with null lang or doc_id teach nothing, a null doc_id is
@@ -22,8 +23,10 @@ are replaced); a text or word of any length is read whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievemark.llm.memory import give_back
+
 UND = "und"
 #: Rows of a language, and bytes of their texts, that are learned from.
 MAX_ROWS, MAX_BYTES = 4_000, 16 << 20
 LONGEST = 5
-#: Added to counts; characters of unseen words that a worker remembers before it starts afresh; characters and words that are handled at once.
-SMOOTH, REMEMBERED, PIECE, AT_ONCE = 0.5, 1 << 20, 1 << 19, 1 << 17
+#: Added to counts; characters of unseen words that a worker remembers before it starts afresh; characters, words and texts that are handled at once.
+SMOOTH, REMEMBERED, PIECE, AT_ONCE, TEXTS = 0.5, 1 << 20, 1 << 19, 1 << 17, 512
 _WORD = re.compile(r"[^\W\d_]+")
 _GAP = re.compile(r"[\W\d_]")
 
@@ -64,10 +69,41 @@ def grams(word: str, n: int) -> Iterator[str]:
     return (padded[i : i + n] for i in range(len(padded) - n + 1))
 
 
+class Packed:
+    """Distinct strings, numbered, in little more than their bytes (a dict takes ten times as many): those of one checksum's bucket stand together."""
+
+    def __init__(self, names: pa.Array):
+        encoded = names.cast(pa.large_binary()).to_pylist()
+        self.mask = (1 << max(0, len(encoded) - 1).bit_length()) - 1
+        bucket = np.fromiter((crc32(x) & self.mask for x in encoded), np.int64, len(encoded))
+        order = np.argsort(bucket, kind="stable")
+        self.blob = b"".join([encoded[i] for i in order.tolist()])
+        self.cuts, self.first = (array("Q" if at[-1] >> 32 else "I", at.tolist()) for at in (
+            np.cumsum([0, *(len(encoded[i]) for i in order.tolist())]), np.searchsorted(bucket[order], np.arange(self.mask + 2)),
+        ))
+        #: Of each of names the number.
+        self.numbers = np.empty(len(order), dtype=np.int64)
+        self.numbers[order] = np.arange(len(order))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"numbers": None}  # only needed to fill tables
+
+    def __len__(self) -> int:
+        return len(self.cuts) - 1
+
+    def get(self, name: str) -> int | None:
+        x = name.encode("utf-8", "surrogatepass")
+        at, cuts = crc32(x) & self.mask, self.cuts
+        for i in range(self.first[at], self.first[at + 1]):
+            if self.blob[cuts[i] : cuts[i + 1]] == x:
+                return i
+        return None
+
+
 class Model:
     """Log frequencies by language of words and n-grams."""
 
-    def __init__(self, languages: list[str], words: dict[str, int], grams: dict[str, int], table: np.ndarray, gram_table: np.ndarray, longest: int = LONGEST):
+    def __init__(self, languages: list[str], words: Packed, grams: Packed, table: np.ndarray, gram_table: np.ndarray, longest: int = LONGEST):
         self.languages, self.words, self.grams, self.table, self.gram_table, self.longest = languages, words, grams, table, gram_table, longest
 
     def word(self, word: str) -> np.ndarray:
@@ -170,14 +206,16 @@ def _count(longest: int):
                 own = seen.setdefault(lang, Counter())
                 for piece in pieces(text or ""):
                     own.update(split(piece))
-            for lang, found in seen.items():
-                parts = Counter()
+            for lang in list(seen):
+                found, parts = seen.pop(lang), Counter()
                 for w, n in found.items():
                     for k in range(1, longest + 1):
                         for g in grams(w, k):
                             parts[g] += n
                 yield from rows(lang, 0, found)
                 yield from rows(lang, 1, parts)
+            batch = found = parts = None
+            give_back()
 
     return count
 
@@ -194,12 +232,14 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BY
     models = []
     for kind in (0, 1):
         own = found.filter(pa.compute.equal(found["kind"], kind))
-        names = sorted(own["item"].unique().to_pylist())
-        at = {x: i for i, x in enumerate(names)}
+        names = own["item"].unique()
+        packed = Packed(names)
         table = np.zeros((len(names), len(languages)))
-        table[[at[x] for x in own["item"].to_pylist()], [place[x] for x in own["lang"].to_pylist()]] = own["n"].to_numpy()
-        models.append((at, _logs(table)))
+        table[packed.numbers[pa.compute.index_in(own["item"], names).to_numpy()], [place[x] for x in own["lang"].to_pylist()]] = own["n"].to_numpy()
+        models.append((packed, _logs(table)))
     (words, table), (parts, gram_table) = models
+    found = own = names = None
+    give_back()
     return Model(languages, words, parts, table, gram_table, longest)
 
 
@@ -213,8 +253,11 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
         reader = None
         for batch in batches:
             reader = reader or Reader(shared.value)
-            found = reader.predict(batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*names, "lang_pred", "score"])
+            for part in (batch.slice(a, TEXTS) for a in range(0, batch.num_rows, TEXTS)):
+                found = reader.predict(part["text"].to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*names, "lang_pred", "score"])
+            batch = part = None
+            give_back()
 
     schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return documents.mapInArrow(add, schema)

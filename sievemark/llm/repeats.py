@@ -17,6 +17,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from sievemark.llm.memory import give_back
 from sievemark.llm.wordhash import U, pack_sorted, planes, unpack_sorted, unplanes
 
 #: Keys that a map task settles at once; a block has 2 to the power of BLOCK_BITS rows.
@@ -165,12 +166,14 @@ def repeated_keys(df: DataFrame, extract: Extract, finish: Callable[[pa.Table, n
                         yield from _chunk(keys, counts, metas, base, slots, np.uint64(min(int(width) * wide, (1 << 64) - 1)))
                         base = next_block(base + n)
                         keys, counts, metas, held, n = [], [], [], 0, 0
+                        give_back()
             if counts:
                 yield from _chunk(keys, counts, metas, base, slots, np.uint64(min(int(width) * wide, (1 << 64) - 1)))
 
         return _batches(rows())
 
     def meet(table: pa.Table) -> pa.Table:
+        give_back()  # the last group's
         kind = table["kind"].to_numpy()
         passed = table.filter(pa.array(kind != ENTRY)).to_batches()
         entries = table.filter(pa.array(kind == ENTRY))
@@ -190,6 +193,7 @@ def repeated_keys(df: DataFrame, extract: Extract, finish: Callable[[pa.Table, n
         return pa.Table.from_batches([*passed, *out], schema=_WIRE)
 
     def gather(table: pa.Table) -> pa.Table:
+        give_back()
         kind = table["kind"].to_pylist()
         a, b, m = table["a"], table["b"], table["meta"]
         ids, metas, owner, keys, hottest = [], [], [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, U)]

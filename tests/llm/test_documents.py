@@ -87,6 +87,23 @@ def test_words_of_one_hash_stay_apart(monkeypatch):
     assert len(calls) == 2 and [[x == y for x in name] for y in name] == [[text.split()[i : i + 3] == text.split()[j : j + 3] for i in at] for j in at]
 
 
+def test_words_are_hashed_some_at_a_time(monkeypatch):
+    import tracemalloc
+
+    from sievemark.llm import wordhash
+
+    texts = ["ab cde " * 40_000, None, "", " x ", "y" * 300_000 + " é ü", "ab cde " * 40_000]
+    tracemalloc.start()
+    whole = [x for w in wordhash.words(pa.array(texts), fold=True) for x in w.hash.tolist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * sum(len(t or "") for t in texts) + 64 * len(whole)
+    alone = {t: next(wordhash.words(pa.array([t]))).hash[0] for t in ("ab", "cde", "x", "y" * 300_000, "é", "ü")}
+    assert whole == [alone[t] for text in texts for t in (text or "").split()]
+    monkeypatch.setattr(wordhash, "_HASHED", 7, raising=False)
+    assert whole == [x for w in wordhash.words(pa.array(texts), fold=True) for x in w.hash.tolist()]
+
+
 def _deduplicated(rows):
     least: dict = {}
     cut = [(i if i is not None else LAST, WORD.findall(t or "")) for i, t in rows]

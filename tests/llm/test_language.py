@@ -1,8 +1,10 @@
 """Language identification against a plain version, and on texts that it has not seen."""
 
 import math
+import pickle
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -108,6 +110,20 @@ def test_language_of_few_rows(spark):
     assert len(whole.words) == 26 * 26 + 6  # every word of the sample
 
 
+def test_a_worker_holds_the_model_in_few_bytes(spark):
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(40_000)] + ["é", "ß", "漢字"]
+    labelled = spark.createDataFrame([(i, " ".join(names[i::50]), "en" if i % 2 else "de") for i in range(50)], "doc_id long, text string, lang string")
+    sent = pickle.dumps(language_id.train(labelled))
+    tracemalloc.start()
+    model = pickle.loads(sent)
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert taken < 60 * (len(model.words) + len(model.grams))  # 16 of them scores
+    assert len({model.words.get(w) for w in set(names)}) == len(set(names)) == len(model.words)
+    assert model.words.get("") is model.words.get("abc") is model.grams.get("\udc80") is None
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = op5_queries.QUERIES["op5_language_id"](spark, SF)
